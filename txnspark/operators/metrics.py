@@ -12,8 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from txnspark import schema as S
-from txnspark.session import materialize
 from txnspark.operators.ordered import dense_ids, prefix_sum, thin_positions
+from txnspark.session import materialize
 
 HISTOGRAM_BINS = 30
 
@@ -118,11 +118,11 @@ def confusion(scores: DataFrame, threshold: float = S.FLAG_THRESHOLD,
     })
 
 
-def head_summary(metrics: DataFrame) -> DataFrame:
+def head_summary(metrics: DataFrame, keep: list[str] = ()) -> DataFrame:
     """One row per head with its label, rounded metrics and the stub flag."""
     labels = F.create_map(*[F.lit(x) for kv in S.HEAD_LABELS.items() for x in kv])
     return metrics.select(
-        F.col("head").alias("key"), labels[F.col("head")].alias("label"),
+        *keep, F.col("head").alias("key"), labels[F.col("head")].alias("label"),
         F.round("auc", 4).alias("test_auc"), F.round("ap", 4).alias("test_ap"),
         (F.col("head") == "external").alias("stub"))
 

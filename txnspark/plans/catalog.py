@@ -1,7 +1,11 @@
 """Importing this module registers every query."""
 
 from txnspark.plans import (  # noqa: F401
+    queries_sources,
+    queries_features,
     queries_aggregates,
     queries_windows,
+    queries_joins,
+    queries_runs,
 )
 from txnspark.plans.registry import ORACLES, QUERIES  # noqa: F401

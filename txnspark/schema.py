@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # --- fixed values: column names, views and sizes that define the data contract ---
@@ -87,6 +88,15 @@ def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
     return df
 
 
+def column_report(df: DataFrame, required: list[str]) -> DataFrame:
+    """Per required column: is it there, and in how many rows is it filled."""
+    gone = missing_columns(df, required)
+    filled = df.agg(*[F.count(F.lit(None) if c in gone else F.col(c)).alias(c) for c in required])
+    return filled.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.lit(c not in gone).alias("present"),
+                 F.col(c).alias("filled")) for c in required])))
+
+
 def to_display_names(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(DISPLAY_NAMES)
 

@@ -17,6 +17,7 @@ def build_session(app: str = "txnspark", cores: int | str = "*", shuffle: int =
                .config("spark.sql.shuffle.partitions", str(shuffle))
                .config("spark.driver.memory", memory)
                .config("spark.ui.enabled", "false")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.sql.session.timeZone", "UTC"))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
