@@ -183,3 +183,21 @@ def mean_vector(df: DataFrame, embedding: str = "embedding") -> DataFrame:
 def map_points(pca: DataFrame, components: str = "pca") -> DataFrame:
     """2-D position: the first two components, the same rule for old and new rows."""
     return pca.withColumns({"x": F.col(components)[0], "y_pos": F.col(components)[1]})
+
+
+def embedding_column(embedder: Embedder, ids):
+    """The embedding of ``ids`` as a column.
+
+    A column keeps the other fields of the row in the JVM, so nothing has to be
+    joined back.
+    """
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            out = []
+            for at in range(0, len(series), BATCH_ROWS):
+                matrix = np.stack(series.iloc[at:at + BATCH_ROWS].to_numpy()).astype(np.int64)
+                out.extend(np.asarray(embedder(matrix), dtype=np.float32))
+            yield pd.Series(out)
+
+    return run(ids)

@@ -6,6 +6,7 @@ from txnspark.plans import (  # noqa: F401
     queries_aggregates,
     queries_windows,
     queries_joins,
+    queries_models,
     queries_runs,
 )
 from txnspark.plans.registry import ORACLES, QUERIES  # noqa: F401

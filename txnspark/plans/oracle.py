@@ -8,6 +8,12 @@ def u(key: str, salt: str) -> str:
             " / 4294967296e0)")
 
 
+def rnd(expr: str, digits: int) -> str:
+    """round() without a negative zero."""
+    r = f"round({expr}, {digits})"
+    return f"(CASE WHEN {r} = 0 THEN 0e0 ELSE {r} END)"
+
+
 EVENTS = f"""
 ev AS (
   SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,

@@ -8,7 +8,7 @@ from txnspark.operators import metrics as M
 from txnspark.operators.splits import date_counts, fraud_rate, split_plan
 from txnspark.plans import common as C
 from txnspark.plans import ingest
-from txnspark.plans.oracle import events, rules, splits
+from txnspark.plans.oracle import events, rnd, rules, splits
 from txnspark.plans.registry import query
 from txnspark.sources.transactions import order_dates, read_table
 
@@ -138,8 +138,8 @@ def _(spark, folder):
 
 @query("agg_12_lift", rules(CURVE.format(by="head", src="scores") + """,
  base AS (SELECT auc AS b_auc, ap AS b_ap FROM met WHERE head = 'raw')
- SELECT head, round((auc - b_auc) / nullif(b_auc, 0) * 100, 2) AS auc_lift_pct,
-   round((ap - b_ap) / nullif(b_ap, 0) * 100, 2) AS ap_lift_pct
+ SELECT head, """ + rnd("(auc - b_auc) / nullif(b_auc, 0) * 100", 2) + """ AS auc_lift_pct,
+   """ + rnd("(ap - b_ap) / nullif(b_ap, 0) * 100", 2) + """ AS ap_lift_pct
  FROM met, base WHERE head <> 'raw'"""))
 def _(spark, folder):
     m = M.lift(M.ranking_metrics(C.scores(spark, folder), ["head"]))
@@ -161,10 +161,9 @@ def _(spark, folder):
 @query("flagship_heads_on_test_split", rules(TEST_SCORES
        + CURVE.format(by="head", src="test_scores") + """
  SELECT head, n_pos, n_neg, round(auc, 6) AS auc, round(ap, 6) AS ap,
-   round((auc - (SELECT auc FROM met WHERE head = 'raw'))
-     / nullif((SELECT auc FROM met WHERE head = 'raw'), 0) * 100, 2) AS auc_lift_pct,
-   round((ap - (SELECT ap FROM met WHERE head = 'raw'))
-     / nullif((SELECT ap FROM met WHERE head = 'raw'), 0) * 100, 2) AS ap_lift_pct FROM met"""))
+   """ + rnd("(auc - b_auc) / nullif(b_auc, 0) * 100", 2) + """ AS auc_lift_pct,
+   """ + rnd("(ap - b_ap) / nullif(b_ap, 0) * 100", 2) + """ AS ap_lift_pct
+ FROM met, (SELECT auc AS b_auc, ap AS b_ap FROM met WHERE head = 'raw')"""))
 def _(spark, folder):
     m = M.ranking_metrics(C.test_scores(spark, folder), ["head"])
     return M.lift(m).withColumns({c: F.round(c, 6) for c in ("auc", "ap")})

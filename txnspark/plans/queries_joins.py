@@ -10,7 +10,7 @@ from txnspark.operators import sampling as P
 from txnspark.operators import tokens as K
 from txnspark.operators import vectors as V
 from txnspark.plans import common as C
-from txnspark.plans.oracle import events, rules, splits, u
+from txnspark.plans.oracle import events, rnd, rules, splits, u
 from txnspark.plans.queries_aggregates import CURVE, EVAL_ROWS, TRAIN_CAP
 from txnspark.plans.queries_features import SLOTS_SQL, VOCAB_SQL
 from txnspark.plans.registry import query
@@ -60,8 +60,8 @@ def _(spark, folder):
         "row_id", "t_merchant", F.coalesce("id", F.lit(K.UNK_ID)).alias("id"))
 
 
-@query("joi_04_heads_against_baseline", rules(CURVE.format(by="d, head", src="scores") + """
- SELECT m.d, m.head, round(m.auc - b.auc, 6) AS auc_gain, round(m.ap - b.ap, 6) AS ap_gain
+@query("joi_04_heads_against_baseline", rules(CURVE.format(by="d, head", src="scores") + f"""
+ SELECT m.d, m.head, {rnd('m.auc - b.auc', 6)} AS auc_gain, {rnd('m.ap - b.ap', 6)} AS ap_gain
  FROM met m JOIN met b ON b.d = m.d AND b.head = 'raw' WHERE m.head <> 'raw'"""))
 def _(spark, folder):
     m = C.daily_metrics(spark, folder)
@@ -72,10 +72,10 @@ def _(spark, folder):
         F.round(F.col("ap") - F.col("b_ap"), 6).alias("ap_gain"))
 
 
-@query("joi_06_map_drift", """
+@query("joi_06_map_drift", f"""
 SELECT vec_id, round(sqrt(pow(embedding[1]::DOUBLE - embedding[3]::DOUBLE, 2)
    + pow(embedding[2]::DOUBLE - embedding[4]::DOUBLE, 2)), 6) AS drift,
-  round(list_cosine_similarity(embedding[1:32]::DOUBLE[], embedding[33:64]::DOUBLE[]), 6) AS similarity
+  {rnd('list_cosine_similarity(embedding[1:32]::DOUBLE[], embedding[33:64]::DOUBLE[])', 6)} AS similarity
 FROM embeddings""")
 def _(spark, folder):
     e = read_table(spark, folder, "embeddings")
@@ -234,10 +234,10 @@ def _(spark, folder):
 
 
 @query("set_02_difference", """SELECT DISTINCT c_custkey AS "user" FROM customer
- EXCEPT SELECT o_custkey FROM orders""")
+ EXCEPT SELECT user_id FROM events""")
 def _(spark, folder):
     known = read_table(spark, folder, "customer").select(F.col("c_custkey").alias("user"))
-    seen = read_table(spark, folder, "orders").select(F.col("o_custkey").alias("user"))
+    seen = read_table(spark, folder, "events").select(F.col("user_id").alias("user"))
     return known.join(seen, "user", "left_anti").distinct()
 
 
@@ -263,8 +263,8 @@ def _(spark, folder):
 @query("vec_01_cosine", """
 WITH
 m AS (""" + "SELECT label, [" + ", ".join(f"avg(embedding[{i}]::DOUBLE)" for i in range(1, 65))
-       + """] AS centre FROM embeddings GROUP BY label)
-SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], m.centre), 6) AS cosine
+       + f"""] AS centre FROM embeddings GROUP BY label)
+SELECT e.vec_id, {rnd('list_cosine_similarity(e.embedding::DOUBLE[], m.centre)', 6)} AS cosine
 FROM embeddings e JOIN m USING (label)""")
 def _(spark, folder):
     e = read_table(spark, folder, "embeddings")
@@ -287,7 +287,7 @@ SIGNALS = ["ln(1 + amount_num)", "(\"hour\" BETWEEN 1 AND 4)::INT::DOUBLE",
     ", w AS (SELECT " + ", ".join(f"{_weight(i, j)} AS w{i}_{j}" for i in range(3)
                                   for j in range(8)) + "), s AS (SELECT row_id, "
     + ", ".join(f"{x} AS s{i}" for i, x in enumerate(SIGNALS)) + " FROM feat) SELECT row_id, "
-    + ", ".join(f"round({' + '.join(f's{i} * w{i}_{j}' for i in range(3))}, 6) AS e{j}"
+    + ", ".join(f"{rnd(' + '.join(f's{i} * w{i}_{j}' for i in range(3)), 6)} AS e{j}"
                 for j in range(8)) + " FROM s, w"))
 def _(spark, folder):
     f = C.features(spark, folder)
@@ -299,8 +299,8 @@ def _(spark, folder):
 
 @query("agg_19_mean_and_covariance", "WITH x AS (SELECT " + ", ".join(
     f"embedding[{i + 1}]::DOUBLE AS v{i}" for i in range(6)) + " FROM embeddings) " + " UNION ALL "
-    .join(f"SELECT 'v{i}' AS a, 'v{j}' AS b, round(avg(v{i}), 9) AS mean_a, round(avg(v{j}), 9)"
-          f" AS mean_b, round(covar_samp(v{i}, v{j}), 9) AS cov FROM x"
+    .join(f"SELECT 'v{i}' AS a, 'v{j}' AS b, {rnd(f'avg(v{i})', 9)} AS mean_a, "
+          f"{rnd(f'avg(v{j})', 9)} AS mean_b, {rnd(f'covar_samp(v{i}, v{j})', 9)} AS cov FROM x"
           for i in range(6) for j in range(i, 6)))
 def _(spark, folder):
     e = read_table(spark, folder, "embeddings")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from txnspark.plans import common as C
 from txnspark.plans import runs as R
-from txnspark.plans.oracle import rules
+from txnspark.plans.oracle import rnd, rules
 from txnspark.plans.queries_aggregates import CURVE
 from txnspark.plans.registry import query
 from txnspark.session import new_path
@@ -136,8 +136,8 @@ def _(spark, folder):
 
 
 @query("win_14_metric_change", history_sql("""
-SELECT run, key, test_ap, round(test_ap - lag(test_ap) OVER (PARTITION BY key ORDER BY run), 9)
-  AS change FROM models"""))
+SELECT run, key, test_ap, """ + rnd(
+    "test_ap - lag(test_ap) OVER (PARTITION BY key ORDER BY run)", 9) + """ AS change FROM models"""))
 def _(spark, folder):
     return R.metric_change(C.history(spark, folder), "test_ap").withColumn(
         "change", F.round("change", 9))
@@ -179,8 +179,8 @@ def _(spark, folder):
 @query("mlx_19_run_records", history_sql("""
 , raw AS (SELECT run, auc AS a0, ap AS p0 FROM models WHERE key = 'raw')
 SELECT run, run_id, tier, embed_max, duration_sec, registered,
-  max(round((auc - a0) / nullif(a0, 0) * 100, 2)) FILTER (key = 'combined') AS combined_auc_pct,
-  max(round((ap - p0) / nullif(p0, 0) * 100, 2)) FILTER (key = 'embed') AS embed_ap_pct,
+  max(""" + rnd("(auc - a0) / nullif(a0, 0) * 100", 2) + """) FILTER (key = 'combined') AS combined_auc_pct,
+  max(""" + rnd("(ap - p0) / nullif(p0, 0) * 100", 2) + """) FILTER (key = 'embed') AS embed_ap_pct,
   count(*) AS heads
 FROM models JOIN raw USING (run) JOIN reg USING (run, run_id) GROUP BY ALL"""))
 def _(spark, folder):
