@@ -8,5 +8,6 @@ from txnspark.plans import (  # noqa: F401
     queries_joins,
     queries_models,
     queries_runs,
+    queries_streams,
 )
 from txnspark.plans.registry import ORACLES, QUERIES  # noqa: F401
