@@ -3,7 +3,7 @@
 A running sum, a row number or a "previous row" over a whole table has no
 partition key, so a plain window would sort everything in one task. Here the
 order key is cut into ranges of near-equal row counts; each range is scanned in
-its own task and one summary row per range carries the state across the cuts.
+its own task, and a summary per range carries the state across the cuts.
 One key (or group) holding most of the rows is spread over many ranges.
 
 The cut points are a function of the data alone (keys with a small hash), so
@@ -25,25 +25,39 @@ def default_ranges(df: DataFrame) -> int:
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_range(df: DataFrame, order_by: list[str], ranges: int | None = None,
-               name: str = "_range") -> DataFrame:
-    """Adds the range number of each row. ``order_by`` must identify a row."""
-    ranges = ranges or default_ranges(df)
-    key = F.struct(*order_by) if len(order_by) > 1 else F.col(order_by[0])
-    keys = df.select(*order_by)
-    total = keys.agg(F.count(F.lit(1)).cast("double")).scalar()
+def _key(order_by: list[str]) -> Column:
+    return F.struct(*order_by) if len(order_by) > 1 else F.col(order_by[0])
+
+
+def range_cuts(df: DataFrame, order_by: list[str], ranges: int, carry: Column) -> Column:
+    """Sorted array of structs (k, v): the order key of a cut row and a value of that row.
+
+    About ``ranges`` entries. The count behind the sampling rate needs no columns,
+    so on a table scan it comes from the file footers.
+    """
+    total = df.agg(F.count(F.lit(1)).cast("double")).scalar()
     draw = F.pmod(F.xxhash64(*order_by), F.lit(_HASH_SPAN)) / F.lit(float(_HASH_SPAN))
-    drawn = keys.where(draw * total < F.lit(float(ranges * _OVERSAMPLE)))
-    cuts = (drawn.agg(F.sort_array(F.collect_list(key)).alias("s"))
+    drawn = df.where(draw * total < F.lit(float(ranges * _OVERSAMPLE)))
+    entries = F.sort_array(F.collect_list(F.struct(_key(order_by).alias("k"), carry.alias("v"))))
+    return (drawn.agg(entries.alias("s"))
             .select(F.filter("s", lambda x, i: i % _OVERSAMPLE == _OVERSAMPLE - 1)).scalar())
+
+
+def with_range(df: DataFrame, order_by: list[str], cuts: Column, ranges: int) -> DataFrame:
+    """Adds ``_range``: how many cut keys lie below the row's key (binary search).
+
+    Range r ends with the row of cut r itself, so cut r-1 is the row right before
+    the first row of range r.
+    """
     steps, step = [], 1
     while step < 2 * ranges + 64:
         steps.append(step)
         step *= 2
+    below = lambda at: F.get(F.col("_cuts"), at)["k"] < _key(order_by)
     found = F.aggregate(
         F.array(*[F.lit(s) for s in reversed(steps)]), F.lit(0),
-        lambda at, s: F.when(F.get(F.col("_cuts"), at + s - 1) < key, at + s).otherwise(at))
-    return df.withColumn("_cuts", cuts).withColumn(name, found).drop("_cuts")
+        lambda at, s: F.when(below(at + s - 1), at + s).otherwise(at))
+    return df.withColumn("_cuts", cuts).withColumn("_range", found).drop("_cuts")
 
 
 def prefix_sum(df: DataFrame, order_by: list[str], sums: dict[str, str],
@@ -51,10 +65,12 @@ def prefix_sum(df: DataFrame, order_by: list[str], sums: dict[str, str],
     """Running totals (current row included) in the order of ``order_by``.
 
     ``sums`` maps output column to input column. (group_by, order_by) must be
-    unique per row: group ties first.
+    unique per row: group ties first. The input is read several times: pass a
+    written table when the plan behind it is expensive.
     """
     group = list(group_by or [])
-    d = with_range(df, [*group, *order_by], ranges)
+    order, ranges = [*group, *order_by], ranges or default_ranges(df)
+    d = with_range(df, order, range_cuts(df, order, ranges, F.lit(0)), ranges)
     per_range = d.groupBy(*group, "_range").agg(
         *[F.sum(c).alias(f"_t_{out}") for out, c in sums.items()])
     earlier = (W.partitionBy(*group).orderBy("_range")
@@ -84,23 +100,20 @@ def previous_value(df: DataFrame, group_by: list[str], order_by: list[str], valu
                    name: str, ranges: int | None = None) -> DataFrame:
     """``value`` of the row before, within its group; NULL on a group's first row.
 
-    A row is shuffled once. Only the first row of a range needs state from
-    outside, and that state is the last row of the range before it.
+    A row is shuffled once. Only the first row of a range needs something from
+    outside, the row before it, and that one is a cut row.
     """
-    order = [*group_by, *order_by]
-    d = with_range(df.withColumn("_v", value), order, ranges)
+    order, ranges = [*group_by, *order_by], ranges or default_ranges(df)
     key = F.struct(*group_by)
-    last = d.groupBy("_range").agg(
-        F.max_by(F.struct(key.alias("g"), F.col("_v").alias("v")), F.struct(*order)).alias("_l"))
-    # One row per range: a window without partition key is bounded here.
-    carry = last.select("_range", F.lag("_l").over(W.orderBy("_range")).alias("_carry"))
+    here = F.struct(key.alias("g"), F.col("_v").alias("v"))
+    rows = df.withColumn("_v", value)
+    cuts = range_cuts(rows, order, ranges, here)
     inside = W.partitionBy("_range").orderBy(*order)
-    before = F.coalesce(
-        F.lag(F.struct(key.alias("g"), F.col("_v").alias("v"))).over(inside), F.col("_carry"))
-    return (d.join(F.broadcast(carry), "_range", "left")
-            .withColumn("_b", before)
+    return (with_range(rows, order, cuts, ranges)
+            .withColumn("_lag", F.lag(here).over(inside)).withColumn("_cuts", cuts)
+            .withColumn("_b", F.coalesce("_lag", F.get("_cuts", F.col("_range") - 1)["v"]))
             .withColumn(name, F.when(F.col("_b.g") == key, F.col("_b.v")))
-            .drop("_range", "_carry", "_b", "_v"))
+            .drop("_range", "_cuts", "_lag", "_b", "_v"))
 
 
 def thin_positions(df: DataFrame, position: str, length: Column, points: int = 100) -> DataFrame:

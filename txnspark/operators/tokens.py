@@ -73,7 +73,8 @@ def fit_vocabulary(slotted: DataFrame, slots: list[str] = SLOTS) -> DataFrame:
     Written to the shared folder: it is the fitted state that encode and decode
     reuse, and its size is known to the planner.
     """
-    counts = token_counts(slotted, slots).withColumn("_down", -F.col("n"))
+    counts = materialize(token_counts(slotted, slots), "token-counts")
+    counts = counts.withColumn("_down", -F.col("n"))
     ids = dense_ids(counts, ["_down", "token"], "pos")
     ordinary = ids.select("token", (F.col("pos") + len(SPECIALS)).cast("int").alias("id"), "n")
     special = slotted.sparkSession.createDataFrame(

@@ -117,7 +117,10 @@ def train_heads(rows: DataFrame, budget: int | None, rounds: dict[str, int] | in
     The selected rows and the head inputs are written once; the three fits and all
     reports read them.
     """
-    chosen = materialize(select_rows(rows, budget), "selection")
+    spark = rows.sparkSession
+    # Boosting scans its rows hundreds of times: spread them evenly over all cores once.
+    chosen = materialize(select_rows(rows, budget).repartition(
+        spark.sparkContext.defaultParallelism, "row_id"), "selection")
     train = chosen.where(F.col("split") == "train")
     vocabulary = K.fit_vocabulary(K.with_slots(train))
     dictionary = E.fit_dictionary(train)
