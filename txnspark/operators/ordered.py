@@ -126,10 +126,10 @@ def thin_positions(df: DataFrame, position: str, length: Column, points: int = 1
     span, gaps = length - 1, m - 1
     pos, step = F.col(position), span / F.nullif(gaps, F.lit(0))
     near = F.round(pos * gaps / F.nullif(span, F.lit(0)))
-    hit = pos == span
+    hit = pos == span  # the last point is the end itself
     for shift in (-1, 0, 1):  # rounding can move the matching i by one
         i = near + shift
-        hit = hit | (i.between(0, gaps) & (F.floor(i * step) == pos))
+        hit = hit | (i.between(0, gaps - 1) & (F.floor(i * step) == pos))
     return df.where(F.when(gaps < 1, pos == 0).otherwise(hit))
 
 
