@@ -89,3 +89,28 @@ def test_rates(spark):
     plan = split_plan(dated(spark, {20240101: 70, 20240102: 20, 20240103: 10}),
                       train_cap=35, eval_rows=100).first()
     assert plan["keep_train"] == 0.5 and plan["keep_test"] == 1.0
+
+
+@pytest.mark.parametrize("n", [0, 1, 500, 999, 1000, 2000])
+def test_first_rows(spark, n):
+    df = rows(spark, 1000).repartition(6)
+    got = sorted(r["row_id"] for r in P.first_rows(df, n, ranges=16).collect())
+    assert got == list(range(min(n, 1000)))
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from txnspark.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(4)
+    values = np.where(rng.random(999) < 0.34, 5.0, np.round(rng.normal(5, 3, 999), 1))
+    df = spark.createDataFrame([(int(i % 2), float(v)) for i, v in enumerate(values)],
+                               "g int, v double")
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.95, 1.0]
+    got = exact_quantiles(df, "v", probabilities, ["g"], ranges=12).collect()
+    for g in (0, 1):
+        want = np.quantile(values[g::2], probabilities)
+        mine = [r["value"] for r in sorted(got, key=lambda r: r["i"]) if r["g"] == g]
+        assert np.allclose(mine, want)
+    whole = sorted((r["i"], r["value"]) for r in exact_quantiles(df, "v", probabilities).collect())
+    assert np.allclose([v for _, v in whole], np.quantile(values, probabilities))

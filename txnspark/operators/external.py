@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnspark import schema as S
+from txnspark.operators.sampling import first_rows
 
 # --- fixed values: limits of the external scorer contract ---
 SCORE_TIMEOUT_S = 2.5
@@ -57,7 +58,7 @@ def external_scores(df: DataFrame, scorer: FrameScorer, columns: list[str] | Non
 
 def external_training_rows(train: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """The first rows by id: what an external fit is allowed to see."""
-    return S.require_columns(train, S.RAW_VIEW).orderBy("row_id").limit(rows)
+    return first_rows(S.require_columns(train, S.RAW_VIEW), rows)
 
 
 class FrameModel:

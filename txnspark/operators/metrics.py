@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from txnspark import schema as S
-from txnspark.operators.ordered import dense_ids, prefix_sum, thin_positions
+from txnspark.operators.ordered import prefix_sum, thin_positions
 from txnspark.session import materialize
 
 HISTOGRAM_BINS = 30
@@ -32,8 +32,9 @@ def by_threshold(scores: DataFrame, group_by: list[str], ranges: int | None = No
                .withColumn("_down", -F.col("p")))
     if staged:
         grouped = materialize(grouped, "score-counts")
-    return prefix_sum(grouped, ["_down"], {"cum_pos": "pos", "cum_neg": "neg"},
-                      group_by, ranges).drop("_down")
+    ranked = prefix_sum(grouped.withColumn("_one", F.lit(1).cast("bigint")), ["_down"],
+                        {"cum_pos": "pos", "cum_neg": "neg", "rank": "_one"}, group_by, ranges)
+    return ranked.drop("_down", "_one")
 
 
 def ranking_metrics(scores: DataFrame, group_by: list[str],
@@ -52,11 +53,12 @@ def ranking_metrics(scores: DataFrame, group_by: list[str],
 def curve(scores: DataFrame, ranges: int | None = None) -> DataFrame:
     """Precision, recall (true-positive rate) and false-positive rate per threshold."""
     t = by_threshold(scores, ["head"], ranges)
-    totals = scores.where(F.col("p").isNotNull()).groupBy("head").agg(
-        F.sum("y").cast("double").alias("_p"), F.sum(1 - F.col("y")).cast("double").alias("_n"))
-    # One row per head.
+    # The last threshold of a head holds its totals: one row per head.
+    totals = t.groupBy("head").agg(
+        F.max("cum_pos").cast("double").alias("_p"), F.max("cum_neg").cast("double").alias("_n"),
+        F.max("rank").alias("thresholds"))
     return t.join(F.broadcast(totals), "head").select(
-        "head", "p", "cum_pos", "cum_neg",
+        "head", "p", "cum_pos", "cum_neg", "rank", "thresholds",
         (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
         F.try_divide(F.col("cum_pos"), F.col("_p")).alias("recall"),
         F.try_divide(F.col("cum_neg"), F.col("_n")).alias("fpr"))
@@ -64,11 +66,8 @@ def curve(scores: DataFrame, ranges: int | None = None) -> DataFrame:
 
 def thinned_curve(scores: DataFrame, points: int = 100) -> DataFrame:
     """The curve at no more than ``points`` evenly spaced thresholds per head."""
-    c = curve(scores).withColumn("_down", -F.col("p"))
-    ids = dense_ids(c, ["_down"], "pos", group_by=["head"]).drop("_down")
-    sizes = ids.groupBy("head").agg(F.count(F.lit(1)).alias("_len"))
-    return thin_positions(ids.join(F.broadcast(sizes), "head"), "pos", F.col("_len"),
-                          points).drop("_len")
+    c = curve(scores).withColumn("pos", F.col("rank") - 1)
+    return thin_positions(c, "pos", F.col("thresholds"), points).drop("rank", "thresholds")
 
 
 def histogram_bin(p, bins: int = HISTOGRAM_BINS):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from txnspark import schema as S
 from txnspark.functions.hashing import uniform
+from txnspark.operators.ordered import default_ranges, range_cuts, with_range
 
 _BINS = 65536
 
@@ -71,6 +72,26 @@ def exact_sample(df: DataFrame, n: int, salt: str, key: str = "row_id",
                           salt, F.lit(0), key, bins)
 
 
+def first_rows(df: DataFrame, n: int, key: str = "row_id", ranges: int | None = None) -> DataFrame:
+    """The ``n`` rows with the smallest (unique) keys.
+
+    Counts per key range find the range of the last wanted row, that range alone is
+    ranked, and the result is a filter on the key; no task merges everyone's rows.
+    """
+    ranges = ranges or default_ranges(df)
+    keys = df.select(key)
+    placed = with_range(keys, [key], range_cuts(keys, [key], ranges, F.lit(0)), ranges)
+    # One row per range.
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_cum", F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, 0)))
+    edge = counts.where((F.col("_cum") >= n) & (F.col("_cum") - F.col("_n") < n)).select(
+        "_range", (F.lit(n) - F.col("_cum") + F.col("_n")).alias("_take"))
+    rank = F.row_number().over(W.partitionBy("_range").orderBy(key))
+    last = (placed.join(F.broadcast(edge), "_range").withColumn("_r", rank)
+            .where(F.col("_r") == F.col("_take")).agg(F.max(key)).scalar())
+    return df.where(F.lit(n > 0) & F.coalesce(F.col(key) <= last, F.lit(True)))
+
+
 def balanced_sample(df: DataFrame, budget: int, salt: str, label: str = "y",
                     positive_share: float = 0.1, key: str = "row_id",
                     bins: int = _BINS) -> DataFrame:

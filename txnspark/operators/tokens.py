@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from txnspark import schema as S
 from txnspark.functions.hashing import bucket
 from txnspark.operators.ordered import dense_ids
+from txnspark.operators.quantiles import exact_quantiles
 from txnspark.session import materialize
 
 # --- fixed values: special tokens (ids in this order) and sequence layout ---
@@ -107,7 +108,7 @@ def encode_arrays(df: DataFrame, vocabulary: DataFrame, tokens: str = "tokens",
                   key: str = "row_id", length: int = S.SEQUENCE_LENGTH) -> DataFrame:
     """(key, ids) for token arrays of any length; a row's tokens are one group."""
     lookup = vocabulary.select("token", "id")
-    hits = (df.select(key, F.posexplode(tokens).alias("at", "token"))
+    hits = (df.select(key, F.posexplode(F.slice(tokens, 1, length)).alias("at", "token"))
             .join(lookup, "token", "left")
             .groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
                 "at", F.coalesce("id", F.lit(UNK_ID)).alias("id")))).alias("_hits")))
@@ -143,9 +144,9 @@ def unknown_tokens(slotted: DataFrame, vocabulary: DataFrame,
 
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """One row: the exact inner quantile edges, duplicates dropped."""
-    at = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    return df.agg(F.array_distinct(F.percentile(column, at)).alias("edges"))
+    """One row: the exact quantile edges, smallest to largest, duplicates dropped."""
+    q = exact_quantiles(df, column, [i / bins for i in range(bins + 1)])
+    return q.agg(F.array_sort(F.collect_set("value")).alias("edges"))
 
 
 def quantile_bin(df: DataFrame, column: str, edges: DataFrame, out: str) -> DataFrame:

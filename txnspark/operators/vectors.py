@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from txnspark import schema as S
 from txnspark.functions.hashing import normal
 from txnspark.operators.tokens import PAD_ID
+from txnspark.session import path_exists
 
 BATCH_ROWS = 512
 
@@ -48,6 +49,13 @@ def last_state(sequence) -> Column:
     return F.element_at(sequence, -1)
 
 
+def mean_state(sequence, dim: int) -> Column:
+    """Mean of the vectors of a sequence, within the row."""
+    total = F.aggregate(sequence, F.array_repeat(F.lit(0.0), dim), lambda s, v: F.zip_with(
+        s, v, lambda a, b: a + b.cast("double")))
+    return F.transform(total, lambda x: x / F.size(sequence))
+
+
 def linear_map(signals: list[Column], dim: int, salt: str = "projection") -> Column:
     """``signals`` times a hash-generated matrix, as an array of ``dim`` doubles."""
     def component(j):
@@ -127,13 +135,9 @@ def embed_cached(encoded: DataFrame, embedder: Embedder, path: str,
     ``path`` should name the data version, the row budget and the split.
     """
     spark = encoded.sparkSession
-    try:
-        stored = spark.read.parquet(path)
-        todo = encoded.join(stored.select(key), key, "left_anti")
-    except Exception as exc:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        todo = encoded
+    todo = encoded
+    if path_exists(spark, path):
+        todo = encoded.join(spark.read.parquet(path).select(key), key, "left_anti")
     embed(todo, embedder, key).write.mode("append").parquet(path)
     return spark.read.parquet(path).join(encoded.select(key), key, "left_semi")
 

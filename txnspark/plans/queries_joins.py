@@ -99,12 +99,12 @@ def _(spark, folder):
     return left.join(right, "row_id")
 
 
-@query("joi_08_rows_to_embed", EMB_SQL + f""", cached AS ({_exact_sql(3000, 'cache', 'keyed')})
+@query("joi_08_rows_to_embed", EMB_SQL + f""", cached AS (SELECT * FROM keyed WHERE {u('row_id', 'cache')} < 0.3)
  SELECT split, count(*) AS todo FROM (SELECT row_id, CASE WHEN vec_id < 250 THEN 'a' ELSE 'b' END
  AS split FROM keyed) ANTI JOIN cached USING (row_id) GROUP BY split""")
 def _(spark, folder):
     f = _with_vec_id(spark, folder)
-    cached = P.exact_sample(f.select("row_id"), 3000, "cache")
+    cached = P.bernoulli_sample(f.select("row_id"), 0.3, "cache")
     todo = f.join(cached, "row_id", "left_anti")
     side = F.when(F.col("vec_id") < 250, "a").otherwise("b").alias("split")
     return todo.groupBy(side).agg(F.count(F.lit(1)).alias("todo"))
@@ -221,7 +221,7 @@ def _(spark, folder):
  SELECT row_id, amount FROM split_rows WHERE split = 'train' ORDER BY row_id LIMIT 2000"""))
 def _(spark, folder):
     rows = C.split_features(spark, folder).where(F.col("split") == "train")
-    return rows.select("row_id", "amount").orderBy("row_id").limit(2000)
+    return P.first_rows(rows.select("row_id", "amount"), 2000).orderBy("row_id")
 
 
 @query("set_01_union", events(splits(S.TRAIN_CAP, S.EVAL_ROWS) + """

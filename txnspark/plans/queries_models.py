@@ -103,12 +103,10 @@ def _(spark, folder):
     states = F.array(*[F.slice("embedding", 1 + 16 * i, 16) for i in range(4)])
     e = read_table(spark, folder, "embeddings").select("vec_id", states.alias("states"))
     last = V.last_state("states")
-    mean = e.select("vec_id", F.posexplode("states").alias("at", "embedding")).groupBy(
-        "vec_id").agg(F.avg(F.col("embedding")[0].cast("double")).alias("mean_0"))
-    return e.join(mean, "vec_id").select(
+    return e.select(
         "vec_id", F.round(last[0].cast("double"), 6).alias("last_0"),
         F.round(last[15].cast("double"), 6).alias("last_15"),
-        F.round("mean_0", 6).alias("mean_0"))
+        F.round(V.mean_state("states", 16)[0], 6).alias("mean_0"))
 
 
 def _head_query(name, head):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txnspark.session import path_exists
+
 RUN_SCHEMA = """
   run int, run_id string, started_at string, finished_at string, duration_sec double,
   budget struct<tier:int, embed_max:int, scale:double,
@@ -33,11 +34,10 @@ def append_runs(runs: DataFrame, path: str) -> None:
 def run_history(spark: SparkSession, path: str) -> DataFrame:
     """All readable records. A missing folder is an empty history, a broken line is skipped."""
     schema = T.StructType.fromDDL(f"{RUN_SCHEMA}, {_CORRUPT} string")
-    try:
-        records = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-                   .option("columnNameOfCorruptRecord", _CORRUPT).json(path))
-    except AnalysisException:
+    if not path_exists(spark, path):
         return spark.createDataFrame([], T.StructType.fromDDL(RUN_SCHEMA))
+    records = (spark.read.schema(schema).option("mode", "PERMISSIVE")
+               .option("columnNameOfCorruptRecord", _CORRUPT).json(path))
     # A document without a run number is not a record either.
     return (records.where(F.col(_CORRUPT).isNull() & F.col("run").isNotNull()).drop(_CORRUPT))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from txnspark import schema as S
-from txnspark.session import materialize
+from txnspark.session import materialize, path_exists
 
 ROWS_PER_FILE = 250_000
 
@@ -23,8 +23,12 @@ class DataTarget:
     location: str | None = None
 
     def write_splits(self, df: DataFrame) -> None:
-        """All splits in one partitioned job."""
-        writer = (df.write.mode("overwrite").partitionBy("split")
+        """All splits in one partitioned job.
+
+        Rebalancing gives files of even size: no heavy split in one task, no file
+        per split from every task.
+        """
+        writer = (df.hint("rebalance", "split").write.mode("overwrite").partitionBy("split")
                   .option("compression", "snappy")
                   .option("maxRecordsPerFile", ROWS_PER_FILE))
         if self.kind == "path":
@@ -38,11 +42,7 @@ class DataTarget:
     def exists(self, spark: SparkSession) -> bool:
         if self.kind == "table":
             return spark.catalog.tableExists(self.name)
-        try:
-            spark.read.parquet(self.name)
-            return True
-        except AnalysisException:
-            return False
+        return path_exists(spark, self.name)
 
     def read_split(self, spark: SparkSession, split: str, columns: list[str]) -> DataFrame:
         """One split, pruned to its partition and columns."""
@@ -102,10 +102,10 @@ def footer_counts(spark: SparkSession, path: str) -> DataFrame:
 
 def safe_footer_count(spark: SparkSession, path: str) -> int | None:
     """None when nothing is there, 0 when it is not readable Parquet."""
+    if not path_exists(spark, path):
+        return None
     try:
         return footer_counts(spark, path).first()["n"]
-    except AnalysisException as exc:
-        return None if "PATH_NOT_FOUND" in str(exc) else 0
     except Exception:  # noqa: BLE001 - any unreadable file counts as empty
         return 0
 
@@ -136,15 +136,12 @@ def append_once(df: DataFrame, path: str, batch: str = "batch_id") -> None:
     """
     spark = df.sparkSession
     new = df
-    try:
+    if path_exists(spark, path):
         there = spark.read.parquet(path)
-    except AnalysisException:
-        there = None
-    if there is not None:
         count = lambda d, name: d.groupBy(batch).agg(F.count(F.lit(1)).alias(name))
         landed = materialize(count(df, "incoming").join(count(there, "landed"), batch), "landed")
         partial = landed.where(F.col("incoming") != F.col("landed"))
         if not partial.isEmpty():
             raise ValueError(f"batch {partial.first()[batch]} has landed only in part")
         new = df.join(landed.select(batch), batch, "left_anti")
-    new.write.mode("append").partitionBy(batch).parquet(path)
+    new.hint("rebalance", batch).write.mode("append").partitionBy(batch).parquet(path)
