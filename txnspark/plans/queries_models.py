@@ -95,6 +95,15 @@ def _(spark, folder):
                     F.round(F.sqrt(V.dot("embedding", "embedding")), 4).alias("length"))
 
 
+@query("mlx_03_embeddings_are_complete", events("""
+SELECT row_id, CAST(512 AS INTEGER) AS dim, true AS finite FROM feat"""))
+def _(spark, folder):
+    t = trained(spark, folder)
+    e = T.embedded(C.features(spark, folder), t.bundle.vocabulary, t.bundle.embedder)
+    return e.select("row_id", F.size("embedding").alias("dim"), F.forall(
+        "embedding", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6)).alias("finite"))
+
+
 @query("mlx_04_pooling", """
 SELECT vec_id, round(embedding[49]::DOUBLE, 6) AS last_0, round(embedding[64]::DOUBLE, 6) AS last_15,
   round((embedding[1]::DOUBLE + embedding[17] + embedding[33] + embedding[49]) / 4, 6) AS mean_0
@@ -116,6 +125,15 @@ def _head_query(name, head):
         return M.ranking_metrics(scores, ["head"])
 
 
+@query("mlx_13_heads_cover_the_test_split", events(SPLIT_SQL + """
+ SELECT head, CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg
+ FROM split_rows, (VALUES ('raw'), ('embed'), ('combined')) h(head)
+ WHERE split = 'test' GROUP BY head"""))
+def _(spark, folder):
+    m = M.ranking_metrics(trained(spark, folder).scores, ["head"])
+    return m.select("head", "n_pos", "n_neg")
+
+
 _head_query("mlx_05_raw_head", "raw")
 _head_query("mlx_06_embedding_head", "embed")
 _head_query("mlx_07_combined_head", "combined")
@@ -133,6 +151,26 @@ def _(spark, folder):
                                                        "p_combined")
 
 
+@query("mlx_11_scores_are_probabilities", events(SPLIT_SQL + """
+ SELECT row_id, y, true AS raw, true AS embed, true AS combined
+ FROM split_rows WHERE split = 'test'"""))
+def _(spark, folder):
+    scored = trained(spark, folder).bundle.score(_test(spark, folder))
+    return scored.select("row_id", "y", *[
+        F.coalesce(F.col(f"p_{h}").between(0, 1), F.lit(False)).alias(h) for h in T.HEAD_NAMES])
+
+
+@query("mlx_12_importances_add_up", """
+SELECT CAST(77 AS BIGINT) AS features, CAST(13 AS BIGINT) AS raw, 1e0 AS total""")
+def _(spark, folder):
+    t, names = trained(spark, folder), T.feature_names()
+    every = H.importances(t.bundle.heads["combined"], names, len(E.raw_feature_names()), spark,
+                          top=len(names))
+    return every.agg(F.count(F.lit(1)).alias("features"),
+                     F.count_if(F.col("kind") == "raw").alias("raw"),
+                     F.round(F.sum("importance"), 2).alias("total"))
+
+
 def _importances(spark, folder, head="combined"):
     t = trained(spark, folder)
     names = T.feature_names()
@@ -210,6 +248,16 @@ def _(spark, folder):
         "row_id", F.col("p").alias("probability"))
 
 
+@query("mlx_15_bundle_equals_training", events(SPLIT_SQL + """
+ SELECT row_id, true AS same FROM split_rows WHERE split = 'test'"""))
+def _(spark, folder):
+    t = trained(spark, folder)
+    now = T.Bundle.load(spark, _saved(spark, folder)).score(_test(spark, folder))
+    then = t.scores.where(F.col("head") == "combined").select("row_id", "p")
+    return now.join(then, "row_id").select(
+        "row_id", (F.abs(F.col("p") - F.col("p_combined")) < 1e-9).alias("same"))
+
+
 def stub_frame_scorer(frame):
     """The stub rule on a raw frame: an external scorer for tests."""
     online = frame["use_chip"].str.upper().str.contains("ONLINE").astype(float)
@@ -236,6 +284,19 @@ def _(spark, folder):
     return V.map_points(test).select("row_id", "x", F.col("y_pos"), F.col("y").alias("fraud"))
 
 
+@query("mlx_17_map_places_every_row", events(SPLIT_SQL + """
+ SELECT row_id, y AS fraud, true AS placed FROM split_rows WHERE split = 'test'"""))
+def _(spark, folder):
+    # Background points and live points come from the same operator.
+    t = trained(spark, folder)
+    background = V.map_points(t.inputs.where(F.col("split") == "test")).select(
+        "row_id", F.col("x").alias("x0"), F.col("y_pos").alias("y0"))
+    live = t.bundle.score(_test(spark, folder)).select("row_id", "y", "x", "y_pos")
+    gap = V.euclidean(F.col("x"), F.col("y_pos"), F.col("x0"), F.col("y0"))
+    return live.join(background, "row_id").select(
+        "row_id", F.col("y").alias("fraud"), (gap < 1e-4).alias("placed"))
+
+
 @query("mlx_18_examples", events(SPLIT_SQL + """
 , r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY row_id) - 1 AS i,
    count(*) OVER (PARTITION BY y) AS n FROM split_rows WHERE split = 'test')
@@ -264,6 +325,22 @@ def _(spark, folder):
                                  "component int, share double, cumulative double")
 
 
+@query("win_08_variance_of_two_components", """
+WITH c AS (SELECT var_samp(embedding[1]::DOUBLE) AS a, var_samp(embedding[2]::DOUBLE) AS b,
+  covar_samp(embedding[1]::DOUBLE, embedding[2]::DOUBLE) AS k FROM embeddings),
+r AS (SELECT a + b AS total, sqrt((a - b) ** 2 + 4 * k ** 2) AS spread FROM c)
+SELECT CAST(1 AS INTEGER) AS component, round((total + spread) / 2 / total, 9) AS share,
+  round((total + spread) / 2 / total, 9) AS cumulative FROM r
+UNION ALL SELECT 2, round((total - spread) / 2 / total, 9), 1e0 FROM r""")
+def _(spark, folder):
+    # Two dimensions have a closed form.
+    e = read_table(spark, folder, "embeddings").select(F.slice("embedding", 1, 2).alias(
+        "embedding"))
+    rows = V.explained_variance(V.fit_pca(e, 2))
+    table = spark.createDataFrame(rows, "component int, share double, cumulative double")
+    return table.withColumns({c: F.round(c, 9) for c in ("share", "cumulative")})
+
+
 @query("src_14_embedding_cache", events(SPLIT_SQL + """
  SELECT split, count(*) AS cached, count(*) FILTER (row_id % 3 = 0) AS reused
  FROM split_rows GROUP BY split"""))

@@ -18,6 +18,7 @@ from txnspark.operators.sampling import balanced_sample, natural_sample
 from txnspark.session import materialize
 
 HEAD_NAMES = ["raw", "embed", "combined"]
+ROWS_PER_TASK = 100_000  # about 200 MB of 512-d embeddings
 
 
 @dataclass
@@ -118,15 +119,16 @@ def train_heads(rows: DataFrame, budget: int | None, rounds: dict[str, int] | in
     reports read them.
     """
     spark = rows.sparkSession
-    # Boosting scans its rows hundreds of times: spread them evenly over all cores once.
-    chosen = materialize(select_rows(rows, budget).repartition(
-        spark.sparkContext.defaultParallelism, "row_id"), "selection")
+    chosen = materialize(select_rows(rows, budget), "selection")
     train = chosen.where(F.col("split") == "train")
     vocabulary = K.fit_vocabulary(K.with_slots(train))
     dictionary = E.fit_dictionary(train)
     embedder = V.HashedProjection(vocabulary.count(), dim)
+    # Boosting scans its rows hundreds of times: spread them once, over every core and
+    # in parts that fit a task.
+    parts = max(spark.sparkContext.defaultParallelism, chosen.count() // ROWS_PER_TASK + 1)
     with_vectors = materialize(E.with_raw_features(
-        embedded(chosen, vocabulary, embedder), dictionary)
+        embedded(chosen.repartition(parts, "row_id"), vocabulary, embedder), dictionary)
         .select("row_id", "y", "split", "raw", "embedding"), "embedded")
     pca = V.fit_pca(with_vectors.where(F.col("split") == "train"), components)
     inputs = materialize(V.apply_pca(with_vectors, pca).select(
