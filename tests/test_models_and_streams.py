@@ -190,3 +190,12 @@ def test_replayed_batch_changes_nothing(spark, path):
     for _ in range(2):
         jobs.write_batch(df, path, 0)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_embedding_of_ragged_and_empty_batches(spark):
+    df = spark.createDataFrame([(1, [2, 4, 3]), (2, [5]), (3, [2, 4, 5, 6, 3])],
+                               "row_id long, ids array<int>")
+    count = lambda ids: np.stack([ids.sum(axis=1), (ids > 0).sum(axis=1)], axis=1)
+    got = {r["row_id"]: r["embedding"] for r in V.embed(df.coalesce(1), count).collect()}
+    assert got == {1: [9.0, 3.0], 2: [5.0, 1.0], 3: [20.0, 5.0]}
+    assert V.embed(df.where("row_id > 9"), count).count() == 0

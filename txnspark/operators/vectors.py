@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -109,23 +109,47 @@ class HashedProjection:
 Embedder = Callable[[np.ndarray], np.ndarray]
 
 
-def embed(encoded: DataFrame, embedder: Embedder, key: str = "row_id", ids: str = "ids",
-          batch: int = BATCH_ROWS) -> DataFrame:
-    """(key, embedding): id matrices go to ``embedder`` in batches of ``batch`` rows.
+def _id_matrix(ids: pa.Array) -> np.ndarray:
+    """Id lists as one matrix, shorter lists padded at the end."""
+    lengths = ids.value_lengths().to_numpy(zero_copy_only=False)
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    width = int(lengths.max(initial=1))
+    if (lengths == width).all():
+        return flat.reshape(-1, width)
+    out = np.full((len(lengths), width), PAD_ID, dtype=np.int64)
+    out[np.arange(width) < lengths[:, None]] = flat
+    return out
 
-    ``embedder`` maps an (n, length) int array to an (n, dim) float array and is
-    shipped once per task.
+
+def _embed_ids(embedder: Embedder, ids: pa.Array) -> pa.Array:
+    """Vectors of one Arrow batch as an Arrow list array, ``BATCH_ROWS`` rows per call."""
+    matrix = _id_matrix(ids)
+    parts = [np.asarray(embedder(matrix[at:at + BATCH_ROWS]), dtype=np.float32)
+             for at in range(0, len(matrix), BATCH_ROWS)]
+    vectors = np.concatenate(parts) if parts else np.zeros((0, 1), dtype=np.float32)
+    offsets = np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(vectors.reshape(-1)))
+
+
+def embedding_column(embedder: Embedder, ids) -> Column:
+    """The embedding of ``ids`` as a column; ``embedder`` maps an (n, length) int array
+    to an (n, dim) float array and is shipped once per task.
+
+    A column keeps the other fields of the row in the JVM, so nothing has to be
+    joined back.
     """
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at:at + batch]
-                matrix = np.stack(part[ids].to_numpy()).astype(np.int64)
-                vectors = np.asarray(embedder(matrix), dtype=np.float32)
-                yield pd.DataFrame({key: part[key].to_numpy(), "embedding": list(vectors)})
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield _embed_ids(embedder, batch)
+
+    return run(ids)
+
 
-    kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(key, ids).mapInPandas(run, f"{key} {kind}, embedding array<float>")
+def embed(encoded: DataFrame, embedder: Embedder, key: str = "row_id",
+          ids: str = "ids") -> DataFrame:
+    """(key, embedding) of every row."""
+    return encoded.select(key, embedding_column(embedder, F.col(ids)).alias("embedding"))
 
 
 def embed_cached(encoded: DataFrame, embedder: Embedder, path: str,
@@ -187,21 +211,3 @@ def mean_vector(df: DataFrame, embedding: str = "embedding") -> DataFrame:
 def map_points(pca: DataFrame, components: str = "pca") -> DataFrame:
     """2-D position: the first two components, the same rule for old and new rows."""
     return pca.withColumns({"x": F.col(components)[0], "y_pos": F.col(components)[1]})
-
-
-def embedding_column(embedder: Embedder, ids):
-    """The embedding of ``ids`` as a column.
-
-    A column keeps the other fields of the row in the JVM, so nothing has to be
-    joined back.
-    """
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in batches:
-            out = []
-            for at in range(0, len(series), BATCH_ROWS):
-                matrix = np.stack(series.iloc[at:at + BATCH_ROWS].to_numpy()).astype(np.int64)
-                out.extend(np.asarray(embedder(matrix), dtype=np.float32))
-            yield pd.Series(out)
-
-    return run(ids)
