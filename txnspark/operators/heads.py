@@ -68,13 +68,14 @@ def fit(head: str, train: DataFrame, rounds: int | None = None,
 
 def staged_scores(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
     """(round, row_id, y, p): the score after each boosting round, rounds from 1."""
-    d, margin, stages = rows, F.lit(0.0), []
-    for i, (tree, weight) in enumerate(zip(model.trees, model.treeWeights)):
+    d = rows
+    for i, tree in enumerate(model.trees):
         d = tree.setPredictionCol(f"_t{i}").transform(d)
-    for i, weight in enumerate(model.treeWeights):
-        margin = margin + F.lit(float(weight)) * F.col(f"_t{i}")
-        stages.append(F.struct(F.lit(i + 1).alias("round"), logistic(margin * 2).alias("p")))
-    return d.select("row_id", "y", F.inline(F.array(*stages)))
+    steps = F.array(*[F.lit(float(w)) * F.col(f"_t{i}") for i, w in enumerate(model.treeWeights)])
+    margins = F.aggregate(steps, F.array().cast("array<double>"), lambda done, step: F.concat(
+        done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)) + step)))
+    return d.select("row_id", "y", F.posexplode(margins).alias("at", "margin")).select(
+        (F.col("at") + 1).alias("round"), "row_id", "y", logistic(F.col("margin") * 2).alias("p"))
 
 
 def eval_curve(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from txnspark.plans import common as C
 from txnspark.plans import ingest
 from txnspark.plans.oracle import events, rnd, rules, splits
 from txnspark.plans.registry import query
-from txnspark.sources.transactions import order_dates, read_table
+from txnspark.sources.transactions import read_table
 
 # Caps of the registered ingest runs, low enough that thinning happens at test scale;
 # date counts, cut-offs and the filter still read every row.
@@ -19,7 +19,6 @@ TRAIN_CAP, EVAL_ROWS = 4000, 600
 
 ROUND_RATES = ("round(keep_train, 9) AS keep_train, round(keep_val, 9) AS keep_val, "
                "round(keep_test, 9) AS keep_test")
-BIGINT = "CAST({0} AS BIGINT) AS {0}".format
 CURVE = """, grp AS (SELECT {by}, p, sum(y) AS pos, sum(1 - y) AS neg FROM {src} GROUP BY {by}, p),
 cumul AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn, sum(pos) OVER t AS np,
     sum(neg) OVER t AS nn FROM grp
@@ -27,7 +26,6 @@ cumul AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn, sum(pos) OVER
 met AS (SELECT {by}, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,
     sum(neg * (cp - pos / 2e0)) / nullif(sum(pos) * sum(neg), 0) AS auc,
     sum(pos * (cp::DOUBLE / (cp + cn))) / nullif(sum(pos), 0) AS ap FROM cumul GROUP BY {by})"""
-CLASSES = ["raw", "embed", "combined", "external"]
 TEST_SCORES = splits(1000000, 100000) + """,
 test_rows AS (SELECT row_id FROM split_rows WHERE split = 'test'),
 test_scores AS (SELECT scores.* FROM scores SEMI JOIN test_rows USING (row_id))"""
@@ -38,7 +36,7 @@ def _(spark, folder):
     return date_counts(C.features(spark, folder))
 
 
-@query("agg_02_rows_per_split", events(splits(TRAIN_CAP, EVAL_ROWS)[0:]
+@query("agg_02_rows_per_split", events(splits(TRAIN_CAP, EVAL_ROWS)
        + " SELECT train_cut, test_cut, total, n_train, n_val, n_test FROM plan"))
 def _(spark, folder):
     return split_plan(C.features(spark, folder)).select(
@@ -217,7 +215,3 @@ def _(spark, folder):
 def _(spark, folder):
     return read_table(spark, folder, "lineitem").agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("lineitem").alias("name"), "n")
-
-
-# Registered for their use in other query modules.
-__all__ = ["CURVE", "TEST_SCORES", "HISTOGRAM", "LINE_SCORES", "VALUE_SCORES", "order_dates"]
