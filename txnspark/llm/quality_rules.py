@@ -126,8 +126,8 @@ def _append(values: Column, entry) -> Column:
     return F.get(F.transform(F.array(values), lambda v: F.concat(v, F.array(entry(v)))), 0)
 
 
-def _estimates(sums: DataFrame, cell: list[str], factor: float) -> DataFrame:
-    """Written table: centre m0.. and inverse Cholesky factor v00.. of the covariance.
+def _inverse_factor(factor: float) -> list[Column]:
+    """m0.. and v00..: centre and inverse Cholesky factor of the covariance, from sums.
 
     The least spread joins each variance, so a feature that never varies (or a cell of
     copies) stays invertible.
@@ -162,11 +162,12 @@ def _estimates(sums: DataFrame, cell: list[str], factor: float) -> DataFrame:
         for i, j in pairs:
             at[kind, i, j] = len(at)
             values = _append(values, make(i, j))
-    d = sums.select(*cell, *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(p)],
-                    values.alias("_values"))
-    return materialize(d.select(
-        *cell, *[f"m{i}" for i in range(p)],
-        *[F.get("_values", at["v", i, j]).alias(f"v{i}{j}") for i, j in pairs]), "mcd-estimates")
+    return [*[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(p)],
+            F.slice(values, 2 * len(pairs) + 1, len(pairs)).alias("v")]
+
+
+def _estimates(sums: DataFrame, cell: list[str], factor: list[Column]) -> DataFrame:
+    return materialize(sums.select(*cell, *factor), "mcd-estimates")
 
 
 def _distance(rows: DataFrame, estimates: DataFrame, cell: list[str]) -> DataFrame:
@@ -181,7 +182,7 @@ def _distance(rows: DataFrame, estimates: DataFrame, cell: list[str]) -> DataFra
     for i in range(len(FEATURES)):
         z = F.lit(0.0)
         for j in range(i + 1):
-            z = z + F.col(f"v{i}{j}") * (F.col(FEATURES[j]) - F.col(f"m{j}"))
+            z = z + F.get("v", i * (i + 1) // 2 + j) * (F.col(FEATURES[j]) - F.col(f"m{j}"))
         total = total + F.pow(z, 2)
     return rows.join(right, same, "left").withColumn("d2", total).drop(*right.columns)
 
@@ -226,7 +227,7 @@ def covariance_estimates(rows: DataFrame, cell: list[str]) -> DataFrame:
     for i, x in enumerate(FEATURES):
         scaled = scaled + F.pow((F.col(x) - F.col(f"m{i}")) / (LEAST_SPREAD[i] * UNIT), 2)
     sums = materialize(_nearest(d.withColumn("d2", scaled), cell), "mcd-start")
-    raw = _consistency(KEEP_SHARE)
+    raw = _inverse_factor(_consistency(KEEP_SHARE))
     for _ in range(STEPS):
         estimates = _estimates(sums, cell, raw)
         now = materialize(_nearest(_distance(rows, estimates, cell), cell), "mcd-step")
@@ -237,7 +238,7 @@ def covariance_estimates(rows: DataFrame, cell: list[str]) -> DataFrame:
     inside = _distance(rows, _estimates(sums, cell, raw), cell).where(
         F.col("d2") <= _chi2_quantile(share, len(FEATURES)))
     final = materialize(inside.groupBy(*cell).agg(*_moment_sums()), "mcd-final")
-    return _estimates(final, cell, _consistency(share))
+    return _estimates(final, cell, _inverse_factor(_consistency(share)))
 
 
 def quality_verdicts(docs: DataFrame, text: str = "text", min_group: int = MIN_GROUP,
