@@ -94,8 +94,8 @@ def prefix_tree(conversations: DataFrame,
     little-endian 32-bit), loss_start, loss_length (ids under the loss mask), n_chars.
     members: (conv_id, path): the node keys of each conversation from the first turn on.
 
-    Rows of one conv_id are one conversation, in order of turn (nulls first), then role
-    and text. A null text or role is empty; rows of a null conv_id form one conversation.
+    Rows of one conv_id are one conversation, in order of turn (nulls first), then role,
+    then a hash of role and text. A null text or role is empty; rows of a null conv_id form one conversation.
     Repeated rows are turns of their own. Texts may be of any length; a conversation
     must fit in a task. Other columns are not read. Empty tables give empty tables.
     """

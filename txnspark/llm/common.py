@@ -30,15 +30,23 @@ def row_key(df: DataFrame) -> Column:
     return F.xxhash64(*[column(c, kind) for c, kind in df.dtypes])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows listed in ``dropped`` (doc_id, row_key).
 
     ``dropped`` is a written table, so Spark knows its size and sends it to all
     executors only when it is below the broadcast threshold.
     """
-    gone = dropped.select(F.col("doc_id").alias("_gone_id"), F.col("row_key").alias("_gone"))
-    return docs.join(gone, row_key(docs).eqNullSafe(gone["_gone"])
-                     & docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
+    mark, number = fresh(docs, "_gone"), fresh(docs, "_gone_id")
+    gone = dropped.select(F.col("doc_id").alias(number), F.col("row_key").alias(mark))
+    return docs.join(gone, row_key(docs).eqNullSafe(F.col(mark))
+                     & F.col("doc_id").eqNullSafe(F.col(number)), "left_anti")
 
 
 def worker_state() -> dict:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from txnspark.llm.common import SPACES, row_key, text_of, without
+from txnspark.llm.common import SPACES, fresh, row_key, text_of, without
 from txnspark.session import materialize
 
 BUCKET_ENTRIES = 100_000
@@ -140,9 +140,12 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     # What is left of a tie are rows alike in every column.
     winners = materialize(tied.select("doc_id", "row_key"), "winners")
     one_each = without(rest, winners)
-    key = row_key(docs)
-    repeated = (rest.join(
-        winners.select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k")),
-        key.eqNullSafe(F.col("_k")) & docs["doc_id"].eqNullSafe(F.col("_d")), "left_semi")
-        .dropDuplicates())
+    mark, number = fresh(docs, "_key"), fresh(docs, "_number")
+    rows = rest.join(
+        winners.select(F.col("doc_id").alias(number), F.col("row_key").alias(mark)),
+        row_key(docs).eqNullSafe(F.col(mark)) & F.col("doc_id").eqNullSafe(F.col(number)))
+    # Alike in every column, so any of them; each scan task sends one at most.
+    row = fresh(docs, "_row")
+    repeated = rows.groupBy(mark, number).agg(F.first(F.struct(
+        *[F.col(f"`{c}`") for c in docs.columns])).alias(row)).select(f"{row}.*")
     return one_each.union(repeated)

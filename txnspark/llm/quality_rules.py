@@ -28,8 +28,9 @@ UNIT = 1000.0  # features are stored in thousandths
 MIN_GROUP = 200
 KEEP_SHARE = 0.75
 STEPS = 8
-# The spread below which differences say nothing about quality, per feature.
-LEAST_SPREAD = (0.10, 0.08, 0.08, 0.08)
+# The spread below which differences say nothing about quality, per feature: a tenth in the
+# length of words, a symbol in twenty words, one line or window in fifty.
+LEAST_SPREAD = (0.10, 0.05, 0.15, 0.15)
 CUTOFF = 45.0  # squared distance; a clean Gaussian vector exceeds it in about 4 of 1e9 cases
 _BINS_PER_LOG = 8
 
