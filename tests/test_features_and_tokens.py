@@ -127,14 +127,23 @@ def test_encode_matches_the_array_form_and_decodes(spark):
     assert strips[2] == ["<bos>", "<unk>", "B", "<eos>"]
 
 
-def test_decode_by_join_equals_decode_by_array(spark, monkeypatch):
-    fit = slotted(spark, [(i, f"A{i % 5}", f"B{i % 2}") for i in range(40)])
-    v = K.fit_vocabulary(fit, ["a", "b"])
-    enc = K.encode(fit, v, ["a", "b"])
-    key = lambda d: sorted((r["row_id"], tuple(r["strip"])) for r in d.collect())
-    small = key(K.decode(enc, v))
-    monkeypatch.setattr(K, "INLINE_VOCABULARY", 0)
-    assert key(K.decode(enc, v)) == small
+def test_decode_keeps_rows_of_padding(spark):
+    v = K.fit_vocabulary(slotted(spark, [(i, f"A{i % 5}", f"B{i % 2}") for i in range(40)]),
+                         ["a", "b"])
+    ids = {r["token"]: r["id"] for r in v.collect()}
+    enc = spark.createDataFrame([(1, [0, 0, 0]), (2, [2, ids["A3"], ids["B1"], 3, 0])],
+                                "row_id long, ids array<int>")
+    got = {r["row_id"]: r["strip"] for r in K.decode(enc, v).collect()}
+    assert got == {1: [], 2: ["<bos>", "A3", "B1", "<eos>"]}
+
+
+def test_missing_values_have_their_own_tokens(spark):
+    row = spark.sql("""SELECT CAST(NULL AS DOUBLE) AS amount_num, CAST(NULL AS BIGINT) AS
+      merchant_name, CAST(NULL AS INT) AS mcc, CAST(NULL AS INT) AS hour, CAST(NULL AS STRING) AS
+      use_chip, CAST(NULL AS STRING) AS merchant_state""")
+    got = K.with_slots(row).first()
+    assert [got[s] for s in K.SLOTS] == ["AMT_0", "MERCH_NONE", "MCC_NONE", "HOUR_NONE",
+                                         "CHIP_NONE", "STATE_NONE"]
 
 
 def test_long_sequences_are_cut(spark):

@@ -1,20 +1,20 @@
-"""Two budgeted runs end to end on generated transactions."""
+"""Two budgeted runs end to end."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from txnspark.plans import common as C
 from txnspark.plans import lifecycle as L
 from txnspark.plans import runs as R
 from txnspark.plans import training as T
 from txnspark.sources import documents
-from txnspark.sources import synthetic as G
 
 
 def test_two_runs(spark, path):
     def flat_scorer(frame):
         return np.where(frame["hour"] < 5, 0.8, 0.2)
 
-    rows = G.synthesize(spark.range(900).withColumnRenamed("id", "row_id")).withColumn(
+    rows = C.features(spark, "/root/testdata/sf0.001").where("row_id < 900").withColumn(
         "split", F.when(F.col("row_id") < 600, "train").when(F.col("row_id") < 750, "val")
         .otherwise("test"))
     options = dict(rounds=3, depth=2, components=4, dim=16, patience=2)

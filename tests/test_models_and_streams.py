@@ -11,7 +11,7 @@ from txnspark.operators import external as U
 from txnspark.operators import heads as H
 from txnspark.operators import vectors as V
 from txnspark.plans import training as T
-from txnspark.sources import synthetic as G
+from txnspark.plans import common as C
 from txnspark.streaming import jobs
 
 
@@ -91,21 +91,22 @@ def test_cosine_of_a_zero_vector(spark):
 
 
 @pytest.fixture(scope="module")
-def generated(spark):
-    """Synthetic transactions whose hidden factor only the embedding shows."""
-    df = G.synthesize(spark.range(4000).withColumnRenamed("id", "row_id"))
-    split = (F.when(F.col("row_id") < 2800, "train").when(F.col("row_id") < 3400, "val")
+def table_rows(spark):
+    """Transactions of the given events, split by row number."""
+    split = (F.when(F.col("row_id") % 10 < 7, "train").when(F.col("row_id") % 10 < 8, "val")
              .otherwise("test"))
-    return df.withColumn("split", split)
+    return C.features(spark, "/root/testdata/sf0.01").withColumn("split", split)
 
 
-def test_embedding_head_beats_raw_on_the_hidden_factor(spark, generated):
-    signals = [F.log1p("amount_raw") - 3.6, F.col("odd_hour").cast("double"),
-               F.col("online").cast("double"), F.col("risky_mcc").cast("double"), F.col("behav")]
-    rows = generated.withColumn("embedding", V.linear_map(signals, 16))
+def test_embedding_head_beats_raw_on_a_factor_it_alone_sees(spark, table_rows):
+    # The label is the weekday group, which no raw feature shows.
+    weekend = (F.dayofweek(F.make_date("year", "month", "day")) % 3 == 0).cast("int")
+    labelled = table_rows.withColumn("y", weekend)
+    signals = [weekend.cast("double"), F.log1p("amount_num"), F.col("hour") / 24.0]
+    rows = labelled.withColumn("embedding", V.linear_map(signals, 16))
     d = E.fit_dictionary(rows.where("split = 'train'"))
     inputs = E.with_raw_features(rows, d)
-    pca = V.fit_pca(inputs.where("split = 'train'"), 5)
+    pca = V.fit_pca(inputs.where("split = 'train'"), 3)
     inputs = V.apply_pca(inputs, pca).select("row_id", "y", "split", "raw", "pca").cache()
     from txnspark.operators.metrics import lift, ranking_metrics
     parts = []
@@ -119,26 +120,33 @@ def test_embedding_head_beats_raw_on_the_hidden_factor(spark, generated):
     assert m["combined"]["auc"] > m["raw"]["auc"] + 0.05 and m["embed"]["ap_lift_pct"] > 0
 
 
-def test_last_stage_equals_the_model(spark, generated):
-    d = E.fit_dictionary(generated)
-    rows = E.with_raw_features(generated, d).cache()
+def test_last_stage_equals_the_model(spark, table_rows):
+    d = E.fit_dictionary(table_rows)
+    rows = E.with_raw_features(table_rows, d).cache()
     model = H.fit("raw", rows, rounds=4, depth=3)
     staged = H.staged_scores(model, H.with_features(rows, "raw")).where("round = 4")
     both = staged.join(H.score(model, rows, "raw").select("row_id", F.col("p").alias("q")),
                        "row_id")
-    assert both.count() == 4000
+    assert both.count() == 10_000
     assert both.where(F.abs(F.col("p") - F.col("q")) > 1e-9).count() == 0
     names = E.raw_feature_names()
     top = H.importances(model, names, len(names), spark, top=5).collect()
     assert len(top) == 5 and {r["kind"] for r in top} == {"raw"}
 
 
+def test_first_trees_equal_a_shorter_fit_on_any_layout(spark, table_rows):
+    rows = E.with_raw_features(table_rows, E.fit_dictionary(table_rows)).where(
+        "row_id < 3000").cache()
+    p = lambda m: {r["row_id"]: r["p"] for r in H.score(m, rows, "raw").collect()}
+    cut = p(H.first_trees(H.fit("raw", rows, rounds=5, depth=3), 3))
+    assert cut == p(H.fit("raw", rows.repartition(13), rounds=3, depth=3))
+
+
 # ---- plug points -----------------------------------------------------------------------
 
 
 def frames(spark, n=40):
-    return G.edge_profile(spark.range(n).withColumnRenamed("id", "row_id")).withColumnRenamed(
-        "amount_num", "amount").withColumn("amount_num", F.col("amount"))
+    return C.features(spark, "/root/testdata/sf0.001").where(F.col("row_id") < n)
 
 
 def status(df):

@@ -78,11 +78,22 @@ def test_empty_input(spark):
 def test_ranges_are_balanced_for_a_hot_group(spark):
     df = spark.createDataFrame(hot_rows(20000), "row_id long, user long, card long, t long")
     order = ["user", "card", "t", "row_id"]
-    sizes = [r["count"] for r in O.with_range(
-        df, order, O.range_cuts(df, order, 32, F.lit(0)), 32).groupBy("_range").count().collect()]
+    sizes = [r["count"] for r in O.ranged(df, order, 32).groupBy("_range").count().collect()]
     assert len(sizes) >= 24 and max(sizes) < 3 * 20000 / 32
 
 
+def test_null_groups_are_groups(spark):
+    df = spark.createDataFrame([(None if i % 3 == 0 else "b" if i % 3 == 1 else "c", i)
+                                for i in range(999)], "g string, k long")
+    got = O.dense_ids(df, ["k"], group_by=["g"], ranges=16).collect()
+    for g in (None, "b", "c"):
+        assert sorted(r["pos"] for r in got if r["g"] == g) == list(range(333))
+    middle = {(r["g"], r["k"]) for r in O.middle_rows(df, ["k"], "g").collect()}
+    assert middle == {(None, 498), ("b", 499), ("c", 500)}
+    before = O.previous_value(df, ["g"], ["k"], F.col("k"), "p", ranges=16).collect()
+    assert all(r["p"] == (r["k"] - 3 if r["k"] > 2 else None) for r in before)
+
+
 @pytest.mark.parametrize("length", [1, 2, 57, 100, 101, 150, 199, 200, 333, 1000, 1234, 7919])
 def test_thinning_positions(spark, length):
     want = np.unique(np.linspace(0, length - 1, min(100, length)).astype(int))

@@ -7,7 +7,6 @@ from txnspark import schema as S
 from txnspark.plans import runs as R
 from txnspark.session import new_path
 from txnspark.sources import delimited, documents, targets
-from txnspark.sources import synthetic as G
 
 
 def split_rows(spark, n=90):
@@ -163,18 +162,5 @@ def test_early_stop_and_best_round(spark):
     assert R.best_round(curve(spark, [0.5, 0.7, 0.7]), ["model"]).first()["best_round"] == 2
 
 
-def test_synthetic_profile(spark):
-    ids = spark.range(6000).withColumnRenamed("id", "row_id")
-    df = G.synthesize(ids)
-    s = df.agg(F.avg("y").alias("y"), F.avg(F.col("online").cast("int")).alias("online"),
-               F.min("hour").alias("lo"), F.max("hour").alias("hi"),
-               F.corr("behav", F.col("y").cast("double")).alias("hidden")).first()
-    assert 0.02 < s["y"] < 0.12 and abs(s["online"] - 0.3) < 0.03
-    assert s["lo"] == 0 and s["hi"] == 23 and s["hidden"] > 0.2
-    edge = G.edge_profile(ids).agg(F.count("zip").alias("zip"),
-                                   F.max(F.abs("merchant_name")).alias("m")).first()
-    assert 3500 < edge["zip"] < 4500 and edge["m"] > 2 ** 60
-
-
 def test_paths_are_fresh(spark):
     assert new_path(spark, "a") != new_path(spark, "a")

@@ -90,7 +90,8 @@ def logistic(z) -> Column:
 
 
 def clamp(value, low, high) -> Column:
-    return F.greatest(F.least(value, high), low)
+    """The value moved into the box; NULL stays NULL."""
+    return F.when(value.isNotNull(), F.greatest(F.least(value, high), low))
 
 
 def is_clamped(value, low, high) -> Column:

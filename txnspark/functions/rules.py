@@ -25,10 +25,12 @@ HEAD_OFFSETS = {"raw": -0.07, "embed": 0.05, "combined": 0.08}
 
 
 def risk_signal(base: float, use_chip, hour, amount) -> Column:
-    online = F.upper(use_chip).contains("ONLINE").cast("double")
-    odd = hour.between(*ODD_HOURS).cast("double")
+    """A missing channel, hour or amount adds nothing."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    online = zero(F.upper(use_chip).contains("ONLINE").cast("double"))
+    odd = zero(hour.between(*ODD_HOURS).cast("double"))
     return (F.lit(base) + F.lit(ONLINE_WEIGHT) * online + F.lit(ODD_HOUR_WEIGHT) * odd
-            + F.least(amount / F.lit(AMOUNT_SCALE), F.lit(AMOUNT_CEILING)))
+            + F.least(zero(amount) / F.lit(AMOUNT_SCALE), F.lit(AMOUNT_CEILING)))
 
 
 def _noise(sigma: float, key, salt: str) -> Column:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as FutureTimeout
+from concurrent.futures import ThreadPoolExecutor, wait
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnspark import schema as S
-from txnspark.operators.sampling import first_rows
+from txnspark.operators.sampling import exact_sample
 
 # --- fixed values: limits of the external scorer contract ---
 SCORE_TIMEOUT_S = 2.5
@@ -23,33 +22,70 @@ TRAIN_ROWS = 20_000
 FrameScorer = Callable[[pd.DataFrame], np.ndarray]
 
 
+class _TimedCalls:
+    """Runs a scorer with a deadline per batch, on a thread of this task's own.
+
+    A call past its deadline is abandoned with its thread; the next batch gets a new one.
+    """
+
+    def __init__(self, scorer: FrameScorer, timeout_s: float):
+        self.scorer, self.timeout_s, self.pool = scorer, timeout_s, None
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        if self.pool is not None:
+            self.pool.shutdown(wait=False, cancel_futures=True)
+
+    def __call__(self, frame: pd.DataFrame) -> tuple[np.ndarray | None, str]:
+        self.pool = self.pool or ThreadPoolExecutor(max_workers=1)
+        call = self.pool.submit(self.scorer, frame)
+        done, _ = wait([call], timeout=self.timeout_s)
+        if not done:
+            self.pool.shutdown(wait=False, cancel_futures=True)
+            self.pool = None
+            return None, "timeout"
+        if call.exception() is not None:
+            return None, "unavailable"
+        return call.result(), "ok"
+
+
+def _probabilities(values, rows: int) -> np.ndarray | None:
+    """One number per row; what is no probability becomes NaN. None for another length."""
+    try:
+        numbers = np.asarray(values, dtype=float)
+    except (TypeError, ValueError):
+        return None
+    if numbers.shape != (rows,):
+        return None
+    return np.where((numbers >= 0) & (numbers <= 1), numbers, np.nan)
+
+
 def external_scores(df: DataFrame, scorer: FrameScorer, columns: list[str] | None = None,
                     timeout_s: float = SCORE_TIMEOUT_S, key: str = "row_id") -> DataFrame:
     """(key, score, status, latency_ms) from a scorer of untransformed raw rows.
 
-    A batch that fails, is late or breaks the contract (one probability in [0, 1]
-    per row) has NULL scores and a status; it never fails the job.
+    A batch that fails, is late or has another length gets NULL scores and a status, and a
+    single value that is no probability a NULL and ``unavailable``; the job never fails.
     """
     columns = columns or S.RAW_VIEW
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool = ThreadPoolExecutor(1)
-        for frame in frames:
-            started, values, status = time.perf_counter(), None, "ok"
-            try:
-                values = np.asarray(pool.submit(scorer, frame[columns]).result(timeout_s),
-                                    dtype=float)
-                if values.shape != (len(frame),) or not ((values >= 0) & (values <= 1)).all():
-                    values, status = None, "unavailable"
-            except FutureTimeout:
-                status = "timeout"
-                pool = ThreadPoolExecutor(1)  # the late call ends on its own thread
-            except Exception:  # noqa: BLE001
-                status = "unavailable"
-            took = round((time.perf_counter() - started) * 1000, 1)
-            yield pd.DataFrame({
-                key: frame[key], "score": values if values is not None else [None] * len(frame),
-                "status": status, "latency_ms": took if status == "ok" else None})
+        with _TimedCalls(scorer, timeout_s) as score:
+            for frame in frames:
+                started = time.perf_counter()
+                values, status = score(frame[columns])
+                took = round((time.perf_counter() - started) * 1000, 1)
+                out = pd.DataFrame({key: frame[key], "score": np.nan, "status": status,
+                                    "latency_ms": took if status == "ok" else None})
+                if status == "ok":
+                    numbers = _probabilities(values, len(frame))
+                    out["score"] = np.nan if numbers is None else numbers
+                    out.loc[out["score"].isna(), ["status", "latency_ms"]] = [
+                        "unavailable", None]
+                out["score"] = out["score"].astype(object).where(out["score"].notna(), None)
+                yield out
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, *columns).mapInPandas(
@@ -57,8 +93,8 @@ def external_scores(df: DataFrame, scorer: FrameScorer, columns: list[str] | Non
 
 
 def external_training_rows(train: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The first rows by id: what an external fit is allowed to see."""
-    return first_rows(S.require_columns(train, S.RAW_VIEW), rows)
+    """What an external fit may see: a repeatable random sample of ``rows`` training rows."""
+    return exact_sample(S.require_columns(train, S.RAW_VIEW), rows, "external.fit")
 
 
 class FrameModel:

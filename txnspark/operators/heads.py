@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import SparkContext
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txnspark.functions.features import logistic
 from txnspark.operators.metrics import ranking_metrics
@@ -38,6 +42,9 @@ TOP_FEATURES = 15
 CURVE_POINTS = 100
 # --- end of fixed values ---
 
+FIT_PARTS = 8
+ROWS_PER_PART = 100_000  # about 200 MB of 512-d embeddings
+
 INPUTS = {"raw": ["raw"], "embed": ["pca"], "combined": ["raw", "pca"]}
 
 
@@ -60,10 +67,37 @@ def with_features(df: DataFrame, head: str, *keep: str) -> DataFrame:
     return df.select("row_id", "y", *keep, feature_vector(head).alias("features"))
 
 
-def fit(head: str, train: DataFrame, rounds: int | None = None,
-        depth: int | None = None) -> GBTClassificationModel:
+def fit_parts(rows: int) -> int:
+    """Parts a fit reads: a function of the rows alone, never of the cluster."""
+    return max(FIT_PARTS, rows // ROWS_PER_PART + 1)
+
+
+def fit(head: str, train: DataFrame, rounds: int | None = None, depth: int | None = None,
+        parts: int = FIT_PARTS) -> GBTClassificationModel:
+    """The learner draws its row samples per part, in row order, so both are fixed here:
+    the same rows give the same trees on any cluster."""
     p = PARAMS[head]
-    return learner(head, rounds or p.rounds, depth or p.depth).fit(with_features(train, head))
+    rows = with_features(train, head).repartition(parts, "row_id").sortWithinPartitions("row_id")
+    return learner(head, rounds or p.rounds, depth or p.depth).fit(rows)
+
+
+def first_trees(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The same head with its first ``rounds`` trees only."""
+    java, sc = model._java_obj, SparkContext._active_spark_context
+    trees, weights = java.trees(), java.treeWeights()
+    kept = sc._gateway.new_array(
+        sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    share = sc._gateway.new_array(sc._jvm.double, rounds)
+    for i in range(rounds):
+        kept[i], share[i] = trees[i], weights[i]
+    return GBTClassificationModel(sc._jvm.org.apache.spark.ml.classification
+                                  .GBTClassificationModel(java.uid(), kept, share,
+                                                          java.numFeatures(), java.numClasses()))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def running_totals(steps: pd.Series) -> pd.Series:
+    return pd.Series([np.cumsum(s) for s in steps])
 
 
 def staged_scores(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
@@ -72,9 +106,8 @@ def staged_scores(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
     for i, tree in enumerate(model.trees):
         d = tree.setPredictionCol(f"_t{i}").transform(d)
     steps = F.array(*[F.lit(float(w)) * F.col(f"_t{i}") for i, w in enumerate(model.treeWeights)])
-    margins = F.aggregate(steps, F.array().cast("array<double>"), lambda done, step: F.concat(
-        done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0)) + step)))
-    return d.select("row_id", "y", F.posexplode(margins).alias("at", "margin")).select(
+    return d.select("row_id", "y", F.posexplode(running_totals(steps)).alias(
+        "at", "margin")).select(
         (F.col("at") + 1).alias("round"), "row_id", "y", logistic(F.col("margin") * 2).alias("p"))
 
 
@@ -84,23 +117,23 @@ def eval_curve(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
 
 
 def fit_with_early_stop(head: str, train: DataFrame, val: DataFrame, rounds: int, depth: int,
-                        patience: int) -> tuple[GBTClassificationModel, DataFrame, int]:
+                        patience: int, parts: int = FIT_PARTS
+                        ) -> tuple[GBTClassificationModel, DataFrame, int]:
     """(model, validation curve, best round).
 
     The learner's own early stop watches the loss and has no patience, so the curve
-    is computed afterwards and the head is refitted to the best round; the same
-    seed grows the same first trees.
+    is computed afterwards and the head is cut to the trees up to the best round.
     """
     from txnspark.plans.runs import early_stop
     from txnspark.session import materialize
 
-    model = fit(head, train, rounds, depth)
+    model = fit(head, train, rounds, depth, parts)
     curve = materialize(eval_curve(model, with_features(val, head)), f"curve-{head}")
     usable = curve.where(F.col("auc").isNotNull()).withColumn("head", F.lit(head))
     found = early_stop(usable, ["head"], patience).first()
     best = found["best_round"] if found else rounds
     if best < rounds:
-        model = fit(head, train, best, depth)
+        model = first_trees(model, best)
     return model, curve, best
 
 
@@ -113,8 +146,13 @@ def score(model: GBTClassificationModel, df: DataFrame, head: str, *keep: str) -
 
 def importances(model: GBTClassificationModel, names: list[str], n_raw: int,
                 spark, top: int = TOP_FEATURES) -> DataFrame:
-    """The ``top`` features, tagged by kind. One value per feature, not per row."""
-    rows = [(names[i], round(float(v), 5), "raw" if i < n_raw else "embedding")
-            for i, v in enumerate(model.featureImportances.toArray())]
-    table = spark.createDataFrame(rows, "name string, importance double, kind string")
-    return table.orderBy(F.desc("importance"), "name").limit(top)
+    """(name, importance, kind) of the ``top`` features; the first ``n_raw`` inputs are raw.
+
+    As many rows as the head has inputs, so the vector is small.
+    """
+    shares = F.lit(np.round(model.featureImportances.toArray(), 5).tolist())
+    inputs = spark.range(1).select(F.posexplode(F.arrays_zip(
+        F.lit(names).alias("name"), shares.alias("importance"))).alias("at", "input"))
+    kind = F.when(F.col("at") < n_raw, "raw").otherwise("embedding")
+    return (inputs.select("input.name", "input.importance", kind.alias("kind"))
+            .orderBy(F.desc("importance"), "name").limit(top))

@@ -1,13 +1,12 @@
 """Ordered scans over tables too large for one task.
 
 A running sum, a row number or a "previous row" over a whole table has no
-partition key, so a plain window would sort everything in one task. Here the
-order key is cut into ranges of near-equal row counts; each range is scanned in
-its own task, and a summary per range carries the state across the cuts.
-One key (or group) holding most of the rows is spread over many ranges.
-
-The cut points are a function of the data alone (keys with a small hash), so
-every branch, retry and re-read of a plan sees the same ranges.
+partition key, so a plain window would sort everything in one task. Here the rows
+are dealt into ranges of the order key and written once with their range; each
+range is then scanned in its own task, and a summary per range carries the state
+across the cuts. One key (or group) holding most of the rows is spread over many
+ranges. Everything after the write reads the written ranges, so all branches of a
+plan see the same cuts and the input is not read again.
 """
 
 from __future__ import annotations
@@ -16,48 +15,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_OVERSAMPLE = 16
-_HASH_SPAN = 1 << 30
+from txnspark.session import materialize
 
 
 def default_ranges(df: DataFrame) -> int:
-    """Four ranges per shuffle partition of the session."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _key(order_by: list[str]) -> Column:
-    return F.struct(*order_by) if len(order_by) > 1 else F.col(order_by[0])
+    """One range per shuffle partition of the session."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_cuts(df: DataFrame, order_by: list[str], ranges: int, carry: Column) -> Column:
-    """Sorted array of structs (k, v): the order key of a cut row and a value of that row.
+def ranged(df: DataFrame, order_by: list[str], ranges: int | None = None) -> DataFrame:
+    """Written copy of ``df`` with ``_range``: numbers of the ranges in key order.
 
-    About ``ranges`` entries. The count behind the sampling rate needs no columns,
-    so on a table scan it comes from the file footers.
+    Rows of equal keys share a range; nulls come first, as they do in windows.
     """
-    total = df.agg(F.count(F.lit(1)).cast("double")).scalar()
-    draw = F.pmod(F.xxhash64(*order_by), F.lit(_HASH_SPAN)) / F.lit(float(_HASH_SPAN))
-    drawn = df.where(draw * total < F.lit(float(ranges * _OVERSAMPLE)))
-    entries = F.sort_array(F.collect_list(F.struct(_key(order_by).alias("k"), carry.alias("v"))))
-    return (drawn.agg(entries.alias("s"))
-            .select(F.filter("s", lambda x, i: i % _OVERSAMPLE == _OVERSAMPLE - 1)).scalar())
+    dealt = df.repartitionByRange(ranges or default_ranges(df), *order_by)
+    return materialize(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
 
 
-def with_range(df: DataFrame, order_by: list[str], cuts: Column, ranges: int) -> DataFrame:
-    """Adds ``_range``: how many cut keys lie below the row's key (binary search).
-
-    Range r ends with the row of cut r itself, so cut r-1 is the row right before
-    the first row of range r.
-    """
-    steps, step = [], 1
-    while step < 2 * ranges + 64:
-        steps.append(step)
-        step *= 2
-    below = lambda at: F.get(F.col("_cuts"), at)["k"] < _key(order_by)
-    found = F.aggregate(
-        F.array(*[F.lit(s) for s in reversed(steps)]), F.lit(0),
-        lambda at, s: F.when(below(at + s - 1), at + s).otherwise(at))
-    return df.withColumn("_cuts", cuts).withColumn("_range", found).drop("_cuts")
+def _same(pairs: list[tuple[str, str]]) -> Column:
+    """Equality of column pairs in which a null equals a null."""
+    out = F.lit(True)
+    for a, b in pairs:
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
 
 
 def prefix_sum(df: DataFrame, order_by: list[str], sums: dict[str, str],
@@ -65,27 +45,27 @@ def prefix_sum(df: DataFrame, order_by: list[str], sums: dict[str, str],
     """Running totals (current row included) in the order of ``order_by``.
 
     ``sums`` maps output column to input column. (group_by, order_by) must be
-    unique per row: group ties first. The input is read several times: pass a
-    written table when the plan behind it is expensive.
+    unique per row: group ties first. Null groups are groups.
     """
     group = list(group_by or [])
-    order, ranges = [*group, *order_by], ranges or default_ranges(df)
-    d = with_range(df, order, range_cuts(df, order, ranges, F.lit(0)), ranges)
+    d = ranged(df, [*group, *order_by], ranges)
     per_range = d.groupBy(*group, "_range").agg(
         *[F.sum(c).alias(f"_t_{out}") for out, c in sums.items()])
     earlier = (W.partitionBy(*group).orderBy("_range")
                .rowsBetween(W.unboundedPreceding, -1))
     # A group has an offset only where it crosses a cut: at most one row per range.
     offsets = per_range.select(
-        *group, "_range", *[F.sum(f"_t_{o}").over(earlier).alias(f"_o_{o}") for o in sums]
-    ).where(F.col(f"_o_{next(iter(sums))}").isNotNull())
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_range").alias("_at"),
+        *[F.sum(f"_t_{o}").over(earlier).alias(f"_o_{o}") for o in sums],
+        F.count(F.lit(1)).over(earlier).alias("_before")).where("_before > 0").drop("_before")
     inside = (W.partitionBy(*group, "_range").orderBy(*order_by)
               .rowsBetween(W.unboundedPreceding, 0))
-    joined = d.join(F.broadcast(offsets), [*group, "_range"], "left")
+    joined = d.join(F.broadcast(offsets), _same(
+        [("_range", "_at"), *[(g, f"_g{i}") for i, g in enumerate(group)]]), "left")
     for out, c in sums.items():
         joined = joined.withColumn(
             out, F.sum(c).over(inside) + F.coalesce(F.col(f"_o_{out}"), F.lit(0)))
-    return joined.drop("_range", *[f"_o_{o}" for o in sums])
+    return joined.drop("_range", *offsets.columns)
 
 
 def dense_ids(df: DataFrame, order_by: list[str], name: str = "pos",
@@ -100,20 +80,37 @@ def previous_value(df: DataFrame, group_by: list[str], order_by: list[str], valu
                    name: str, ranges: int | None = None) -> DataFrame:
     """``value`` of the row before, within its group; NULL on a group's first row.
 
-    A row is shuffled once. Only the first row of a range needs something from
-    outside, the row before it, and that one is a cut row.
+    Only the first row of a range needs something from outside: the last row of the
+    range before, one row per range.
     """
-    order, ranges = [*group_by, *order_by], ranges or default_ranges(df)
+    order = [*group_by, *order_by]
     key = F.struct(*group_by)
     here = F.struct(key.alias("g"), F.col("_v").alias("v"))
-    rows = df.withColumn("_v", value)
-    cuts = range_cuts(rows, order, ranges, here)
+    d = ranged(df.withColumn("_v", value), order, ranges)
+    last = d.groupBy("_range").agg(F.max_by(here, F.struct(*order)).alias("_last"))
+    before = last.select(F.col("_range").alias("_at"),
+                         F.lag("_last").over(W.orderBy("_range")).alias("_cut"))
     inside = W.partitionBy("_range").orderBy(*order)
-    return (with_range(rows, order, cuts, ranges)
-            .withColumn("_lag", F.lag(here).over(inside)).withColumn("_cuts", cuts)
-            .withColumn("_b", F.coalesce("_lag", F.get("_cuts", F.col("_range") - 1)["v"]))
-            .withColumn(name, F.when(F.col("_b.g") == key, F.col("_b.v")))
-            .drop("_range", "_cuts", "_lag", "_b", "_v"))
+    return (d.withColumn("_lag", F.lag(here).over(inside))
+            .join(F.broadcast(before), F.col("_range") == F.col("_at"))
+            .withColumn("_b", F.coalesce("_lag", "_cut"))
+            .withColumn(name, F.when(F.col("_b.g").eqNullSafe(key), F.col("_b.v")))
+            .drop("_range", "_at", "_cut", "_lag", "_b", "_v"))
+
+
+def range_with_position(counts: DataFrame, by: list[str], wanted: Column) -> DataFrame:
+    """(by, _range, _skip): the range holding position ``wanted`` of each group.
+
+    ``counts``: (by, _range, _n), a few rows per range. ``wanted`` may use ``_all``, the
+    group's number of rows; positions count from 0. _skip is how many rows of that
+    range lie before it.
+    """
+    running = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    d = (counts.withColumn("_first", F.coalesce(F.sum("_n").over(running), F.lit(0)))
+         .withColumn("_all", F.sum("_n").over(W.partitionBy(*by))).withColumn("_want", wanted))
+    inside = (F.col("_want") >= F.col("_first")) & (
+        F.col("_want") < F.col("_first") + F.col("_n"))
+    return d.where(inside).select(*by, "_range", (F.col("_want") - F.col("_first")).alias("_skip"))
 
 
 def thin_positions(df: DataFrame, position: str, length: Column, points: int = 100) -> DataFrame:
@@ -155,12 +152,19 @@ def class_stride(df: DataFrame, order_by: list[str], label: str, budget: int) ->
 
 
 def middle_rows(df: DataFrame, order_by: list[str], label: str) -> DataFrame:
-    """The row at position floor(n/2) of each class."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    ids = dense_ids(df, order_by, "_i", group_by=[label])
-    # Two classes, so two rows.
-    return (ids.join(F.broadcast(sizes), label)
-            .where(F.col("_i") == F.floor(F.col("_n") / 2)).drop("_i", "_n"))
+    """The row at position floor(n/2) of each class.
+
+    Counts per range find the range of that row, and only that range is ranked.
+    """
+    d = ranged(df, [label, *order_by])
+    counts = d.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    place = range_with_position(counts, [label], F.floor(F.col("_all") / 2)).select(
+        F.col(label).alias("_label"), F.col("_range").alias("_at"), "_skip")
+    rank = F.row_number().over(W.partitionBy(label, "_range").orderBy(*order_by)) - 1
+    # One row per class.
+    near = d.join(F.broadcast(place), _same([(label, "_label"), ("_range", "_at")]))
+    return (near.withColumn("_i", rank).where(F.col("_i") == F.col("_skip"))
+            .drop("_i", "_label", "_at", "_skip", "_range"))
 
 
 def row_order_split(df: DataFrame, order_by: list[str], train: float = 0.70,

@@ -23,7 +23,12 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: list[float],
         .agg(F.count(F.lit(1)).alias("c")), "value-counts")
     running = prefix_sum(counts, ["v"], {"cum": "c"}, group, ranges)
     if group:
-        running = running.join(counts.groupBy(*group).agg(F.sum("c").alias("n")), group)
+        sizes = counts.groupBy(*[F.col(g).alias(f"_s{i}") for i, g in enumerate(group)]).agg(
+            F.sum("c").alias("n"))
+        same = F.lit(True)
+        for i, g in enumerate(group):  # a null group is a group
+            same = same & F.col(g).eqNullSafe(F.col(f"_s{i}"))
+        running = running.join(sizes, same)
     else:
         running = running.withColumn("n", counts.agg(F.sum("c")).scalar())
     at = [F.lit(float(q)) * (F.col("n") - 1) for q in probabilities]

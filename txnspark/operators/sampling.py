@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from txnspark import schema as S
 from txnspark.functions.hashing import uniform
-from txnspark.operators.ordered import default_ranges, range_cuts, with_range
+from txnspark.operators.ordered import range_with_position, ranged
 
 _BINS = 65536
 
@@ -37,7 +37,7 @@ def sample_splits(df: DataFrame, plan: DataFrame, salt: str = "ingest") -> DataF
     return df.where(
         F.when(split == "train", (F.col("y") == 1) | (draw < keep["keep_train"]))
         .when(split == "val", draw < keep["keep_val"])
-        .otherwise(draw < keep["keep_test"]))
+        .when(split == "test", draw < keep["keep_test"]))
 
 
 def _take_smallest(df: DataFrame, quota, salt: str, stratum: Column, key: str,
@@ -78,17 +78,14 @@ def first_rows(df: DataFrame, n: int, key: str = "row_id", ranges: int | None =
     Counts per key range find the range of the last wanted row, that range alone is
     ranked, and the result is a filter on the key; no task merges everyone's rows.
     """
-    ranges = ranges or default_ranges(df)
-    keys = df.select(key)
-    placed = with_range(keys, [key], range_cuts(keys, [key], ranges, F.lit(0)), ranges)
-    # One row per range.
-    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_cum", F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, 0)))
-    edge = counts.where((F.col("_cum") >= n) & (F.col("_cum") - F.col("_n") < n)).select(
-        "_range", (F.lit(n) - F.col("_cum") + F.col("_n")).alias("_take"))
-    rank = F.row_number().over(W.partitionBy("_range").orderBy(key))
-    last = (placed.join(F.broadcast(edge), "_range").withColumn("_r", rank)
-            .where(F.col("_r") == F.col("_take")).agg(F.max(key)).scalar())
+    placed = ranged(df.select(key), [key], ranges)
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    edge = range_with_position(counts, [], F.lit(n - 1)).select(  # one row
+        F.col("_range").alias("_at"), "_skip")
+    rank = F.row_number().over(W.partitionBy("_range").orderBy(key)) - 1
+    last = (placed.join(F.broadcast(edge), F.col("_range") == F.col("_at"))
+            .withColumn("_r", rank).where(F.col("_r") == F.col("_skip"))
+            .agg(F.max(key)).scalar())
     return df.where(F.lit(n > 0) & F.coalesce(F.col(key) <= last, F.lit(True)))
 
 

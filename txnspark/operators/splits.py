@@ -15,14 +15,16 @@ def date_counts(df: DataFrame, date: str = "d") -> DataFrame:
 
 
 def split_plan(df: DataFrame, date: str = "d", train_cap: int = S.TRAIN_CAP,
-               eval_rows: int = S.EVAL_ROWS) -> DataFrame:
+               eval_rows: int | None = None) -> DataFrame:
     """One row: cut-off dates, rows per split and the sampling rates.
 
-    Windows run over one row per calendar date only.
+    Windows run over one row per calendar date only. Rows without a date are in no
+    split and not in the total. Validation and test keep every row unless ``eval_rows``
+    asks for a thinner sample.
     """
     everything = W.partitionBy()
     running = W.orderBy(date).rowsBetween(W.unboundedPreceding, 0)
-    c = date_counts(df, date).select(
+    c = date_counts(df.where(F.col(date).isNotNull()), date).select(
         F.col(date).alias("d"), "n",
         F.sum("n").over(running).alias("cum"), F.sum("n").over(everything).alias("total"))
     train_share, eval_share = F.lit(S.TRAIN_RATIO), F.lit(S.TRAIN_RATIO + S.VAL_RATIO)
@@ -42,17 +44,18 @@ def split_plan(df: DataFrame, date: str = "d", train_cap: int = S.TRAIN_CAP,
         F.lit(1.0), F.lit(float(cap)) / F.greatest(F.lit(1), F.col(n)))
     return sums.withColumns({
         "keep_train": rate(train_cap, "n_train"),
-        "keep_val": rate(eval_rows, "n_val"),
-        "keep_test": rate(eval_rows, "n_test"),
+        "keep_val": rate(eval_rows, "n_val") if eval_rows else F.lit(1.0),
+        "keep_test": rate(eval_rows, "n_test") if eval_rows else F.lit(1.0),
     })
 
 
 def with_split(df: DataFrame, plan: DataFrame, date: str = "d") -> DataFrame:
-    """Adds ``split``; the plan is one row and reaches the tasks as a constant."""
+    """Adds ``split`` (NULL without a date); the plan is one row and reaches the tasks as a
+    constant."""
     cut = plan.select(F.struct("train_cut", "test_cut")).scalar()
     d = F.col(date)
     return df.withColumn("split", F.when(d < cut["train_cut"], "train")
-                         .when(d < cut["test_cut"], "val").otherwise("test"))
+                         .when(d < cut["test_cut"], "val").when(d.isNotNull(), "test"))
 
 
 def fraud_rate(df: DataFrame, *by: str) -> DataFrame:

@@ -17,8 +17,6 @@ PAD_ID, UNK_ID, BOS_ID, EOS_ID = 0, 1, 2, 3
 SHOWN_TOKENS = 16
 # --- end of fixed values ---
 
-INLINE_VOCABULARY = 100_000  # tokens; a larger vocabulary is decoded by a join
-
 SLOTS = ["t_amount", "t_merchant", "t_mcc", "t_hour", "t_chip", "t_state"]
 EXTRA_SLOTS = ["t_dow", "t_gap", "t_mcc_group"]
 
@@ -28,32 +26,33 @@ def merchant_token(merchant, n: int = S.MERCHANT_BUCKETS, device: str = "md5") -
 
 
 def amount_token(amount) -> Column:
-    """Log-scale bucket; a refund counts as the zero bucket."""
+    """Log-scale bucket; a refund or a missing amount counts as the zero bucket."""
     step = F.floor(F.log1p(F.greatest(amount, F.lit(0.0))) * 2)
     return F.concat(F.lit("AMT_"), step.cast("string"))
 
 
 def with_slots(features: DataFrame, extra: bool = False) -> DataFrame:
     """One token column per slot. ``extra`` adds the temporal and category-group
-    slots and needs ``ts`` and ``time_delta_s``."""
+    slots and needs ``ts`` and ``time_delta_s``. A missing value has a token of its own."""
+    named = lambda prefix, text: F.concat(
+        F.lit(prefix), F.coalesce(text, F.lit("NONE")))
     slots = {
         "t_amount": amount_token(F.col("amount_num")),
-        "t_merchant": merchant_token("merchant_name"),
-        "t_mcc": F.concat(F.lit("MCC_"), F.col("mcc").cast("string")),
-        "t_hour": F.concat(F.lit("HOUR_"), F.col("hour").cast("string")),
-        "t_chip": F.concat(F.lit("CHIP_"), F.upper(
-            F.split_part("use_chip", F.lit(" "), F.lit(1)))),
-        "t_state": F.concat(F.lit("STATE_"), F.coalesce("merchant_state", F.lit("NONE"))),
+        "t_merchant": F.coalesce(merchant_token("merchant_name"), F.lit("MERCH_NONE")),
+        "t_mcc": named("MCC_", F.col("mcc").cast("string")),
+        "t_hour": named("HOUR_", F.col("hour").cast("string")),
+        "t_chip": named("CHIP_", F.upper(F.split_part("use_chip", F.lit(" "), F.lit(1)))),
+        "t_state": named("STATE_", F.col("merchant_state")),
     }
     if extra:
         gap = F.col("time_delta_s")
         slots |= {
-            "t_dow": F.concat(F.lit("DOW_"), F.weekday("ts").cast("string")),
+            "t_dow": named("DOW_", F.weekday("ts").cast("string")),
             "t_gap": F.concat(F.lit("DT_"), F.when(gap.isNull(), "FIRST")
                               .when(gap < 60, "MINUTE").when(gap < 3600, "HOUR")
                               .when(gap < 86400, "DAY").when(gap < 604800, "WEEK")
                               .otherwise("LONG")),
-            "t_mcc_group": F.concat(F.lit("MCCG_"), F.floor(F.col("mcc") / 100).cast("string")),
+            "t_mcc_group": named("MCCG_", F.floor(F.col("mcc") / 100).cast("string")),
         }
     return features.withColumns(slots)
 
@@ -117,24 +116,19 @@ def encode_arrays(df: DataFrame, vocabulary: DataFrame, tokens: str = "tokens",
 
 def decode(encoded: DataFrame, vocabulary: DataFrame, key: str = "row_id",
            shown: int = SHOWN_TOKENS) -> DataFrame:
-    """Adds ``strip``: the first ``shown`` tokens without padding.
+    """Adds ``strip``: the first ``shown`` tokens without padding, in order.
 
-    A vocabulary of checked size travels as one array indexed by id; beyond that
-    the ids are looked up by a join.
+    One lookup join over the shown ids; a row without any keeps an empty strip.
     """
-    if vocabulary.count() <= INLINE_VOCABULARY:
-        by_id = F.transform(F.array_sort(F.collect_list(F.struct("id", "token"))),
-                            lambda r: r["token"])
-        words = vocabulary.agg(by_id).scalar()
-        out = encoded.withColumn("_words", words)
-        look = F.transform(F.slice("ids", 1, shown), lambda i: F.get(F.col("_words"), i))
-        return (out.withColumn("strip", F.filter(look, lambda t: t != "<pad>")).drop("_words"))
     reverse = vocabulary.select("id", "token")
-    strips = (encoded.select(key, F.posexplode(F.slice("ids", 1, shown)).alias("at", "id"))
+    strips = (encoded.select(F.col(key).alias("_key"),
+                             F.posexplode(F.slice("ids", 1, shown)).alias("at", "id"))
               .where(F.col("id") != PAD_ID).join(reverse, "id")
-              .groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("_s"))
-              .select(key, F.col("_s.token").alias("strip")))
-    return encoded.join(strips, key)
+              .groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("_s"))
+              .select("_key", F.col("_s.token").alias("_strip")))
+    return (encoded.join(strips, F.col(key) == F.col("_key"), "left")
+            .withColumn("strip", F.coalesce("_strip", F.array().cast("array<string>")))
+            .drop("_key", "_strip"))
 
 
 def unknown_tokens(slotted: DataFrame, vocabulary: DataFrame,

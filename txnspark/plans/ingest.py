@@ -11,8 +11,9 @@ from txnspark.operators.splits import split_plan, with_split
 
 
 def split_and_sample(txn: DataFrame, train_cap: int = S.TRAIN_CAP,
-                     eval_rows: int = S.EVAL_ROWS) -> DataFrame:
-    """Transactions with features, their split, thinned to the caps.
+                     eval_rows: int | None = None) -> DataFrame:
+    """Transactions with features and their split; train thinned to its cap, validation
+    and test whole unless ``eval_rows`` is given.
 
     Two scans: date columns for the cut-offs, then one filtered pass.
     """

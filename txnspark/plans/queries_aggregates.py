@@ -51,11 +51,15 @@ def _(spark, folder):
 
 
 @query("agg_04_fraud_rate_per_split", events(splits(TRAIN_CAP, EVAL_ROWS)
-       + """ SELECT split, count(*) AS n, round(avg(y::DOUBLE) * 100, 9) AS fraud_pct
-             FROM sampled GROUP BY split"""))
+       + """, per AS (SELECT 'kept' AS part, split, y FROM sampled
+             UNION ALL SELECT 'all', split, y FROM split_rows)
+             SELECT part, split, count(*) AS n, round(avg(y::DOUBLE) * 100, 9) AS fraud_pct
+             FROM per GROUP BY part, split"""))
 def _(spark, folder):
     kept = ingest.split_and_sample(C.load_transactions(spark, folder), TRAIN_CAP, EVAL_ROWS)
-    return fraud_rate(kept, "split").withColumn("fraud_pct", F.round("fraud_pct", 9))
+    both = kept.select("split", "y", F.lit("kept").alias("part")).unionByName(
+        C.split_features(spark, folder).select("split", "y", F.lit("all").alias("part")))
+    return fraud_rate(both, "part", "split").withColumn("fraud_pct", F.round("fraud_pct", 9))
 
 
 @query("agg_05_class_balance", events("SELECT y, count(*) AS n FROM feat GROUP BY y"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from txnspark import schema as S
 from txnspark.functions.features import money_text
+from txnspark.functions.rules import (AMOUNT_CEILING, AMOUNT_SCALE, HEAD_CLIP, ODD_HOUR_WEIGHT,
+                                      ODD_HOURS, ONLINE_WEIGHT, STUB_BASE)
 from txnspark.operators import encoders as E
 from txnspark.operators import external as U
 from txnspark.operators import heads as H
@@ -14,7 +16,6 @@ from txnspark.operators import metrics as M
 from txnspark.operators import tokens as K
 from txnspark.operators import vectors as V
 from txnspark.operators.ordered import middle_rows
-from txnspark.operators.sampling import map_sample
 from txnspark.plans import common as C
 from txnspark.plans import training as T
 from txnspark.plans.oracle import events, rules, splits
@@ -260,10 +261,11 @@ def _(spark, folder):
 
 def stub_frame_scorer(frame):
     """The stub rule on a raw frame: an external scorer for tests."""
-    online = frame["use_chip"].str.upper().str.contains("ONLINE").astype(float)
-    odd = frame["hour"].between(1, 4).astype(float)
-    signal = 0.24 + 0.30 * online + 0.22 * odd + np.minimum(frame["amount_num"] / 6000.0, 0.35)
-    return signal.clip(0.01, 0.99).to_numpy()
+    share = np.minimum(frame["amount_num"].to_numpy() / AMOUNT_SCALE, AMOUNT_CEILING)
+    for hit, weight in ((frame["use_chip"].str.contains("online", case=False), ONLINE_WEIGHT),
+                        (frame["hour"].between(*ODD_HOURS), ODD_HOUR_WEIGHT)):
+        share = share + weight * hit.to_numpy(dtype=float)
+    return np.clip(STUB_BASE + share, *HEAD_CLIP)
 
 
 SCORER_COLUMNS = ["use_chip", "hour", "amount_num", "zip", "merchant_name"]
@@ -272,16 +274,14 @@ SCORER_COLUMNS = ["use_chip", "hour", "amount_num", "zip", "merchant_name"]
 @query("mlx_16_external_scorer", rules("""
 SELECT row_id, round(stub, 9) AS score, 'ok' AS status FROM rule"""))
 def _(spark, folder):
-    scored = U.external_scores(C.features(spark, folder), stub_frame_scorer, SCORER_COLUMNS,
-                               timeout_s=60)
+    scored = U.external_scores(C.features(spark, folder), stub_frame_scorer, SCORER_COLUMNS)
     return scored.select("row_id", F.round("score", 9).alias("score"), "status")
 
 
 @query("mlx_17_embedding_map")
 def _(spark, folder):
     t = trained(spark, folder)
-    test = map_sample(t.inputs.where(F.col("split") == "test"))
-    return V.map_points(test).select("row_id", "x", F.col("y_pos"), F.col("y").alias("fraud"))
+    return V.map_points(t.inputs.where(F.col("split") == "test")).select("row_id", "x", F.col("y_pos"), F.col("y").alias("fraud"))
 
 
 @query("mlx_17_map_places_every_row", events(SPLIT_SQL + """
@@ -367,7 +367,7 @@ class RuleModel(U.FrameModel):
         self.base = context["base"]
 
     def predict(self, frame):
-        return stub_frame_scorer(frame) - 0.24 + self.base
+        return stub_frame_scorer(frame) - STUB_BASE + self.base
 
 
 @query("udf_01_frame_model", rules("""

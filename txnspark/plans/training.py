@@ -14,11 +14,10 @@ from txnspark.operators import encoders as E
 from txnspark.operators import heads as H
 from txnspark.operators import tokens as K
 from txnspark.operators import vectors as V
-from txnspark.operators.sampling import balanced_sample, natural_sample
+from txnspark.operators.sampling import balanced_sample
 from txnspark.session import materialize
 
 HEAD_NAMES = ["raw", "embed", "combined"]
-ROWS_PER_TASK = 100_000  # about 200 MB of 512-d embeddings
 
 
 @dataclass
@@ -91,13 +90,15 @@ def embedded(features: DataFrame, vocabulary: DataFrame, embedder: V.Embedder) -
 
 
 def select_rows(rows: DataFrame, budget: int | None) -> DataFrame:
-    """Balanced train rows and natural val / test rows, or whole splits without a budget."""
+    """Balanced train rows, or the whole split without a budget; all val and test rows.
+
+    Only what a head is fitted on is bounded; curves and scores read every row.
+    """
     if budget is None:
         return rows
-    part = lambda s: rows.where(F.col("split") == s)
-    return (balanced_sample(part("train"), budget, "balanced")
-            .unionByName(natural_sample(part("val"), "val", budget))
-            .unionByName(natural_sample(part("test"), "test", budget)))
+    train = F.col("split") == "train"
+    return balanced_sample(rows.where(train), budget, "balanced").unionByName(
+        rows.where(F.col("split").isin("val", "test")))
 
 
 @dataclass
@@ -118,15 +119,13 @@ def train_heads(rows: DataFrame, budget: int | None, rounds: dict[str, int] | in
     The selected rows and the head inputs are written once; the three fits and all
     reports read them.
     """
-    spark = rows.sparkSession
     chosen = materialize(select_rows(rows, budget), "selection")
     train = chosen.where(F.col("split") == "train")
     vocabulary = K.fit_vocabulary(K.with_slots(train))
     dictionary = E.fit_dictionary(train)
     embedder = V.HashedProjection(vocabulary.count(), dim)
-    # Boosting scans its rows hundreds of times: spread them once, over every core and
-    # in parts that fit a task.
-    parts = max(spark.sparkContext.defaultParallelism, chosen.count() // ROWS_PER_TASK + 1)
+    # Boosting scans its rows hundreds of times: spread them once, in parts that fit a task.
+    parts = H.fit_parts(chosen.count())
     with_vectors = materialize(E.with_raw_features(
         embedded(chosen.repartition(parts, "row_id"), vocabulary, embedder), dictionary)
         .select("row_id", "y", "split", "raw", "embedding"), "embedded")
@@ -139,7 +138,7 @@ def train_heads(rows: DataFrame, budget: int | None, rounds: dict[str, int] | in
     for head in HEAD_NAMES:
         n = rounds if isinstance(rounds, int) else rounds[head]
         model, curve, best[head] = H.fit_with_early_stop(
-            head, part("train"), part("val"), n, depth or H.PARAMS[head].depth, patience)
+            head, part("train"), part("val"), n, depth or H.PARAMS[head].depth, patience, parts)
         bundle.heads[head] = model
         curve = curve.withColumn("head", F.lit(head))
         curves = curve if curves is None else curves.unionByName(curve)
