@@ -193,6 +193,18 @@ def test_gap_stream_resumes_reorders_and_drops_late_rows(spark, path):
     assert got == {0: None, 1: 1800.0, 10: 1500.0, 11: 60.0}
 
 
+def test_unique_landing_admits_late_rows_and_drops_repeats(spark, path):
+    def land(ids):
+        chunk = spark.createDataFrame([(i, f"v{i}") for i in ids], "row_id long, v string")
+        chunk.write.mode("append").parquet(f"{path}/in")
+        stream = jobs.read_stream(spark, f"{path}/in", chunk.schema)
+        jobs.land_unique(stream, f"{path}/out", f"{path}/ck").awaitTermination()
+
+    for ids in ([5, 6, 6], [1, 5], [6, 2, 2, 1], [5]):
+        land(ids)
+    assert sorted(r["row_id"] for r in spark.read.parquet(f"{path}/out").collect()) == [1, 2, 5, 6]
+
+
 def test_replayed_batch_changes_nothing(spark, path):
     df = card_rows(spark, ["10:00:00", "10:01:00"])
     for _ in range(2):

@@ -6,6 +6,7 @@ retry or engine reproduces it.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column
@@ -25,6 +26,13 @@ def normal(key, salt: str) -> Column:
     return radius * F.cos(F.lit(2.0 * math.pi) * uniform(key, f"{salt}.a"))
 
 
+def normal_number(key: str, salt: str) -> float:
+    """The draw ``normal`` makes for a constant key, as a number."""
+    def draw(part: str) -> float:
+        return int(hashlib.md5(f"{key}:{salt}.{part}".encode()).hexdigest()[:8], 16) / 4294967296.0
+    return math.sqrt(-2.0 * math.log(1.0 - draw("r"))) * math.cos(2.0 * math.pi * draw("a"))
+
+
 def integers(key, salt: str, low: int, high: int) -> Column:
     """A whole number in [low, high)."""
     return (F.floor(uniform(key, salt) * F.lit(float(high - low))) + F.lit(low)).cast("bigint")

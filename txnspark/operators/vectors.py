@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnspark import schema as S
-from txnspark.functions.hashing import normal
+from txnspark.functions.hashing import normal_number, uniform
 from txnspark.operators.tokens import PAD_ID
 from txnspark.session import path_exists
 
@@ -56,22 +57,54 @@ def mean_state(sequence, dim: int) -> Column:
     return F.transform(total, lambda x: x / F.size(sequence))
 
 
-def linear_map(signals: list[Column], dim: int, salt: str = "projection") -> Column:
-    """``signals`` times a hash-generated matrix, as an array of ``dim`` doubles."""
-    def component(j):
-        terms = [s * normal(F.lit(f"{i}.{j}"), salt) for i, s in enumerate(signals)]
-        return sum(terms[1:], terms[0])
-    return F.array(*[component(j) for j in range(dim)])
+def linear_map(signals: list[Column], dim: int, salt: str = "projection",
+               noise: float = 0.0, key: Column | None = None) -> Column:
+    """``signals`` times a hash-generated matrix, as an array of ``dim`` doubles.
+
+    With ``noise``, each component gets a normal number of that spread: four draws of the
+    row's ``key`` step through the components. The matrix is a literal.
+    """
+    rows = [F.lit([normal_number(f"{i}.{j}", salt) for j in range(dim)])
+            for i in range(len(signals))]
+    times = lambda row, signal: F.transform(row, lambda w: w * signal)
+    out = times(rows[0], signals[0])
+    for signal, row in zip(signals[1:], rows[1:]):
+        out = F.zip_with(out, times(row, signal), lambda a, b: a + b)
+    if noise:
+        draws = F.struct(*[uniform(key, f"{salt}.noise.{c}").alias(c) for c in "abcd"])
+
+        def noisy(d: Column) -> Column:
+            return F.transform(out, lambda x, j: x + F.lit(noise) * F.sqrt(
+                F.lit(-2.0) * F.log(F.lit(1.0) - (d["a"] + j * d["b"]) % 1)) * F.cos(
+                F.lit(2.0 * math.pi) * ((d["c"] + j * d["d"]) % 1)))
+        return F.transform(F.array(draws), noisy)[0]
+    return out
 
 
-def mean_and_covariance(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column pair: means and sample covariance, in one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    agg = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                            F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"),
-                            F.covar_samp(a, b).alias("cov")).alias(f"p{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    return agg.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])))
+def mean_and_covariance(df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """(i, j, mean_i, mean_j, cov) for all i <= j: means and sample covariances.
+
+    Each Arrow batch becomes one matrix product; a task sends one row per pair, whatever
+    its number of rows.
+    """
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, products = 0, 0.0, 0.0
+        for batch in batches:
+            x = np.array(batch.column(0).to_pylist(), dtype=float)
+            if len(x):
+                n, total, products = n + len(x), total + x.sum(axis=0), products + x.T @ x
+        if n:
+            i, j = np.triu_indices(len(total))
+            columns = [i, j, np.full(len(i), n), total[i], total[j], products[i, j]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in columns], names=["i", "j", "n", "a", "b", "ab"])
+
+    sums = (df.where(F.col(vector).isNotNull()).select(vector).mapInArrow(
+        partial, "i long, j long, n long, a double, b double, ab double")
+        .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "ab")]))
+    n, a, b = F.col("n"), F.col("a"), F.col("b")
+    return sums.select("i", "j", (a / n).alias("mean_i"), (b / n).alias("mean_j"),
+                       F.try_divide(F.col("ab") - a * b / n, n - 1).alias("cov"))
 
 
 class HashedProjection:

@@ -26,14 +26,13 @@ def _with_vec_id(spark, folder):
     return C.features(spark, folder).withColumn("vec_id", F.col("row_id") % n)
 
 
-@query("joi_01_raw_beside_components", EMB_SQL + """
- SELECT row_id, amount_num, mcc, embedding[1]::DOUBLE AS pca_0, embedding[64]::DOUBLE AS pca_63
- FROM keyed JOIN e USING (vec_id)""")
+@query("joi_01_raw_beside_components", EMB_SQL + " SELECT row_id, amount_num, mcc, " + ", ".join(
+    f"embedding[{i + 1}]::DOUBLE AS pca_{i}" for i in range(64)) + " FROM keyed JOIN e USING (vec_id)")
 def _(spark, folder):
     emb = read_table(spark, folder, "embeddings")
     return _with_vec_id(spark, folder).join(emb, "vec_id").select(
-        "row_id", "amount_num", "mcc", F.col("embedding")[0].cast("double").alias("pca_0"),
-        F.col("embedding")[63].cast("double").alias("pca_63"))
+        "row_id", "amount_num", "mcc",
+        *[F.col("embedding")[i].cast("double").alias(f"pca_{i}") for i in range(64)])
 
 
 def _exact_sql(n, salt, source="feat"):
@@ -274,38 +273,53 @@ def _(spark, folder):
         "vec_id", F.round(V.cosine("embedding", "centre"), 6).alias("cosine"))
 
 
-def _weight(i, j):
-    r, a = u(f"'{i}.{j}'", "projection.r"), u(f"'{i}.{j}'", "projection.a")
-    return f"sqrt(-2e0 * ln(1e0 - {r})) * cos({2 * 3.141592653589793!r}::DOUBLE * {a})"
+def _normal(key, salt):
+    return (f"sqrt(-2e0 * ln(1e0 - {u(key, salt + '.r')})) * "
+            f"cos({2 * 3.141592653589793!r}::DOUBLE * {u(key, salt + '.a')})")
 
 
 SIGNALS = ["ln(1 + amount_num)", "(\"hour\" BETWEEN 1 AND 4)::INT::DOUBLE",
-           "(use_chip = 'Online Transaction')::INT::DOUBLE"]
-
-
-@query("vec_02_linear_map", events(
-    ", w AS (SELECT " + ", ".join(f"{_weight(i, j)} AS w{i}_{j}" for i in range(3)
-                                  for j in range(8)) + "), s AS (SELECT row_id, "
-    + ", ".join(f"{x} AS s{i}" for i, x in enumerate(SIGNALS)) + " FROM feat) SELECT row_id, "
-    + ", ".join(f"{rnd(' + '.join(f's{i} * w{i}_{j}' for i in range(3)), 6)} AS e{j}"
-                for j in range(8)) + " FROM s, w"))
+           "(use_chip = 'Online Transaction')::INT::DOUBLE", "(mcc >= 5100)::INT::DOUBLE",
+           "k_share"]
+NOISE = 0.15
+
+
+@query("vec_02_linear_map", events(f""",
+w AS (SELECT i.range AS i, j.range AS j, {_normal("(i.range || '.' || j.range)", "projection")} AS w
+  FROM range({len(SIGNALS)}) i, range(512) j),
+src AS (SELECT *, ("user" % 7) / 7e0 AS k_share FROM feat),
+s AS ({" UNION ALL ".join(f"SELECT row_id, {i} AS i, {x} AS v FROM src"
+                          for i, x in enumerate(SIGNALS))}),
+e AS (SELECT row_id, j, sum(v * w) AS x FROM s JOIN w USING (i) GROUP BY row_id, j),
+n AS (SELECT row_id, {", ".join(f"{u('row_id', 'projection.noise.' + c)} AS {c}" for c in "abcd")}
+  FROM feat),
+noisy AS (SELECT row_id, j, x + {NOISE}e0 * sqrt(-2e0 * ln(1e0 - (a + j * b) % 1))
+  * cos({2 * 3.141592653589793!r}::DOUBLE * ((c + j * d) % 1)) AS x FROM e JOIN n USING (row_id))
+SELECT row_id, count(*)::INT AS dims, {rnd("sum(x)", 5)} AS total, {rnd("sum(x * x)", 4)} AS energy,
+  {rnd("sum(x * (j + 1))", 3)} AS weighted FROM noisy GROUP BY row_id"""))
 def _(spark, folder):
     f = C.features(spark, folder)
     signals = [F.log1p("amount_num"), F.col("hour").between(1, 4).cast("double"),
-               (F.col("use_chip") == "Online Transaction").cast("double")]
-    mapped = f.select("row_id", V.linear_map(signals, 8).alias("e"))
-    return mapped.select("row_id", *[F.round(F.col("e")[j], 6).alias(f"e{j}") for j in range(8)])
-
-
-@query("agg_19_mean_and_covariance", "WITH x AS (SELECT " + ", ".join(
-    f"embedding[{i + 1}]::DOUBLE AS v{i}" for i in range(6)) + " FROM embeddings) " + " UNION ALL "
-    .join(f"SELECT 'v{i}' AS a, 'v{j}' AS b, {rnd(f'avg(v{i})', 9)} AS mean_a, "
-          f"{rnd(f'avg(v{j})', 9)} AS mean_b, {rnd(f'covar_samp(v{i}, v{j})', 9)} AS cov FROM x"
-          for i in range(6) for j in range(i, 6)))
+               (F.col("use_chip") == "Online Transaction").cast("double"),
+               (F.col("mcc") >= 5100).cast("double"), (F.col("user") % 7) / 7.0]
+    mapped = V.linear_map(signals, 512, noise=NOISE, key=F.col("row_id"))
+    # Three sums over all 512 components stand for them, in one pass over the vector.
+    zero = F.struct(F.lit(0).alias("dims"), *[F.lit(0.0).alias(c) for c in (
+        "total", "energy", "weighted")])
+    sums = F.aggregate(mapped, zero, lambda a, x: F.struct(
+        (a["dims"] + 1).alias("dims"), (a["total"] + x).alias("total"),
+        (a["energy"] + x * x).alias("energy"),
+        (a["weighted"] + x * (a["dims"] + 1)).alias("weighted")))
+    return f.select("row_id", F.inline(F.array(sums))).select(
+        "row_id", "dims", F.round("total", 5).alias("total"), F.round("energy", 4).alias("energy"),
+        F.round("weighted", 3).alias("weighted"))
+
+
+@query("agg_19_mean_and_covariance", f"""
+WITH x AS (SELECT embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT i.range AS i, j.range AS j FROM range(64) i, range(64) j WHERE i.range <= j.range)
+SELECT i, j, {rnd("avg(v[i + 1])", 9)} AS mean_i, {rnd("avg(v[j + 1])", 9)} AS mean_j,
+  {rnd("covar_samp(v[i + 1], v[j + 1])", 9)} AS cov FROM x, p GROUP BY i, j""")
 def _(spark, folder):
-    e = read_table(spark, folder, "embeddings")
-    wide = e.select(*[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(6)])
-    m = V.mean_and_covariance(wide, wide.columns)
-    return m.select("a", "b", *[F.round(c, 9).alias(c) for c in ("mean_a", "mean_b", "cov")])
-
-
+    m = V.mean_and_covariance(read_table(spark, folder, "embeddings"))
+    return m.select("i", "j", *[F.round(c, 9).alias(c) for c in ("mean_i", "mean_j", "cov")])

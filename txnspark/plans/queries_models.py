@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from txnspark import schema as S
@@ -70,22 +71,21 @@ def _(spark, folder):
     return rotated.select("vec_id", F.round(V.dot("pca", "pca"), 6).alias("length2"))
 
 
-@query("mlx_02_pca_invariants", """SELECT CAST(range AS INTEGER) AS component, true AS centred,
-  true AS falling, true AS uncorrelated FROM range(8)""")
+@query("mlx_02_pca_invariants", """
+SELECT range AS component, true AS centred, true AS falling, true AS uncorrelated
+FROM range((SELECT max(len(embedding)) FROM embeddings))""")
 def _(spark, folder):
     e = read_table(spark, folder, "embeddings")
-    rotated = V.apply_pca(e, V.fit_pca(e, 8)).select(
-        *[F.col("pca")[i].alias(f"c{i}") for i in range(8)])
-    stats = rotated.agg(
-        F.array(*[F.avg(f"c{i}") for i in range(8)]).alias("mean"),
-        F.array(*[F.var_samp(f"c{i}") for i in range(8)]).alias("var"),
-        F.array(*[F.covar_samp(f"c{i}", f"c{(i + 1) % 8}") for i in range(8)]).alias("cov"))
-    at = F.posexplode("mean").alias("component", "m")
-    return stats.select(at, "var", "cov").select(
-        "component", (F.abs("m") < 1e-9).alias("centred"),
-        F.coalesce(F.get("var", F.col("component")) <= F.get("var", F.col("component") - 1),
-                   F.lit(True)).alias("falling"),
-        (F.abs(F.get("cov", F.col("component"))) < 1e-9).alias("uncorrelated"))
+    stats = V.mean_and_covariance(V.apply_pca(e, V.fit_pca(e, 64)), "pca")
+    spread = stats.where("i = j").select(
+        F.col("i").alias("component"), F.abs("mean_i").alias("mean"), F.col("cov").alias("var"),
+        F.lag("cov").over(W.orderBy("i")).alias("before"))  # one row per component
+    other = stats.where("i < j").groupBy(F.col("i").alias("_c")).agg(
+        F.max(F.abs("cov")).alias("cross"))
+    return spread.join(other, F.col("component") == F.col("_c"), "left").select(
+        "component", (F.col("mean") < 1e-9).alias("centred"),
+        F.coalesce(F.col("var") <= F.col("before") + 1e-12, F.lit(True)).alias("falling"),
+        (F.coalesce("cross", F.lit(0.0)) < 1e-9).alias("uncorrelated"))
 
 
 @query("mlx_03_embedding")
@@ -105,18 +105,16 @@ def _(spark, folder):
         "embedding", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6)).alias("finite"))
 
 
-@query("mlx_04_pooling", """
-SELECT vec_id, round(embedding[49]::DOUBLE, 6) AS last_0, round(embedding[64]::DOUBLE, 6) AS last_15,
-  round((embedding[1]::DOUBLE + embedding[17] + embedding[33] + embedding[49]) / 4, 6) AS mean_0
-FROM embeddings""")
+@query("mlx_04_pooling", "SELECT vec_id, " + ", ".join(
+    [f"round(embedding[{49 + i}]::DOUBLE, 6) AS last_{i}" for i in range(16)]
+    + [f"round((embedding[{1 + i}]::DOUBLE + embedding[{17 + i}] + embedding[{33 + i}] "
+       f"+ embedding[{49 + i}]) / 4, 6) AS mean_{i}" for i in range(16)]) + " FROM embeddings")
 def _(spark, folder):
     states = F.array(*[F.slice("embedding", 1 + 16 * i, 16) for i in range(4)])
-    e = read_table(spark, folder, "embeddings").select("vec_id", states.alias("states"))
-    last = V.last_state("states")
-    return e.select(
-        "vec_id", F.round(last[0].cast("double"), 6).alias("last_0"),
-        F.round(last[15].cast("double"), 6).alias("last_15"),
-        F.round(V.mean_state("states", 16)[0], 6).alias("mean_0"))
+    e = read_table(spark, folder, "embeddings").select("vec_id", states.alias("states")).select(
+        "vec_id", V.last_state("states").alias("last"), V.mean_state("states", 16).alias("mean"))
+    return e.select("vec_id", *[F.round(F.col(c)[i].cast("double"), 6).alias(f"{c}_{i}")
+                                for c in ("last", "mean") for i in range(16)])
 
 
 def _head_query(name, head):
@@ -302,7 +300,8 @@ def _(spark, folder):
    count(*) OVER (PARTITION BY y) AS n FROM split_rows WHERE split = 'test')
 SELECT ordinal, label, row_id, y = 1 AS is_fraud,
   '$' || CAST(CAST(amount_num AS DECIMAL(18,2)) AS VARCHAR) AS amount,
-  CAST(merchant_name AS VARCHAR) AS merchant_name
+  CAST(merchant_name AS VARCHAR) AS merchant_name, use_chip, merchant_city, merchant_state, zip,
+  mcc, "year", "month", "day", "time", card, "user"
 FROM r JOIN (VALUES (1, 'Real fraud (test set)', 1), (2, 'Real legitimate (test set)', 0),
   (3, 'Real fraud #2 (test set)', 1)) v(ordinal, label, want) ON y = want WHERE i = n // 2"""))
 def _(spark, folder):
@@ -315,7 +314,9 @@ def _(spark, folder):
     return picked.select(
         F.inline(slots), "row_id", (F.col("y") == 1).alias("is_fraud"),
         money_text(F.col("amount_num")).alias("amount"),
-        F.col("merchant_name").cast("string").alias("merchant_name"))
+        F.col("merchant_name").cast("string").alias("merchant_name"), "use_chip",
+        "merchant_city", "merchant_state", "zip", "mcc", "year", "month", "day", "time", "card",
+        "user")
 
 
 @query("win_08_explained_variance")
@@ -341,6 +342,22 @@ def _(spark, folder):
     return table.withColumns({c: F.round(c, 9) for c in ("share", "cumulative")})
 
 
+@query("win_08_variance_of_all_components", f"""
+WITH x AS (SELECT embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT i.range + 1 AS i, j.range + 1 AS j FROM range(64) i, range(64) j),
+c AS (SELECT i, j, covar_samp(v[i], v[j]) AS cov FROM x, p GROUP BY i, j)
+SELECT CAST(64 AS BIGINT) AS components, 1e0 AS cumulative,
+  round(sum(cov * cov) / (sum(CASE WHEN i = j THEN cov END)) ** 2, 9) AS squares FROM c""")
+def _(spark, folder):
+    # The squared shares of all components add up to the squared covariances.
+    e = read_table(spark, folder, "embeddings")
+    rows = V.explained_variance(V.fit_pca(e, 64))
+    table = spark.createDataFrame(rows, "component int, share double, cumulative double")
+    return table.agg(F.count(F.lit(1)).alias("components"),
+                     F.round(F.max("cumulative"), 9).alias("cumulative"),
+                     F.round(F.sum(F.col("share") * F.col("share")), 9).alias("squares"))
+
+
 @query("src_14_embedding_cache", events(SPLIT_SQL + """
  SELECT split, count(*) AS cached, count(*) FILTER (row_id % 3 = 0) AS reused
  FROM split_rows GROUP BY split"""))

@@ -91,11 +91,11 @@ def _(spark, folder):
 @query("str_04_deduplicated_stream", events('SELECT row_id, "user", amount FROM txn'))
 def _(spark, folder):
     landing, out, checkpoint = _folders(spark, "dedupe-stream", "landing", "out", "checkpoint")
-    txn = C.load_transactions(spark, folder).select("row_id", "user", "amount", F.col(
-        "ts").cast("timestamp").alias("ts"))
-    once = lambda d: jobs.deduplicate(d).select("row_id", "user", "amount")
-    for _ in range(2):  # the second landing repeats every row
-        txn.write.mode("append").parquet(landing)
+    txn = C.load_transactions(spark, folder).select("row_id", "user", "amount", "ts")
+    # The newest half lands first, then everything: late rows never seen, and repeats.
+    middle = txn.agg(F.expr("max(ts) - (max(ts) - min(ts)) / 2")).scalar()
+    for chunk in (txn.where(F.col("ts") > middle), txn, txn.where(F.col("row_id") % 3 == 0)):
+        chunk.write.mode("append").parquet(landing)
         stream = jobs.read_stream(spark, landing, txn.schema)
-        jobs.score_stream(stream, once, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+        jobs.land_unique(stream, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("row_id", "user", "amount")
