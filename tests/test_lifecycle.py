@@ -40,3 +40,26 @@ def test_two_runs(spark, path):
     new = again.score(rows.where("split = 'test'")).select("row_id", "p_combined")
     old = t.scores.where("head = 'combined'")
     assert new.join(old, "row_id").where("abs(p - p_combined) > 1e-9").count() == 0
+
+
+def test_own_embedder_and_extra_slots_are_trained_and_saved(spark, path):
+    from txnspark.operators.ordered import time_gap
+    from txnspark.operators.tokens import EXTRA_SLOTS
+
+    def shape_embedder(ids):  # number, sum and largest of the ids
+        return np.stack([(ids > 0).sum(axis=1), ids.sum(axis=1), ids.max(axis=1)], axis=1) / 100.0
+
+    rows = time_gap(C.features(spark, "/root/testdata/sf0.001")).where("row_id < 600").withColumn(
+        "split", F.when(F.col("row_id") < 400, "train").when(F.col("row_id") < 500, "val")
+        .otherwise("test"))
+    t = T.train_heads(rows, None, 2, depth=2, components=2, embedder=shape_embedder,
+                      extra_slots=True)
+    known = {r["token"].split("_")[0] for r in t.bundle.vocabulary.collect()}
+    assert {"DOW", "DT", "MCCG"} <= known and len(EXTRA_SLOTS) == 3
+    t.bundle.save(path)
+    test = rows.where("split = 'test'")
+    new = T.Bundle.load(spark, path).score(test, "ids").select(
+        F.col("row_id").alias("_id"), F.col("p_combined").alias("q"), "ids")
+    both = t.bundle.score(test).join(new, F.col("row_id") == F.col("_id"))
+    assert both.count() == 100 and both.where("abs(p_combined - q) > 1e-9").count() == 0
+    assert {len([i for i in r["ids"] if i]) for r in new.collect()} == {11}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnspark import schema as S
+from txnspark.functions.features import merchant_number, zip_number
 from txnspark.operators.ordered import dense_ids
 from txnspark.session import materialize
 
@@ -55,8 +56,17 @@ def raw_feature_names() -> list[str]:
 def with_raw_features(df: DataFrame, dictionary: DataFrame, out: str = "raw") -> DataFrame:
     """Adds the raw feature array; NULL becomes the sentinel the trees can split off."""
     coded = ordinal_encode(df, dictionary)
+    # Request rows carry these as text that may hold no number.
+    tolerant = {"merchant_name": merchant_number, "zip": zip_number}
+    text = {f.name for f in df.schema if f.dataType.simpleString() == "string"}
+
+    def number(c: str):
+        if c not in text:
+            return F.col(c).cast("double")
+        return tolerant.get(c, lambda v: v.try_cast("double"))(F.col(c))
+
     values = [F.col(f"{c}_code") for c in S.TEXT_FEATURES]
-    values += [F.col(c).cast("double") for c in NUMERIC_FEATURES]
+    values += [number(c) for c in NUMERIC_FEATURES]
     filled = [F.coalesce(v, F.lit(MISSING)) for v in values]
     return (coded.withColumn(out, F.array(*filled))
             .drop(*[f"{c}_code" for c in S.TEXT_FEATURES]))

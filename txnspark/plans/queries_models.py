@@ -22,6 +22,7 @@ from txnspark.plans import training as T
 from txnspark.plans.oracle import events, rules, splits
 from txnspark.plans.queries_features import SLOTS_SQL, VOCAB_SQL
 from txnspark.plans.registry import query
+from txnspark.plans.scoring import score_requests
 from txnspark.session import materialize, new_path
 from txnspark.sources.transactions import read_table
 
@@ -257,6 +258,38 @@ def _(spark, folder):
         "row_id", (F.abs(F.col("p") - F.col("p_combined")) < 1e-9).alias("same"))
 
 
+@query("jsn_01_trained_replies", events(SPLIT_SQL + """
+ SELECT row_id, 'model' AS mode, CAST(8 AS INTEGER) AS tokens, CAST(512 AS INTEGER) AS dim,
+   true AS in_range, true AS placed, true AS same FROM split_rows WHERE split = 'test'"""))
+def _(spark, folder):
+    t, test = trained(spark, folder), _test(spark, folder)
+    # Every fifth request names its merchant and leaves the zip empty.
+    odd = F.col("row_id") % 5 == 0
+    form = test.select(
+        "row_id", *[c for c in ("year", "month", "day", "time", "amount", "use_chip", "mcc",
+                                "merchant_city", "merchant_state", "card", "user")],
+        F.when(odd, "AMAZON").otherwise(F.col("merchant_name").cast("string"))
+        .alias("merchant_name"),
+        F.when(odd, "").otherwise(F.col("zip").cast("string")).alias("zip"))
+    shape = ("mode string, tokens array<string>, embedding_dim int, scores struct<raw:double,"
+             "embed:double,combined:double>, position struct<x:double,y:double>")
+    replies = score_requests(form, t.bundle).select(
+        F.col("row_id").alias("_id"), F.from_json("reply", shape).alias("r"))
+    batch = t.bundle.score(test, "zip", "merchant_state").join(
+        replies, F.col("row_id") == F.col("_id"))
+    complete = ~odd & F.col("zip").isNotNull() & F.col("merchant_state").isNotNull()
+    near = F.lit(True)
+    for head in T.HEAD_NAMES:
+        near = near & (F.abs(F.col(f"p_{head}") - F.col(f"r.scores.{head}")) < 1e-9)
+    inside = lambda h: F.col(f"r.scores.{h}").between(0.0, 1.0)
+    return batch.select(
+        "row_id", "r.mode", F.size("r.tokens").alias("tokens"),
+        F.col("r.embedding_dim").alias("dim"),
+        (inside("raw") & inside("embed") & inside("combined")).alias("in_range"),
+        (F.col("r.position.x").isNotNull() & F.col("r.position.y").isNotNull()).alias("placed"),
+        (~complete | near).alias("same"))
+
+
 def stub_frame_scorer(frame):
     """The stub rule on a raw frame: an external scorer for tests."""
     share = np.minimum(frame["amount_num"].to_numpy() / AMOUNT_SCALE, AMOUNT_CEILING)

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from txnspark import schema as S
 from txnspark.functions import features as X
 from txnspark.functions.rules import fallback_heads, fallback_score
+from txnspark.operators import tokens
+from txnspark.plans.training import HEAD_NAMES, Bundle
+from txnspark.sources import documents
 
 # --- fixed values: defaults of a scoring request (display name -> value) ---
 REQUEST_DEFAULTS = {
@@ -69,3 +72,18 @@ def fallback_reply(features: DataFrame) -> DataFrame:
 
 def verdict(p, threshold: float = S.FLAG_THRESHOLD):
     return F.when(p >= F.lit(threshold), FLAG_TEXT).otherwise(CLEAR_TEXT)
+
+
+def score_requests(form: DataFrame, bundle: Bundle, key: str = "row_id") -> DataFrame:
+    """(key, reply): the nested JSON reply of a trained bundle to each request row.
+
+    Request columns may carry either name, be absent, or hold text where training saw
+    numbers. Tokens, embedding and position come from the same steps as in training.
+    """
+    rows = request_features(canonical_request(form, [key])).withColumnRenamed(key, "row_id")
+    scored = bundle.score(rows, "ids", "embedding").withColumn("dim", F.size("embedding"))
+    told = tokens.decode(scored, bundle.vocabulary)
+    heads = {h: F.col(f"p_{h}") for h in HEAD_NAMES}
+    reply = documents.score_reply("model", F.col("strip"), F.col("dim"), heads, F.col("x"),
+                                  F.col("y_pos"))
+    return told.select(F.col("row_id").alias(key), reply.alias("reply"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +30,13 @@ class Bundle:
     embedder: V.Embedder
     pca: PipelineModel
     heads: dict[str, GBTClassificationModel] = field(default_factory=dict)
+    extra_slots: bool = False
 
     def inputs(self, features: DataFrame, *keep: str) -> DataFrame:
         """(row_id, y, raw, pca): head inputs of any feature rows, in one narrow pass
         while dictionary and vocabulary are small enough to broadcast."""
-        d = E.with_raw_features(embedded(features, self.vocabulary, self.embedder),
-                                self.dictionary)
+        d = E.with_raw_features(
+            embedded(features, self.vocabulary, self.embedder, self.extra_slots), self.dictionary)
         label = "y" if "y" in features.columns else F.lit(None).cast("int").alias("y")
         return V.apply_pca(d, self.pca).select("row_id", label, *keep, "raw", "pca")
 
@@ -60,22 +62,23 @@ class Bundle:
         self.pca.write().overwrite().save(f"{path}/pca")
         for name, model in self.heads.items():
             model.write().overwrite().save(f"{path}/head_{name}")
-        e = self.embedder
-        spark.createDataFrame([(e.vocabulary, e.dim, e.seed)],
-                              "vocabulary int, dim int, seed int").write.mode(
-            "overwrite").json(f"{path}/embedder")
+        # Any embedder that can be sent to the workers can be stored the same way.
+        spark.createDataFrame(
+            [(bytearray(cloudpickle.dumps(self.embedder)), self.extra_slots)],
+            "embedder binary, extra_slots boolean").write.mode("overwrite").parquet(
+            f"{path}/embedder")
 
     @staticmethod
     def load(spark: SparkSession, path: str, embedder: V.Embedder | None = None) -> Bundle:
-        """``embedder`` replaces the built-in one when the bundle was fitted with another."""
-        if embedder is None:
-            e = spark.read.schema("vocabulary int, dim int, seed int").json(
-                f"{path}/embedder").first()
-            embedder = V.HashedProjection(e["vocabulary"], e["dim"], e["seed"])
+        """``embedder`` replaces the stored one. Load only bundles you trust: a stored
+        embedder is code."""
+        kept = spark.read.parquet(f"{path}/embedder").first()
         return Bundle(
             spark.read.parquet(f"{path}/dictionary"), spark.read.parquet(f"{path}/vocabulary"),
-            embedder, PipelineModel.load(f"{path}/pca"),
-            {n: GBTClassificationModel.load(f"{path}/head_{n}") for n in HEAD_NAMES})
+            embedder or cloudpickle.loads(bytes(kept["embedder"])),
+            PipelineModel.load(f"{path}/pca"),
+            {n: GBTClassificationModel.load(f"{path}/head_{n}") for n in HEAD_NAMES},
+            kept["extra_slots"])
 
 
 def long_scores(wide: DataFrame, *keep: str) -> DataFrame:
@@ -84,8 +87,13 @@ def long_scores(wide: DataFrame, *keep: str) -> DataFrame:
     return wide.select("row_id", "y", *keep, F.inline(pairs))
 
 
-def embedded(features: DataFrame, vocabulary: DataFrame, embedder: V.Embedder) -> DataFrame:
-    encoded = K.encode(K.with_slots(features), vocabulary)
+def token_slots(extra: bool) -> list[str]:
+    return [*K.SLOTS, *K.EXTRA_SLOTS] if extra else K.SLOTS
+
+
+def embedded(features: DataFrame, vocabulary: DataFrame, embedder: V.Embedder,
+             extra_slots: bool = False) -> DataFrame:
+    encoded = K.encode(K.with_slots(features, extra_slots), vocabulary, token_slots(extra_slots))
     return encoded.withColumn("embedding", V.embedding_column(embedder, F.col("ids")))
 
 
@@ -113,27 +121,32 @@ class Training:
 
 def train_heads(rows: DataFrame, budget: int | None, rounds: dict[str, int] | int,
                 depth: int | None = None, components: int = S.PCA_DIM,
-                patience: int = 20, dim: int = S.EMBED_DIM) -> Training:
+                patience: int = 20, dim: int = S.EMBED_DIM, embedder: V.Embedder | None = None,
+                extra_slots: bool = False) -> Training:
     """``rows``: features with ``split``. Fits on train, stops on val, scores test.
 
+    ``embedder`` replaces the built-in one; ``extra_slots`` adds the temporal and category
+    tokens and needs ``ts`` and ``time_delta_s``.
+
     The selected rows and the head inputs are written once; the three fits and all
     reports read them.
     """
     chosen = materialize(select_rows(rows, budget), "selection")
     train = chosen.where(F.col("split") == "train")
-    vocabulary = K.fit_vocabulary(K.with_slots(train))
+    vocabulary = K.fit_vocabulary(K.with_slots(train, extra_slots), token_slots(extra_slots))
     dictionary = E.fit_dictionary(train)
-    embedder = V.HashedProjection(vocabulary.count(), dim)
+    embedder = embedder or V.HashedProjection(vocabulary.count(), dim)
     # Boosting scans its rows hundreds of times: spread them once, in parts that fit a task.
     parts = H.fit_parts(chosen.count())
     with_vectors = materialize(E.with_raw_features(
-        embedded(chosen.repartition(parts, "row_id"), vocabulary, embedder), dictionary)
+        embedded(chosen.repartition(parts, "row_id"), vocabulary, embedder, extra_slots),
+        dictionary)
         .select("row_id", "y", "split", "raw", "embedding"), "embedded")
     pca = V.fit_pca(with_vectors.where(F.col("split") == "train"), components)
     inputs = materialize(V.apply_pca(with_vectors, pca).select(
         "row_id", "y", "split", "raw", "pca"), "head-inputs")
     part = lambda s: inputs.where(F.col("split") == s)
-    bundle = Bundle(dictionary, vocabulary, embedder, pca)
+    bundle = Bundle(dictionary, vocabulary, embedder, pca, extra_slots=extra_slots)
     curves, best = None, {}
     for head in HEAD_NAMES:
         n = rounds if isinstance(rounds, int) else rounds[head]

@@ -57,10 +57,10 @@ def request_rows(requests: DataFrame, body: str, row_schema: str) -> DataFrame:
     return requests.select(*keep, F.inline(parsed["rows"]))
 
 
-def score_reply(mode: str, tokens: Column, dim: int, scores: dict[str, Column],
+def score_reply(mode: str, tokens: Column, dim: int | Column, scores: dict[str, Column],
                 x: Column, y: Column) -> Column:
     """The nested reply for one scored transaction, as JSON text."""
     return F.to_json(F.struct(
-        F.lit(mode).alias("mode"), tokens.alias("tokens"), F.lit(dim).alias("embedding_dim"),
+        F.lit(mode).alias("mode"), tokens.alias("tokens"), (dim if isinstance(dim, Column) else F.lit(dim)).alias("embedding_dim"),
         F.struct(*[p.alias(k) for k, p in scores.items()]).alias("scores"),
         F.struct(x.alias("x"), y.alias("y")).alias("position")))
