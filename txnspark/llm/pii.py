@@ -255,14 +255,39 @@ def viterbi(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return states, score.max(axis=1) - none
 
 
-def _labelled(text: str, spans: list[tuple[int, int, str]], weight: float) -> list:
-    """Training runs of a text whose spans are (start, kind number, end)."""
+_TRIM = "\"'.,;:!?()[]<>{}|#*$%&="
+
+
+def _plausible(kind: int, word: str) -> bool:
+    digits = len(_digits(word))
+    if kind == 0:
+        name, at, host = word.rpartition("@")
+        return bool(name) and "." in host.strip(".") and at == "@"
+    if kind == 1:
+        parts = re.findall(r"[0-9]+", word)
+        return len(parts) >= 4 and all(len(p) < 4 and int(p) <= 255 for p in parts[:4])
+    if kind == 2:
+        return 12 <= digits <= 19 and _luhn(_digits(word))
+    return 7 <= digits <= 15 and not any(c.isalpha() for c in word)
+
+
+def _labelled(text: str, spans: list[tuple[int, int, int]], weight: float,
+              checked: bool = True) -> list:
+    """Training runs of a text whose spans are (start, kind number, end).
+
+    Unless the text was ``checked`` by hand, a run without a span that could be personal data
+    all the same teaches nothing and is left out.
+    """
     out = []
     for run in candidate_runs(text):
         states = []
         for a, b in run:
             kinds = [k + 1 for s, k, e in spans if s < b and a < e]
             states.append(kinds[0] if kinds else 0)
+        parts = [text[run[0][0]:run[-1][1]], *[text[a:b] for a, b in run]]
+        if not checked and not any(states) and any(
+                _plausible(k, p.strip(_TRIM)) for k in range(4) for p in parts):
+            continue
         out.append((_run_features(text, run), states, weight))
     return out
 
@@ -295,26 +320,10 @@ def train(docs: DataFrame, text: str = "text",
               .orderBy(F.xxhash64("part"), "part").limit(documents * 2).collect())
     runs = _example_runs()
     for row in sample:
-        runs += _labelled(row["part"], base_spans(row["part"]), 1.0)
+        runs += _labelled(row["part"], base_spans(row["part"]), 1.0, checked=False)
     return fit(runs)
 
 
-_TRIM = "\"'.,;:!?()[]<>{}|#*$%&="
-
-
-def _plausible(kind: int, word: str) -> bool:
-    digits = len(_digits(word))
-    if kind == 0:
-        name, at, host = word.rpartition("@")
-        return bool(name) and "." in host.strip(".") and at == "@"
-    if kind == 1:
-        parts = re.findall(r"[0-9]+", word)
-        return len(parts) >= 4 and all(len(p) < 4 and int(p) <= 255 for p in parts[:4])
-    if kind == 2:
-        return 12 <= digits <= 19 and _luhn(_digits(word))
-    return 7 <= digits <= 15 and not any(c.isalpha() for c in word)
-
-
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
