@@ -23,6 +23,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, f"{SPACES}+"), "")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, wherever ``use`` repeats it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def row_key(df: DataFrame) -> Column:
     """64-bit hash over all columns: tells rows apart that share a doc_id."""
     column = lambda c, kind: (F.col(f"`{c}`").cast("string")

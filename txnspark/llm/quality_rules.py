@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from txnspark.llm.common import SPACES, row_key, text_of, without, words_of
+from txnspark.llm.common import SPACES, let, row_key, text_of, without, words_of
 from txnspark.session import materialize
 
 MIN_WORDS = 50
@@ -124,7 +124,7 @@ _SUMS = ["n"] + [c for i in range(len(FEATURES)) for c in
 
 def _append(values: Column, entry) -> Column:
     """``values`` with one more number, computed from those there (each evaluated once)."""
-    return F.get(F.transform(F.array(values), lambda v: F.concat(v, F.array(entry(v)))), 0)
+    return let(values, lambda v: F.concat(v, F.array(entry(v))))
 
 
 def _inverse_factor(factor: float) -> list[Column]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from txnspark.llm.common import row_key, text_of
+from txnspark.llm.common import let, row_key, text_of
 from txnspark.session import materialize
 
 BLOCK_ROWS = 20_000
@@ -34,35 +34,43 @@ def _hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) ->
     Inversion by the ratio of neighbouring probabilities, so nothing but products is
     needed. Exact up to double rounding; steps are a few dozen standard deviations.
     """
-    low = F.greatest(F.lit(0).cast("long"), drawn - (total - marked))
-    high = F.least(marked, drawn)
-    n, k, d = (c.cast("double") for c in (total, marked, drawn))
-    mean = d * k / F.greatest(n, F.lit(1.0))
-    spread = F.sqrt(mean * (1 - k / F.greatest(n, F.lit(1.0))) * (n - d)
-                    / F.greatest(n - 1, F.lit(1.0)))
-    reach = F.lit(SPREAD) * F.greatest(spread, F.lit(0.0)) + SPREAD
-    start = F.greatest(low, F.floor(mean - reach))
-    stop = F.least(high, F.ceil(mean + reach))
-
-    def after(w: Column, x: Column) -> Column:
-        """The weight of x + 1 from the weight of x."""
-        y = x.cast("double")
-        return w * ((k - y) * (d - y) / ((y + 1) * (n - k - d + y + 1)))
-
-    steps = F.when(stop > start, F.sequence(start, stop - 1)).otherwise(
-        F.array().cast("array<bigint>"))
-    first = F.lit(1e-250)
-    weights = F.aggregate(
-        steps, F.struct(first.alias("w"), first.alias("sum")),
-        lambda a, x: F.struct(after(a["w"], x).alias("w"),
-                              (a["sum"] + after(a["w"], x)).alias("sum")))
-    goal = u * weights["sum"]
-    picked = F.aggregate(
-        steps, F.struct(first.alias("w"), first.alias("sum"), start.alias("at")),
-        lambda a, x: F.struct(
-            after(a["w"], x).alias("w"), (a["sum"] + after(a["w"], x)).alias("sum"),
-            F.when(a["sum"] < goal, x + 1).otherwise(a["at"]).alias("at")))
-    return picked["at"]
+    def bounds(g: Column) -> Column:
+        n, k, d = (g[c].cast("double") for c in ("n", "k", "d"))
+        some = F.greatest(n, F.lit(1.0))
+        mean = d * k / some
+        spread = F.sqrt(F.greatest(F.lit(0.0), mean * (1 - k / some) * (n - d)
+                                   / F.greatest(n - 1, F.lit(1.0))))
+        return let(F.struct(mean.alias("mean"), (spread * SPREAD + SPREAD).alias("reach")),
+                   lambda m: F.struct(
+                       F.greatest(F.lit(0).cast("long"), g["d"] - (g["n"] - g["k"]),
+                                  F.floor(m["mean"] - m["reach"])).alias("start"),
+                       F.least(g["k"], g["d"], F.ceil(m["mean"] + m["reach"])).alias("stop")))
+
+    def draw(g: Column) -> Column:
+        n, k, d = (g[c].cast("double") for c in ("n", "k", "d"))
+
+        def after(a: Column, x: Column) -> Column:
+            """Weight of x + 1 from the weight of x, and the sum so far."""
+            y = x.cast("double")
+            ratio = (k - y) * (d - y) / ((y + 1) * (n - k - d + y + 1))
+            return let(a["w"] * ratio, lambda w: F.struct(w.alias("w"), (a["sum"] + w).alias("sum")))
+
+        first = F.struct(F.lit(1e-250).alias("w"), F.lit(1e-250).alias("sum"))
+
+        def pick(b: Column) -> Column:
+            steps = F.when(b["stop"] > b["start"], F.sequence(b["start"], b["stop"] - 1)).otherwise(
+                F.array().cast("array<bigint>"))
+            total_weight = F.aggregate(steps, first, after)["sum"]
+            return let(F.struct(steps.alias("steps"), (g["u"] * total_weight).alias("goal")),
+                       lambda s: F.aggregate(
+                           s["steps"], F.struct(first.alias("a"), b["start"].alias("at")),
+                           lambda t, x: F.struct(
+                               after(t["a"], x).alias("a"),
+                               F.when(t["a"]["sum"] < s["goal"], x + 1).otherwise(t["at"])
+                               .alias("at")))["at"])
+        return let(bounds(g), pick)
+
+    return let(F.struct(total.alias("n"), marked.alias("k"), drawn.alias("d"), u.alias("u")), draw)
 
 
 def communication_matrix(sizes: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -84,9 +92,9 @@ def communication_matrix(sizes: DataFrame, shards: int, seed: int) -> DataFrame:
         sizes.withColumn("level", at).groupBy("level", node.cast("long").alias("node"))
         .agg(F.sum(F.when(left, F.col("n")).otherwise(0)).alias("left")), "tree")
     shares = [total // shards + (1 if s < total % shards else 0) for s in range(shards)]
-    matrix = spark.range(1).select(
-        F.lit(0).cast("long").alias("node"),
-        F.array(*[F.lit(s).cast("long") for s in shares]).alias("counts"))
+    matrix = materialize(spark.range(1).select(
+        F.col("id").alias("node"),
+        F.array(*[F.lit(s).cast("long") for s in shares]).alias("counts")), "matrix")
     for level in range(levels):
         here = nodes.where(F.col("level") == level).select(F.col("node").alias("_n"), "left")
         both = matrix.join(here, F.col("node") == F.col("_n"), "left").withColumn(
@@ -109,10 +117,9 @@ def communication_matrix(sizes: DataFrame, shards: int, seed: int) -> DataFrame:
 
 
 def _deal(state: Column, shard: Column, marked: Column, u: Column) -> Column:
-    got = _hypergeometric(state["total"], marked, state["drawn"], u)
-    return F.struct((state["total"] - marked).alias("total"),
-                    (state["drawn"] - got).alias("drawn"),
-                    F.concat(state["got"], F.array(got)).alias("got"))
+    return let(_hypergeometric(state["total"], marked, state["drawn"], u), lambda got: F.struct(
+        (state["total"] - marked).alias("total"), (state["drawn"] - got).alias("drawn"),
+        F.concat(state["got"], F.array(got)).alias("got")))
 
 
 def uniform_shards(docs: DataFrame, shards: int = 8, seed: int = 1,
