@@ -40,16 +40,22 @@ def check_tree(nodes):
         assert r["stream_start"] == at  # one stream without a gap, each segment once
         at += r["n_tokens"]
         assert len(r["ids"]) == 4 * r["n_tokens"]
-        assert len(r["ancestors"]) == r["depth"]
         assert r["position"] == sum(a["end"] - a["start"] for a in r["ancestors"])
         assert all(a["end"] <= r["stream_start"] for a in r["ancestors"])
     assert len({r["node"] for r in rows}) == len(rows)
-    # Depth-first: between a node and its end there is nothing but its descendants.
+    # Depth-first: the turns above a node are the ones still open, and nothing else.
     open_ = []
     for r in rows:
-        ups = [a["start"] for a in r["ancestors"]]
-        assert ups == open_[:r["depth"]]
-        open_ = [*open_[:r["depth"]], r["stream_start"]]
+        open_ = open_[:r["depth"]]
+        assert len(open_) == r["depth"]
+        joined = []
+        for a, b in open_:
+            if joined and joined[-1][1] == a:
+                joined[-1][1] = b
+            else:
+                joined.append([a, b])
+        assert [[a["start"], a["end"]] for a in r["ancestors"]] == joined
+        open_.append((r["stream_start"], r["stream_start"] + r["n_tokens"]))
     return rows
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from txnspark.llm.common import let
 from txnspark.llm.tokens import default_tokenizer, tokenizer
 from txnspark.session import materialize
 
@@ -90,8 +91,8 @@ def prefix_tree(conversations: DataFrame,
     """(nodes, members), both written tables.
 
     nodes: node (key of the path), turn_key, role, depth, stream_start, n_tokens, position
-    (of the first token), ancestors (array of stream intervals start, end), ids (binary,
-    little-endian 32-bit), loss_start, loss_length (ids under the loss mask), n_chars.
+    (of the first token), ancestors (stream intervals start, end of the turns above it, those
+    next to each other joined), ids (binary, little-endian 32-bit), loss_start, loss_length (ids under the loss mask), n_chars.
     members: (conv_id, path): the node keys of each conversation from the first turn on.
 
     Rows of one conv_id are one conversation, in order of turn (nulls first), then role,
@@ -127,10 +128,8 @@ def prefix_tree(conversations: DataFrame,
     # A node is named by the chain of the keys down to it.
     chain = F.aggregate(
         "keys", F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all")),
-        lambda a, k: F.struct(
-            F.substring(F.sha2(F.concat(a["last"], k), 256), 1, 32).alias("last"),
-            F.concat(a["all"], F.array(F.substring(
-                F.sha2(F.concat(a["last"], k), 256), 1, 32))).alias("all")))["all"]
+        lambda a, k: let(F.substring(F.sha2(F.concat(a["last"], k), 256), 1, 32), lambda h: F.struct(
+            h.alias("last"), F.concat(a["all"], F.array(h)).alias("all"))))["all"]
     ordered = materialize(ordered.select("part", "keys", "shared", chain.alias("path")), "paths")
     members = materialize(
         lists.select("conv_id", "keys", chain.alias("path")).select("conv_id", "path"),
@@ -138,6 +137,18 @@ def prefix_tree(conversations: DataFrame,
     return _lay_out(ordered, segments), members
 
 
+_INTERVALS = "array<struct<start:bigint,end:bigint>>"
+
+
+def _extended(intervals: Column, start: Column, end: Column) -> Column:
+    """Intervals with one more at the end, joined to the last if it begins where that ends."""
+    last = F.get(intervals, F.size(intervals) - 1)
+    more = lambda s: F.array(F.struct(s.alias("start"), end.alias("end")))
+    return F.when(last["end"] == start, F.concat(
+        F.slice(intervals, 1, F.size(intervals) - 1), more(last["start"]))).otherwise(
+        F.concat(intervals, more(start)))
+
+
 def _lay_out(ordered: DataFrame, segments: DataFrame) -> DataFrame:
     """Stream places of all nodes of the sorted conversations."""
     sizes = segments.select(F.col("turn_key").alias("_key"), "n_tokens")
@@ -171,26 +182,29 @@ def _lay_out(ordered: DataFrame, segments: DataFrame) -> DataFrame:
             F.when(i >= F.col("shared"), F.concat(a["all"], F.array(F.struct(
                 i.alias("depth"), a["position"].alias("position"),
                 a["at"].alias("stream_start"))))).otherwise(a["all"]).alias("all")))["all"]
-    new = materialize(
-        placed.withColumn("place", F.explode(places))
-        .select(F.get("path", F.col("place.depth")).alias("node"),
-                F.get("keys", F.col("place.depth")).alias("turn_key"),
-                F.slice("path", 1, F.col("place.depth")).alias("above"), "place.*",
-                F.get("lengths", F.col("place.depth")).alias("n_tokens")), "places")
+    placed = materialize(placed.withColumn("leaf", F.element_at("path", -1)).withColumn(
+        "places", places), "placed")
+    new = placed.withColumn("place", F.explode("places")).select(
+        "leaf", "base", F.get("path", F.col("place.depth")).alias("node"),
+        F.get("keys", F.col("place.depth")).alias("turn_key"), "place.*",
+        F.get("lengths", F.col("place.depth")).alias("n_tokens"))
     spans = new.select(F.col("node").alias("_node"), "stream_start",
                        (F.col("stream_start") + F.col("n_tokens")).alias("stream_end"))
-    ancestors = (new.select("node", F.posexplode("above").alias("level", "up"))
-                 .join(spans, F.col("up") == F.col("_node"))
-                 .groupBy(F.col("node").alias("_of"))
-                 .agg(F.transform(
-                     F.sort_array(F.collect_list(F.struct("level", "stream_start", "stream_end"))),
-                     lambda x: F.struct(x["stream_start"].alias("start"),
-                                        x["stream_end"].alias("end"))).alias("ancestors")))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    # The turns a conversation shares, once for all its new ones, as intervals without gaps:
+    # as many rows as it has shared turns, and as many intervals as its path has branches.
+    above = (placed.select(F.col("leaf").alias("_leaf"),
+                           F.posexplode(F.slice("path", 1, F.col("shared"))).alias("level", "up"))
+             .join(spans, F.col("up") == F.col("_node"))
+             .groupBy("_leaf").agg(F.aggregate(
+                 F.sort_array(F.collect_list(F.struct("level", "stream_start", "stream_end"))),
+                 F.array().cast(_INTERVALS),
+                 lambda a, x: _extended(a, x["stream_start"], x["stream_end"])).alias("above")))
+    none = F.coalesce("above", F.array().cast(_INTERVALS))
+    own = F.when(F.col("stream_start") > F.col("base"), _extended(
+        none, F.col("base"), F.col("stream_start"))).otherwise(none)
     return materialize(
-        new.drop("above", "n_tokens")
-        .join(ancestors, F.col("node") == F.col("_of"), "left").drop("_of")
-        .withColumn("ancestors", F.coalesce("ancestors", none))
+        new.join(above, F.col("leaf") == F.col("_leaf"), "left")
+        .withColumn("ancestors", own).drop("leaf", "_leaf", "base", "above", "n_tokens")
         .join(segments.withColumnRenamed("turn_key", "_key"), F.col("turn_key") == F.col("_key"))
         .drop("_key"), "nodes")
 
