@@ -2,10 +2,12 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import EDGES, documents, edges, empty, sample
 from tokenizers import Tokenizer
 
+from txnspark.llm import tokens
 from txnspark.llm.packing import WINDOW, best_cuts, pack
 from txnspark.llm.tokens import TextTokenizer, default_tokenizer
 
@@ -21,12 +23,20 @@ ODD = ["", " ", "a", " a", "a ", "a b", "a  b", "a\nb", "a\n\nb", "a \n b", "\n"
        "日本語 テキスト", "\U0001f600 a", "a\r\nb", "..,, a,.b", "O'Neil's", "A1b2 c3."]
 
 
-def test_ids_equal_the_tokenizer(whole, spark):
+def test_ids_equal_the_tokenizer(whole, spark, monkeypatch):
     tok = TextTokenizer(default_tokenizer())
     texts = ODD + [t for _, t, _, _ in EDGES if t] + [
         r["text"] for r in sample(spark, 300).select("text").collect()]
-    for t in [*texts, *texts[:40]]:
-        assert tok.ids(t).tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t[:60])
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for t, ids in zip([*texts, *texts[:40]], [*want, *want[:40]]):
+        assert tok.ids(t).tolist() == ids, repr(t[:60])
+    together = pa.array(texts, pa.string())
+    assert [x.tolist() for x in tok.each(together)] == want
+    assert list(tok.counts(together)) == [len(x) for x in want]
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 300)
+    tok = TextTokenizer(default_tokenizer())
+    assert [x.tolist() for x in tok.each(together.slice(5, 200))] == want[5:205]
 
 
 @pytest.mark.parametrize("seed", range(30))
@@ -92,6 +102,6 @@ def test_a_long_stream_is_cut_in_bounded_stretches(spark, whole, monkeypatch):
     stream = packing._Stream(default_tokenizer(), WINDOW, 1, 5)
     given = [(i, t, None, None) for i, t in enumerate(
         [r["text"] for r in sample(spark, 120).select("text").collect()] + [EDGES[4][1]])]
-    rows = [p for i, t, *_ in given for p in stream.add(i, t)] + list(stream.cut(last=True))
+    rows = [p for i, t, *_ in given for p in stream.add(i, stream.tok.ids(t or ""))] + list(stream.cut(last=True))
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     check([dict(zip(names, r)) for r in rows], given, whole)

@@ -109,8 +109,9 @@ class _Stream:
         self.docs: list[tuple] = []  # (doc_id, tokens, start of the part held)
         self.held = 0
 
-    def add(self, doc_id, text: str) -> Iterator[tuple]:
-        ids = np.append(self.tok.ids(text), np.uint32(self.end)).astype("<u4")
+    def add(self, doc_id, ids: np.ndarray) -> Iterator[tuple]:
+        """Takes in a document (its ids without the end id); pieces that are settled."""
+        ids = np.append(ids, np.uint32(self.end)).astype("<u4")
         for start in range(0, len(ids), STREAM_TOKENS):
             part = ids[start:start + STREAM_TOKENS]
             self.parts.append(part)
@@ -180,11 +181,12 @@ def pack(docs: DataFrame, text: str = "text", window: int = WINDOW, end_id: int
                 [pa.array(c, type=pa.int64()) for c in columns], schema=_ARROW)
 
         for batch in batches:
-            ids, texts, parts = (c.to_pylist() for c in batch.columns)
-            if stream is None and ids:
-                stream = _Stream(path, window, end_id, parts[0] << 33)
-            for doc_id, body in zip(ids, texts):
-                rows.extend(stream.add(doc_id, body))
+            if stream is None and batch.num_rows:
+                stream = _Stream(path, window, end_id, batch.column(2)[0].as_py() << 33)
+            if stream is not None:
+                for doc_id, ids in zip(batch.column(0).to_pylist(),
+                                       stream.tok.each(batch.column(1))):
+                    rows.extend(stream.add(doc_id, ids))
             if len(rows) > 50_000:
                 yield out()
         if stream is not None:

@@ -17,13 +17,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from txnspark.llm.common import text_of
 from txnspark.llm.tokens import default_tokenizer, tokenizer
@@ -68,10 +65,9 @@ def _counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, total = tokenizer(path), None, 0
         for batch in batches:
-            _, texts, parts = (c.to_pylist() for c in batch.columns)
-            if texts:
-                part = parts[0]
-            total += sum(len(tok.packed(t)) // 4 + 1 for t in texts)
+            if batch.num_rows:
+                part = batch.column(2)[0].as_py()
+            total += batch.num_rows + sum(tok.counts(batch.column(1)))
         rows = [] if part is None else [(part, total)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())],
@@ -79,40 +75,43 @@ def _counts(path: str):
     return run
 
 
-def _sequences(path: str, length: int, end_id: int, dtype: str):
+def _sequences(path: str, length: int, end_id: int, dtype: str, total: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part, at = tokenizer(path), 0, 0
+        tok, base, most, at = tokenizer(path), 0, 0, 0
         held: list[np.ndarray] = []
         docs: list[int | None] = []
         size = 0
 
         def record(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+            if any(r[0] >= most for r in rows):
+                raise ValueError("the scan partitions changed between the passes")
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
             columns = list(zip(*rows)) or [[]] * len(kinds)
+            columns[0] = permute(base + np.array(columns[0], dtype=np.int64), total, key)
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)],
-                names=["part", "i", "ids", "n_ids", "doc_ids"])
+                names=["slot", "ids", "n_ids", "doc_ids"])
 
         rows: list[tuple] = []
         for batch in batches:
-            ids, texts, parts = (c.to_pylist() for c in batch.columns)
-            part = parts[0] if parts else part
-            for doc_id, text in zip(ids, texts):
-                all_ids = np.append(tok.ids(text), np.uint32(end_id)).astype(dtype)
+            if batch.num_rows:
+                base, most = batch.column(2)[0].as_py(), batch.column(3)[0].as_py()
+            for doc_id, own in zip(batch.column(0).to_pylist(), tok.each(batch.column(1))):
+                all_ids = np.append(own, np.uint32(end_id)).astype(dtype)
                 while len(all_ids):
                     piece, all_ids = all_ids[:length - size], all_ids[length - size:]
                     held.append(piece)
                     docs.append(doc_id)
                     size += len(piece)
                     if size == length:
-                        rows.append((part, at, np.concatenate(held).tobytes(), size, docs))
+                        rows.append((at, np.concatenate(held).tobytes(), size, docs))
                         held, docs, size, at = [], [], 0, at + 1
-                        if len(rows) >= 1024:
+                        if len(rows) >= 256:
                             yield record(rows)
                             rows = []
         if size:
             held.append(np.full(length - size, end_id, dtype=dtype))
-            rows.append((part, at, np.concatenate(held).tobytes(), size, docs))
+            rows.append((at, np.concatenate(held).tobytes(), size, docs))
         yield record(rows)
     return run
 
@@ -185,20 +184,14 @@ def write_shards(docs: DataFrame, root: str | None = None, length: int = LENGTH,
     shard_sequences = max(LEAST_SHARD, math.ceil(total / MOST_SHARDS))
     shards = max(1, math.ceil(total / shard_sequences))
 
-    @pandas_udf(T.LongType())
-    def slot(index: pd.Series) -> pd.Series:
-        return pd.Series(permute(index.to_numpy(), total, key))
-
     from pyarrow.fs import FileSystem
     fs, folder = FileSystem.from_uri(root)
     fs.create_dir(folder, recursive=True)
-    # A row beyond its partition's count would mean the two passes saw different splits.
-    index = F.when(F.col("i") < F.col("_n"), F.col("_base") + F.col("i")).otherwise(
-        F.raise_error(F.lit("the scan partitions changed between the passes")))
-    rows = (given.mapInArrow(_sequences(path, length, end_id, dtype),
-                             "part int, i long, ids binary, n_ids long, doc_ids array<long>")
-            .join(bases, F.col("part") == F.col("_part"))
-            .select(slot(index).alias("slot"), "ids", "n_ids", "doc_ids"))
+    # One row per scan partition, so the bases stay small however long the texts are.
+    numbered = given.join(F.broadcast(bases), F.col("part") == F.col("_part"))
+    rows = numbered.select("doc_id", "text", "_base", "_n").mapInArrow(
+        _sequences(path, length, end_id, dtype, total, key),
+        "slot long, ids binary, n_ids long, doc_ids array<long>")
     ordered = rows.repartitionById(
         shards, F.floor(F.col("slot") / shard_sequences).cast("int")).sortWithinPartitions("slot")
     manifest = materialize(ordered.mapInArrow(

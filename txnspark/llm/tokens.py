@@ -1,17 +1,22 @@
 """Token ids of whole texts by a byte-level BPE tokenizer, with a cache of words.
 
 A byte-level BPE tokenizer splits a text into pieces before it merges, and a word after
-a single space is a piece of its own. So the ids of a text are the ids of its words joined,
-and a word's ids are worked out once per worker. Texts where that does not hold (several
-white-space characters in a row, control strings) go to the tokenizer as a whole.
+a single space is a piece of its own. So the ids of a text are the ids of its words joined.
+A batch of texts is split and numbered by its different words in Arrow, the ids of each
+different word come from a cache of the worker, and numpy puts them together. Texts where
+that does not hold (several white-space characters in a row, control strings) go to the
+tokenizer as a whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from txnspark.llm.common import worker_state
 
@@ -19,7 +24,11 @@ from txnspark.llm.common import worker_state
 SPLIT = (r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PLAIN_BYTES = (*range(33, 127), *range(161, 173), *range(174, 256))
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+BATCH_BYTES = 8 << 20  # texts numbered together, bounds memory
+# Stand before a word that follows no space: at the start, after a newline, or a mark behind
+# the letters it ends.
+START, NEWLINE, MARK = "\x01", "\x00", "\x02"
 
 
 def default_tokenizer() -> str:
@@ -28,7 +37,8 @@ def default_tokenizer() -> str:
 
 
 class _Words(dict):
-    """word -> little-endian 32-bit ids; keeps the words seen lately, in two generations."""
+    """word -> little-endian 32-bit ids, or None; keeps the words seen lately, in two
+    generations."""
 
     def __init__(self, encode):
         super().__init__()
@@ -37,7 +47,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = self.encode(self, word)
+            ids = self.encode(self, word)  # may add parts of the word
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
@@ -69,47 +79,95 @@ class TextTokenizer:
         self.marks = [m for m in special if m]
         self.newline = self._pack("\n")
         self.words = _Words(self._word)
-        self.first = _Words(lambda cache, word: self._pack(word))
 
     def _pack(self, text: str) -> bytes:
         return np.asarray(self.single.encode_ordinary(text), dtype="<u4").tobytes()
 
-    def _word(self, words: _Words, word: str) -> bytes:
-        """Ids of a word after a space; a leading NUL stands for a newline instead."""
-        if word[:1] == "\0":
-            rest = word[1:]
-            if not rest or rest[0].isspace() or rest[-1].isspace():
-                raise KeyError(word)
-            return self.newline + self._ending(self.first, rest, "")
+    def _piece(self, text: str) -> bytes:
+        """Ids of a text that is one piece: merges only, nothing to split."""
+        return np.asarray(self.single._encode_single_piece(text), dtype="<u4").tobytes()
+
+    def _word(self, words: _Words, word: str) -> bytes | None:
+        """Ids of a word with what stands before it; None if a text with it must go whole."""
+        lead = word[:1]
+        follows = lead in (START, NEWLINE, MARK)
+        if follows:
+            word = word[1:]
         if not word or word[0].isspace() or word[-1].isspace():
-            raise KeyError(word)
-        return self._ending(words, word, " ")
-
-    def _ending(self, cache: _Words, word: str, lead: str) -> bytes:
-        # A run of letters and the mark behind it are two pieces.
-        if len(word) > 1 and word[-1] in ".,!?" and word[:-1].isalpha():
-            return cache[word[:-1]] + self.first[word[-1]]
-        if cache is self.first and word.isalpha():
-            return cache[word]
-        return self._pack(lead + word)
-
-    def packed(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return b""
-        if "\0" not in text and not any(m in text for m in self.marks):
-            words = text.replace("\n", " \0").split(" ")
-            lead = words[0]
-            try:
-                if lead and not lead[0].isspace() and lead[0] != "\0" and not lead[-1].isspace():
-                    return self.first[lead] + b"".join(map(self.words.__getitem__, words[1:]))
-            except KeyError:
-                pass
+            return None
+        if lead == NEWLINE:
+            rest = words[START + word]
+            return None if rest is None else self.newline + rest
+        text = word if follows else " " + word
+        return self._piece(text) if word.isalpha() else self._pack(text)
+
+    def _whole(self, text: str) -> bytes:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids,
                           dtype="<u4").tobytes()
 
+    def _numbered(self, texts: pa.Array):
+        """Per different word its ids and their number; the word numbers of all texts; where
+        each text's words start; which texts must go whole."""
+        odd = pc.match_substring_regex(texts, f"[{START}{NEWLINE}{MARK}]|^ |^$")
+        for mark in self.marks:
+            odd = pc.or_(odd, pc.match_substring(texts, mark))
+        marked = pc.binary_join_element_wise(
+            START, pc.replace_substring(texts, "\n", " " + NEWLINE), "")
+        # Letters and one mark behind them are two pieces.
+        marked = pc.replace_substring_regex(
+            marked, r"(\pL)([.,])( |$)", f"\\1 {MARK}\\2\\3")
+        parts = pc.split_pattern(marked, " ")
+        coded = parts.flatten().dictionary_encode()
+        ids = list(map(self.words.__getitem__, coded.dictionary.to_pylist()))
+        numbers = coded.indices.to_numpy()
+        starts = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+        whole = odd.to_numpy(zero_copy_only=False)
+        if None in ids:
+            bad = np.array([x is None for x in ids])
+            whole = whole | (np.add.reduceat(bad[numbers].astype(np.int64), starts) > 0)
+            ids = [x or b"" for x in ids]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        return ids, sizes, numbers, starts, whole
+
+    def _stretches(self, texts: pa.Array) -> Iterator[pa.Array]:
+        """The texts in order, a few megabytes at a time."""
+        if not len(texts):
+            return
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        at = 0
+        while at < len(texts):
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + BATCH_BYTES, side="right")))
+            yield texts.slice(at, to - at)
+            at = to
+
+    def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        for part in self._stretches(texts):
+            ids, sizes, numbers, starts, whole = self._numbered(part)
+            table = np.frombuffer(b"".join(ids), dtype="<u4")
+            first = np.cumsum(sizes) - sizes
+            lengths = sizes[numbers]
+            ends = np.cumsum(lengths)
+            places = np.repeat(first[numbers] - (ends - lengths), lengths)
+            places += np.arange(len(places))
+            flat = table[places]
+            bounds = np.append((ends - lengths)[starts], len(flat))
+            for i in range(len(part)):
+                if whole[i]:
+                    yield np.frombuffer(self._whole(part[i].as_py()), dtype="<u4")
+                else:
+                    yield flat[bounds[i]:bounds[i + 1]]
+
+    def counts(self, texts: pa.Array) -> Iterator[int]:
+        """The number of ids of each text."""
+        for part in self._stretches(texts):
+            _, sizes, numbers, starts, whole = self._numbered(part)
+            for i, n in enumerate(np.add.reduceat(sizes[numbers], starts).tolist()):
+                yield len(self._whole(part[i].as_py())) // 4 if whole[i] else n
+
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.packed(text), dtype="<u4")
+        return next(self.each(pa.array([text], pa.string())))
 
     def ends(self) -> tuple[np.ndarray, np.ndarray]:
         """Per id: whether it ends a sentence for sure, and whether it does before a space.
