@@ -152,13 +152,16 @@ def _extended(intervals: Column, start: Column, end: Column) -> Column:
 def _lay_out(ordered: DataFrame, segments: DataFrame) -> DataFrame:
     """Stream places of all nodes of the sorted conversations."""
     sizes = segments.select(F.col("turn_key").alias("_key"), "n_tokens")
-    # Lengths of all turns of each different conversation, in order.
-    measured = (ordered.select("part", "keys", "shared", "path",
-                               F.posexplode("keys").alias("depth", "turn_key"))
-                .join(sizes, F.col("turn_key") == F.col("_key"))
-                .groupBy("part", "keys", "shared", "path")
-                .agg(F.transform(F.sort_array(F.collect_list(F.struct("depth", "n_tokens"))),
-                                 lambda x: x["n_tokens"]).alias("lengths")))
+    # Lengths of all turns of each different conversation, in order; the last node of its
+    # path stands for the conversation, so no row carries a path along.
+    named = ordered.withColumn("leaf", F.element_at("path", -1))
+    lengths = (named.select(F.col("leaf").alias("_leaf"),
+                            F.posexplode("keys").alias("depth", "turn_key"))
+               .join(sizes, F.col("turn_key") == F.col("_key"))
+               .groupBy("_leaf")
+               .agg(F.transform(F.sort_array(F.collect_list(F.struct("depth", "n_tokens"))),
+                                lambda x: x["n_tokens"]).alias("lengths")))
+    measured = named.join(lengths, F.col("leaf") == F.col("_leaf")).drop("_leaf")
     own = F.aggregate(F.slice("lengths", F.col("shared") + 1, F.size("lengths")),
                       F.lit(0).cast("long"), lambda a, x: a + x)
     measured = materialize(measured.withColumn("own", own), "measured")
@@ -174,26 +177,26 @@ def _lay_out(ordered: DataFrame, segments: DataFrame) -> DataFrame:
     places = F.aggregate(
         F.sequence(F.lit(0), F.size("lengths") - 1),
         F.struct(F.lit(0).cast("long").alias("position"), F.col("base").alias("at"),
-                 F.array().cast("array<struct<depth:int,position:bigint,stream_start:bigint>>")
-                 .alias("all")),
+                 F.array().cast("array<struct<depth:int,position:bigint,stream_start:bigint,"
+                                "node:string,turn_key:string,n_tokens:bigint>>").alias("all")),
         lambda a, i: F.struct(
             (a["position"] + F.get("lengths", i)).alias("position"),
             (a["at"] + F.when(i >= F.col("shared"), F.get("lengths", i)).otherwise(0)).alias("at"),
             F.when(i >= F.col("shared"), F.concat(a["all"], F.array(F.struct(
                 i.alias("depth"), a["position"].alias("position"),
-                a["at"].alias("stream_start"))))).otherwise(a["all"]).alias("all")))["all"]
-    placed = materialize(placed.withColumn("leaf", F.element_at("path", -1)).withColumn(
-        "places", places), "placed")
-    new = placed.withColumn("place", F.explode("places")).select(
-        "leaf", "base", F.get("path", F.col("place.depth")).alias("node"),
-        F.get("keys", F.col("place.depth")).alias("turn_key"), "place.*",
-        F.get("lengths", F.col("place.depth")).alias("n_tokens"))
+                a["at"].alias("stream_start"), F.get("path", i).alias("node"),
+                F.get("keys", i).alias("turn_key"), F.get("lengths", i).alias("n_tokens")))))
+            .otherwise(a["all"]).alias("all")))["all"]
+    placed = materialize(placed.select("leaf", "base", F.slice("path", 1, F.col("shared"))
+                                       .alias("shared_path"), places.alias("places")), "placed")
+    new = placed.select("leaf", "base", F.explode("places").alias("place")).select(
+        "leaf", "base", "place.*")
     spans = new.select(F.col("node").alias("_node"), "stream_start",
                        (F.col("stream_start") + F.col("n_tokens")).alias("stream_end"))
     # The turns a conversation shares, once for all its new ones, as intervals without gaps:
     # as many rows as it has shared turns, and as many intervals as its path has branches.
     above = (placed.select(F.col("leaf").alias("_leaf"),
-                           F.posexplode(F.slice("path", 1, F.col("shared"))).alias("level", "up"))
+                           F.posexplode("shared_path").alias("level", "up"))
              .join(spans, F.col("up") == F.col("_node"))
              .groupBy("_leaf").agg(F.aggregate(
                  F.sort_array(F.collect_list(F.struct("level", "stream_start", "stream_end"))),

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,8 @@ from txnspark.llm.common import worker_state
 SPLIT = (r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 PLAIN_BYTES = (*range(33, 127), *range(161, 173), *range(174, 256))
 
-CACHE_WORDS = 400_000
-BATCH_BYTES = 8 << 20  # texts numbered together, bounds memory
+CACHE_WORDS = 120_000
+BATCH_BYTES = 4 << 20  # texts numbered together, bounds memory
 # Stand before a word that follows no space: at the start, after a newline, or a mark behind
 # the letters it ends.
 START, NEWLINE, MARK = "\x01", "\x00", "\x02"
@@ -55,15 +57,22 @@ class _Words(dict):
         return ids
 
 
+def _bytes(ids: list[int]) -> bytes:
+    """Unsigned 32-bit numbers, little-endian."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class TextTokenizer:
     """``ids(text)``: the ids the tokenizer file gives, without special tokens added."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path, self.loaded = path, None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -77,15 +86,16 @@ class TextTokenizer:
                                         special_tokens={})
         self.size = max(ranks.values()) + 1 + len(special)
         self.marks = [m for m in special if m]
+        self.merge = self.single._core_bpe.encode_single_piece
         self.newline = self._pack("\n")
         self.words = _Words(self._word)
 
     def _pack(self, text: str) -> bytes:
-        return np.asarray(self.single.encode_ordinary(text), dtype="<u4").tobytes()
+        return _bytes(self.single.encode_ordinary(text))
 
     def _piece(self, text: str) -> bytes:
         """Ids of a text that is one piece: merges only, nothing to split."""
-        return np.asarray(self.single._encode_single_piece(text), dtype="<u4").tobytes()
+        return _bytes(self.merge(text.encode()))
 
     def _word(self, words: _Words, word: str) -> bytes | None:
         """Ids of a word with what stands before it; None if a text with it must go whole."""
@@ -102,8 +112,10 @@ class TextTokenizer:
         return self._piece(text) if word.isalpha() else self._pack(text)
 
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids,
-                          dtype="<u4").tobytes()
+        if self.loaded is None:  # few texts need it, and it is large
+            from tokenizers import Tokenizer
+            self.loaded = Tokenizer.from_file(self.path)
+        return _bytes(self.loaded.encode(text, add_special_tokens=False).ids)
 
     def _numbered(self, texts: pa.Array):
         """Per different word its ids and their number; the word numbers of all texts; where
