@@ -167,6 +167,37 @@ def test_links_are_exactly_the_close_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def five_words(text):
+    words = (text or "").encode().lower().split()
+    n = min(5, len(words))
+    return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)}
+
+
+def test_stage_finds_every_pair_of_jaccard_four_fifths(spark):
+    import corpus_pipeline
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(
+        "/root/testdata/sf0.01/documents.parquet").collect()]
+    # A chain (each text like the next, its ends not alike) and pairs just under the bound.
+    words = [f"w{i}" for i in range(200)]
+    docs += [(2000 + k, " ".join(f"x{i}" if i < 15 * k else w for i, w in enumerate(words)))
+             for k in range(6)]
+    docs += [(3000, "one two"), (3001, "One  two"), (3002, "one"), (3003, ""), (3004, None)]
+    sets = [five_words(t) for _, t in docs]
+    holders = {}
+    for at, shingles in enumerate(sets):
+        for x in shingles:
+            holders.setdefault(x, []).append(at)
+    pairs = {p for at in holders.values() for p in combinations(at, 2)}
+    pairs = {(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    pairs.add((len(docs) - 2, len(docs) - 1))
+    root = find_all(pairs, range(len(docs)))
+    table = documents(spark, [(i, t, "en", "s") for i, t in docs])
+    kept = sorted(r["doc_id"] for r in stage(spark, table, "").collect())
+    assert kept == sorted({docs[r][0] for r in root.values()})
+    assert 56 not in kept and 2001 not in kept and 3001 not in kept and 3002 in kept
+
+
 @pytest.mark.parametrize("shape", ["random", "chain", "star", "none"])
 def test_components(spark, shape):
     rng = np.random.default_rng(1)
