@@ -133,3 +133,21 @@ def test_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [5]
     assert Q.quality_verdicts(empty(spark)).collect() == [] and Q.keep_good(
         empty(spark)).collect() == []
+
+
+def test_small_tables_and_rare_cells_are_judged(spark):
+    junk = {14, 17, 47, 48, 83, 140, 142, 148, 154, 171, 179}  # over 0.4 symbols per word
+    found = Q.quality_verdicts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    rows = [r for r in found.collect() if not r["base_failed"]]
+    assert all(r["d2"] is not None for r in rows)
+    assert junk <= {r["doc_id"] for r in rows if not r["kept"]} and sum(
+        r["kept"] for r in rows) > 0.9 * len(rows)
+    # A rare source of a large language, a rare language, null ones: judged by large cells.
+    clean = lambda k: " ".join(f"word{(k * 31 + i) % 997}" for i in range(80))
+    table = [(i, clean(i), "en", "s") for i in range(240)]
+    for at, (lang, source) in enumerate([("en", "rare"), ("xx", "s"), (None, None)]):
+        table += [(1000 + 10 * at + k, clean(k), lang, source) for k in range(3)]
+        table += [(2000 + at, "|#$% " * 30 + clean(at), lang, source)]
+    found = Q.quality_verdicts(documents(spark, table)).collect()
+    assert all(r["d2"] is not None for r in found)
+    assert {r["doc_id"] for r in found if not r["kept"]} == {2000, 2001, 2002}

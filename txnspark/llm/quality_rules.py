@@ -26,6 +26,7 @@ SYMBOLS = r"[#*$%&|<>]"
 FEATURES = ("x_length", "x_symbols", "x_lines", "x_repeats")
 UNIT = 1000.0  # features are stored in thousandths
 MIN_GROUP = 200
+LANGUAGE, ALL = -1, -2  # levels of rows that fall back to their whole language, or to all rows
 KEEP_SHARE = 0.75
 STEPS = 8
 # The spread below which differences say nothing about quality, per feature: a tenth in the
@@ -242,19 +243,22 @@ def covariance_estimates(rows: DataFrame, cell: list[str]) -> DataFrame:
     return _estimates(final, cell, _inverse_factor(_consistency(share)))
 
 
-def quality_verdicts(docs: DataFrame, text: str = "text", min_group: int = MIN_GROUP,
+def quality_verdicts(docs: DataFrame, text: str = "text", min_group: int | None = None,
                      cutoff: float = CUTOFF) -> DataFrame:
     """One row per row of ``docs``: statistics, base_failed, d2 and kept.
 
     Rows failing the fixed limits (fewer than 50 words, or over half of them in repeated
     windows) are rejected and take no part in the estimates. A language and source with
-    fewer than ``min_group`` other rows is estimated with the like sources of its language,
-    and those with all such rows; with still fewer, rows have no distance and are kept.
-    Null languages and sources are groups like any other. An empty table gives an empty
+    fewer than 200 other rows is estimated with the like sources of its language, and those
+    with all such rows; with still fewer, by the whole language (large cells included) or, if
+    that has under 200 rows too, by all rows, however few. So every row that passes the limits
+    has a distance. A ``min_group`` that is given is strict instead: it replaces the 200, and
+    rows without an estimate of that size have no distance and are kept. Null languages and sources are groups like any other. An empty table gives an empty
     result.
     """
     stats = materialize(text_statistics(docs, text).select("*", *feature_columns()),
                         "text-statistics")
+    strict, min_group = min_group is not None, min_group or MIN_GROUP
     rows = stats.where(~F.col("base_failed"))
     sizes = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     rest = F.sum(F.when(F.col("n") < min_group, F.col("n")).otherwise(0))
@@ -262,19 +266,35 @@ def quality_verdicts(docs: DataFrame, text: str = "text", min_group: int = MIN_G
              .withColumn("level", F.when(F.col("n") >= min_group, 2)
                          .when(F.col("in_lang") >= min_group, 1).otherwise(0)))
     alone = F.sum(F.when(F.col("level") == 0, F.col("n")).otherwise(0)).over(W.partitionBy())
-    sizes = materialize(sizes.withColumn("alone", alone).select(
-        F.col("lang").alias("_lang"), F.col("source").alias("_source"),
-        F.when((F.col("level") > 0) | (F.col("alone") >= min_group), F.col("level"))
-        .alias("cell_level")), "cells")
+    whole = F.sum("n").over(W.partitionBy("lang"))
+    last = F.lit(None) if strict else F.when(whole >= min_group, LANGUAGE).otherwise(ALL)
+    sizes = sizes.withColumn("alone", alone).withColumn("cell_level", F.when(
+        (F.col("level") > 0) | (F.col("alone") >= min_group), F.col("level")).otherwise(last))
+    # The estimates a row takes part in: its own, and those of rows that fall back.
+    asked = lambda level, over: F.max(
+        F.col("cell_level").eqNullSafe(level)).over(over)
+    place = lambda level, lang, source: F.struct(
+        level.cast("int").alias("cell_level"), lang.cast("string").alias("cell_lang"),
+        source.cast("string").alias("cell_source"))
+    none = F.lit(None)
+    own = place(F.col("cell_level"),
+                F.when(F.col("cell_level").isin(1, 2, LANGUAGE), F.col("lang")),
+                F.when(F.col("cell_level") == 2, F.col("source")))
+    sizes = materialize(sizes.select(
+        F.col("lang").alias("_lang"), F.col("source").alias("_source"), own.alias("_own"),
+        F.array_distinct(F.filter(F.array(
+            own,
+            F.when(asked(LANGUAGE, W.partitionBy("lang")),
+                   place(F.lit(LANGUAGE), F.col("lang"), none)),
+            F.when(asked(ALL, W.partitionBy()), place(F.lit(ALL), none, none))),
+            lambda c: c["cell_level"].isNotNull())).alias("_cells")), "cells")
     placed = stats.join(
         sizes, F.col("lang").eqNullSafe(F.col("_lang"))
         & F.col("source").eqNullSafe(F.col("_source")) & ~F.col("base_failed"), "left")
-    placed = (placed.drop("_lang", "_source")
-              .withColumn("cell_lang", F.when(F.col("cell_level") > 0, F.col("lang")))
-              .withColumn("cell_source", F.when(F.col("cell_level") > 1, F.col("source"))))
     cell = ["cell_level", "cell_lang", "cell_source"]
-    vectors = materialize(placed.where("cell_level IS NOT NULL").select(*cell, *FEATURES),
-                          "vectors")
+    vectors = materialize(placed.select(F.explode("_cells").alias("_cell"), *FEATURES)
+                          .select("_cell.*", *FEATURES), "vectors")
+    placed = placed.select("*", "_own.*").drop("_lang", "_source", "_own", "_cells")
     measured = _distance(placed, covariance_estimates(vectors, cell), cell)
     return (measured.withColumn("kept", ~F.col("base_failed") & (
         F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)).drop(*cell, *FEATURES))
