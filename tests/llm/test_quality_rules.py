@@ -151,3 +151,16 @@ def test_small_tables_and_rare_cells_are_judged(spark):
     found = Q.quality_verdicts(documents(spark, table)).collect()
     assert all(r["d2"] is not None for r in found)
     assert {r["doc_id"] for r in found if not r["kept"]} == {2000, 2001, 2002}
+
+
+def test_each_feature_alone_rejects(spark):
+    words = lambda k, n=80: [f"word{(k * 31 + i) % 997}" for i in range(n)]
+    rows = [(i, " ".join(words(i)), "en", "s") for i in range(240)]
+    lines = "\n".join(f"{w}\nword1x\nword2x" for w in words(300, 40))
+    repeats = " ".join(words(301, 61) + words(301, 19))
+    symbols = " ".join(w + "|" * (i < 28) for i, w in enumerate(words(302)))
+    length = " ".join(w * 3 for w in words(303))
+    rows += [(900 + i, t, "en", "s") for i, t in enumerate([lines, repeats, symbols, length])]
+    found = Q.quality_verdicts(documents(spark, rows)).collect()
+    assert not any(r["base_failed"] for r in found)
+    assert {r["doc_id"] for r in found if not r["kept"]} == {900, 901, 902, 903}
