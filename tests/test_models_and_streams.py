@@ -193,6 +193,19 @@ def test_gap_stream_resumes_reorders_and_drops_late_rows(spark, path):
     assert got == {0: None, 1: 1800.0, 10: 1500.0, 11: 60.0}
 
 
+def test_gap_stream_lands_late_rows_as_the_batch_has_them(spark, path):
+    chunks = [(["10:00:00", "10:30:00"], 0), (["08:00:00", "10:25:00", "12:00:00"], 10),
+              (["07:00:00", "09:00:00"], 20)]
+    for times, first in chunks:
+        chunk = card_rows(spark, times, first)
+        chunk.write.mode("append").parquet(f"{path}/in")
+        stream = jobs.read_stream(spark, f"{path}/in", chunk.schema)
+        jobs.gap_stream(stream, f"{path}/out", f"{path}/state", f"{path}/ck").awaitTermination()
+    got = {r["row_id"]: r["time_delta_s"]
+           for r in jobs.landed_gaps(spark, f"{path}/out", chunk.schema).collect()}
+    assert got == {20: None, 10: 3600.0, 21: 3600.0, 0: 3600.0, 11: 1500.0, 1: 300.0, 12: 5400.0}
+
+
 def test_unique_landing_admits_late_rows_and_drops_repeats(spark, path):
     def land(ids):
         chunk = spark.createDataFrame([(i, f"v{i}") for i in ids], "row_id long, v string")

@@ -63,13 +63,13 @@ def _(spark, folder):
     landing, out, state, checkpoint = _folders(
         spark, "gap-stream", "landing", "out", "state", "checkpoint")
     rows = C.split_features(spark, folder).select("row_id", "user", "card", "ts", "split")
-    # Three chunks in time order; the stream stops and resumes between them.
-    for split in ("train", "val", "test"):
+    # Three chunks, the newest first; the stream stops and resumes between them.
+    for split in ("test", "train", "val"):
         chunk = rows.where(F.col("split") == split).drop("split")
         chunk.write.mode("append").parquet(landing)
         stream = jobs.read_stream(spark, landing, chunk.schema)
         jobs.gap_stream(stream, out, state, checkpoint).awaitTermination()
-    return spark.read.parquet(out).select("row_id", "time_delta_s")
+    return jobs.landed_gaps(spark, out, chunk.schema).select("row_id", "time_delta_s")
 
 
 @query("str_03_exactly_once_landing", events(SPLIT_SQL + """
