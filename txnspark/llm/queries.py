@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnspark.llm import (chat, classifier, exact_dedup, mixing, packing, pii, quality_rules,
-                          sharding, simhash, token_shards)
+from txnspark.llm import (chat, classifier, exact_dedup, mixing, packing, pii, prefix_trie,
+                          quality_rules, sharding, simhash, token_shards, toxicity,
+                          vector_codes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +98,22 @@ def op9_token_shards(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_uniform_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.uniform_shards(_table(spark, folder, "documents"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.code_report(_table(spark, folder, "embeddings"))
+
+
+ORACLES["op12_vector_codes"] = vector_codes.oracle()
+
+
+@query
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, folder, "documents"),
+                                    _table(spark, folder, "labels"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, folder, "conversations")).drop("prefix_hash")
