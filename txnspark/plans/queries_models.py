@@ -14,6 +14,7 @@ from txnspark.operators import encoders as E
 from txnspark.operators import external as U
 from txnspark.operators import heads as H
 from txnspark.operators import metrics as M
+from txnspark.operators import token_vectors as TV
 from txnspark.operators import tokens as K
 from txnspark.operators import vectors as V
 from txnspark.operators.ordered import middle_rows
@@ -106,6 +107,34 @@ def _(spark, folder):
         "embedding", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6)).alias("finite"))
 
 
+def _encoded(spark, folder):
+    slots = K.with_slots(C.features(spark, folder))
+    return K.encode(slots, K.fit_vocabulary(slots))
+
+
+@query("mlx_03_token_information", f"""WITH {SLOTS_SQL}{VOCAB_SQL.format(where="")},
+ placed AS (SELECT row_id, unnest([{', '.join(f'v{i}.id' for i in range(6))}]) AS id,
+   unnest(range(6)) AS place FROM slots """ + " ".join(
+    f"JOIN vocab v{i} ON v{i}.token = {s}" for i, s in enumerate(K.SLOTS)) + """),
+ pairs AS (SELECT x.id AS a, y.id AS b, count(*) AS n FROM placed x JOIN placed y
+   ON x.row_id = y.row_id AND x.place <> y.place GROUP BY ALL),
+ single AS (SELECT a, sum(n) AS n FROM pairs GROUP BY a)
+ SELECT CAST(p.a AS BIGINT) AS a, CAST(p.b AS BIGINT) AS b,
+   round(ln(CAST(p.n AS DOUBLE) * (SELECT sum(n) FROM pairs) / (CAST(s.n AS DOUBLE) * t.n)), 6)
+   AS weight
+ FROM pairs p JOIN single s ON s.a = p.a JOIN single t ON t.a = p.b
+ WHERE ln(CAST(p.n AS DOUBLE) * (SELECT sum(n) FROM pairs) / (CAST(s.n AS DOUBLE) * t.n)) > 0""")
+def _(spark, folder):
+    weights = TV.mutual_information(TV.cooccurrence(_encoded(spark, folder)))
+    return weights.select("a", "b", F.round("weight", 6).alias("weight"))
+
+
+@query("mlx_03_learned_embedding")
+def _(spark, folder):
+    encoded = _encoded(spark, folder)
+    return V.embed(encoded, TV.learn_embedder(encoded))
+
+
 @query("mlx_04_pooling", "SELECT vec_id, " + ", ".join(
     [f"round(embedding[{49 + i}]::DOUBLE, 6) AS last_{i}" for i in range(16)]
     + [f"round((embedding[{1 + i}]::DOUBLE + embedding[{17 + i}] + embedding[{33 + i}] "

@@ -13,7 +13,7 @@ from txnspark.plans.queries_models import SPLIT_SQL, _saved
 from txnspark.plans.registry import query
 from txnspark.session import new_path
 from txnspark.sources.transactions import from_events, read_table
-from txnspark.streaming import jobs
+from txnspark.streaming import jobs, key_index, keyed
 
 
 def _folders(spark, name, *parts):
@@ -72,6 +72,21 @@ def _(spark, folder):
     return jobs.landed_gaps(spark, out, chunk.schema).select("row_id", "time_delta_s")
 
 
+@query("str_02_keyed_time_gap", events("""
+SELECT row_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER
+   (PARTITION BY "user", card ORDER BY ts, row_id)) / 1e6 AS time_delta_s FROM txn"""))
+def _(spark, folder):
+    # The newest chunk first: most later rows are older than the window a card's state keeps.
+    landing, out, checkpoint = _folders(spark, "keyed-gaps", "landing", "out", "checkpoint")
+    rows = C.split_features(spark, folder).select("row_id", "user", "card", "ts", "split")
+    for split in ("test", "train", "val"):
+        chunk = rows.where(F.col("split") == split).drop("split")
+        chunk.write.mode("append").parquet(landing)
+        stream = jobs.read_stream(spark, landing, chunk.schema)
+        keyed.keyed_gap_stream(stream, out, checkpoint, delay_s=86_400).awaitTermination()
+    return keyed.keyed_gaps(spark, out).select("row_id", "time_delta_s")
+
+
 @query("str_03_exactly_once_landing", events(SPLIT_SQL + """
  SELECT split, count(*) AS rows, CAST(sum(row_id) AS BIGINT) AS ids FROM split_rows
  GROUP BY split"""))
@@ -99,3 +114,16 @@ def _(spark, folder):
         stream = jobs.read_stream(spark, landing, txn.schema)
         jobs.land_unique(stream, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).select("row_id", "user", "amount")
+
+
+@query("str_04_indexed_deduplication", events('SELECT row_id, "user", amount FROM txn'))
+def _(spark, folder):
+    landing, out, index, checkpoint = _folders(
+        spark, "indexed-dedupe", "landing", "out", "index", "checkpoint")
+    txn = C.load_transactions(spark, folder).select("row_id", "user", "amount", "ts")
+    middle = txn.agg(F.expr("max(ts) - (max(ts) - min(ts)) / 2")).scalar()
+    for chunk in (txn.where(F.col("ts") > middle), txn, txn.where(F.col("row_id") % 3 == 0)):
+        chunk.write.mode("append").parquet(landing)
+        stream = jobs.read_stream(spark, landing, txn.schema)
+        key_index.land_unique_indexed(stream, out, index, checkpoint, buckets=8).awaitTermination()
+    return spark.read.parquet(out).select("row_id", "user", "amount")

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from txnspark import schema as S
 from txnspark.operators import encoders as E
 from txnspark.operators import heads as H
+from txnspark.operators import token_vectors as TV
 from txnspark.operators import tokens as K
 from txnspark.operators import vectors as V
 from txnspark.operators.sampling import balanced_sample
 from txnspark.session import materialize
 
 HEAD_NAMES = ["raw", "embed", "combined"]
+LEARNED = "learned"
 
 
 @dataclass
@@ -62,9 +64,13 @@ class Bundle:
         self.pca.write().overwrite().save(f"{path}/pca")
         for name, model in self.heads.items():
             model.write().overwrite().save(f"{path}/head_{name}")
-        # Any embedder that can be sent to the workers can be stored the same way.
+        # Any embedder that can be sent to the workers can be stored the same way; one that
+        # reads a table takes the table along.
+        embedder = self.embedder
+        if isinstance(embedder, TV.TokenVectors):
+            embedder = embedder.stored(spark, f"{path}/token_vectors")
         spark.createDataFrame(
-            [(bytearray(cloudpickle.dumps(self.embedder)), self.extra_slots)],
+            [(bytearray(cloudpickle.dumps(embedder)), self.extra_slots)],
             "embedder binary, extra_slots boolean").write.mode("overwrite").parquet(
             f"{path}/embedder")
 
@@ -121,11 +127,13 @@ class Training:
 
 def train_heads(rows: DataFrame, budget: int | None, rounds: dict[str, int] | int,
                 depth: int | None = None, components: int = S.PCA_DIM,
-                patience: int = 20, dim: int = S.EMBED_DIM, embedder: V.Embedder | None = None,
+                patience: int = 20, dim: int = S.EMBED_DIM,
+                embedder: V.Embedder | str | None = None,
                 extra_slots: bool = False) -> Training:
     """``rows``: features with ``split``. Fits on train, stops on val, scores test.
 
-    ``embedder`` replaces the built-in one; ``extra_slots`` adds the temporal and category
+    ``embedder`` replaces the built-in one, and ``LEARNED`` learns token vectors from the
+    train rows; ``extra_slots`` adds the temporal and category
     tokens and needs ``ts`` and ``time_delta_s``.
 
     The selected rows and the head inputs are written once; the three fits and all
@@ -135,6 +143,9 @@ def train_heads(rows: DataFrame, budget: int | None, rounds: dict[str, int] | in
     train = chosen.where(F.col("split") == "train")
     vocabulary = K.fit_vocabulary(K.with_slots(train, extra_slots), token_slots(extra_slots))
     dictionary = E.fit_dictionary(train)
+    if embedder == LEARNED:
+        embedder = TV.learn_embedder(K.encode(
+            K.with_slots(train, extra_slots), vocabulary, token_slots(extra_slots)), dim)
     embedder = embedder or V.HashedProjection(vocabulary.count(), dim)
     # Boosting scans its rows hundreds of times: spread them once, in parts that fit a task.
     parts = H.fit_parts(chosen.count())
