@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from txnspark import schema as S
 from txnspark.functions.hashing import choice, uniform
+from txnspark.operators import nearest as N
 from txnspark.operators import sampling as P
 from txnspark.operators import tokens as K
 from txnspark.operators import vectors as V
@@ -273,21 +275,59 @@ def _(spark, folder):
         "vec_id", F.round(V.cosine("embedding", "centre"), 6).alias("cosine"))
 
 
+@query("vec_01_nearest_rows")
+def _(spark, folder):
+    return N.nearest_rows(read_table(spark, folder, "embeddings"), k=10)
+
+
+@query("vec_01_nearest_rows_are_complete", """
+SELECT vec_id AS id, CAST(10 AS BIGINT) AS found, true AS falling, true AS exact
+FROM embeddings""")
+def _(spark, folder):
+    # Ten others for each row, in falling order, with the cosine of the two vectors.
+    e = read_table(spark, folder, "embeddings").select("vec_id", "embedding")
+    near = N.nearest_rows(e, k=10)
+    a = e.select(F.col("vec_id").alias("_a"), F.col("embedding").alias("_va"))
+    b = e.select(F.col("vec_id").alias("_b"), F.col("embedding").alias("_vb"))
+    both = (near.where("id <> neighbour").join(a, F.col("id") == F.col("_a"))
+            .join(b, F.col("neighbour") == F.col("_b")))
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("rank", "cosine"))),
+                         lambda r: -r["cosine"])
+    return both.groupBy("id").agg(
+        F.count_distinct("neighbour").alias("found"), (ranked == F.array_sort(ranked)).alias("falling"),
+        F.bool_and(F.abs(V.cosine("_va", "_vb") - F.col("cosine")) < 1e-6).alias("exact"))
+
+
+@query("vec_01_nearest_recall", """
+SELECT count(*) FILTER (vec_id % 100 = 0) AS queries, true AS recalled FROM embeddings""")
+def _(spark, folder):
+    # Every hundredth row against all rows, in blocks, is the truth.
+    e = read_table(spark, folder, "embeddings")
+    rows = e.select(F.col("vec_id").alias("entry"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = rows.where("entry % 100 = 0")
+    truth = N.exact_nearest(rows, asked, 11).where("query <> entry")
+    found = N.nearest_rows(e, k=10).select("id", "neighbour", F.lit(1).alias("hit"))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("cosine"), "entry"))
+    top = truth.withColumn("_rank", rank).where("_rank <= 10")
+    share = top.join(found, (F.col("query") == F.col("id")) & (
+        F.col("entry") == F.col("neighbour")), "left")
+    return share.agg(F.count_distinct("query").alias("queries"),
+                     (F.count("hit") >= 0.95 * F.count(F.lit(1))).alias("recalled"))
+
+
 def _normal(key, salt):
     return (f"sqrt(-2e0 * ln(1e0 - {u(key, salt + '.r')})) * "
             f"cos({2 * 3.141592653589793!r}::DOUBLE * {u(key, salt + '.a')})")
 
 
-SIGNALS = ["ln(1 + amount_num)", "(\"hour\" BETWEEN 1 AND 4)::INT::DOUBLE",
-           "(use_chip = 'Online Transaction')::INT::DOUBLE", "(mcc >= 5100)::INT::DOUBLE",
-           "k_share"]
+SIGNALS = ["mcc / 5000e0", "\"day\" / 31e0", "user_share", "amount_num / 100e0"]
 NOISE = 0.15
 
 
 @query("vec_02_linear_map", events(f""",
 w AS (SELECT i.range AS i, j.range AS j, {_normal("(i.range || '.' || j.range)", "projection")} AS w
   FROM range({len(SIGNALS)}) i, range(512) j),
-src AS (SELECT *, ("user" % 7) / 7e0 AS k_share FROM feat),
+src AS (SELECT *, ("user" % 7) / 7e0 AS user_share FROM feat),
 s AS ({" UNION ALL ".join(f"SELECT row_id, {i} AS i, {x} AS v FROM src"
                           for i, x in enumerate(SIGNALS))}),
 e AS (SELECT row_id, j, sum(v * w) AS x FROM s JOIN w USING (i) GROUP BY row_id, j),
@@ -299,9 +339,8 @@ SELECT row_id, count(*)::INT AS dims, {rnd("sum(x)", 5)} AS total, {rnd("sum(x *
   {rnd("sum(x * (j + 1))", 3)} AS weighted FROM noisy GROUP BY row_id"""))
 def _(spark, folder):
     f = C.features(spark, folder)
-    signals = [F.log1p("amount_num"), F.col("hour").between(1, 4).cast("double"),
-               (F.col("use_chip") == "Online Transaction").cast("double"),
-               (F.col("mcc") >= 5100).cast("double"), (F.col("user") % 7) / 7.0]
+    signals = [F.col("mcc") / 5000.0, F.col("day") / 31.0, (F.col("user") % 7) / 7.0,
+               F.col("amount_num") / 100.0]
     mapped = V.linear_map(signals, 512, noise=NOISE, key=F.col("row_id"))
     # Three sums over all 512 components stand for them, in one pass over the vector.
     zero = F.struct(F.lit(0).alias("dims"), *[F.lit(0.0).alias(c) for c in (
