@@ -36,6 +36,7 @@ CALIBRATION = 6          # one in so many labelled rows sets the threshold inste
 THRESHOLD = 0.7
 LOCAL_GRAMS = 6_000_000
 CACHED_WORDS = 150_000
+TEXTS_AT_ONCE = 64
 _LEAST = 0.002           # added to a mean before its logarithm
 _USUAL = math.log(0.05)  # where the calibration starts from: odds are even at this mean
 
@@ -220,39 +221,76 @@ def ratios(counts: DataFrame) -> DataFrame:
     return materialize(grams.union(rest), "ratios")
 
 
-class _Words:
-    """Evidence of words, looked up in sorted arrays, for one task."""
+class _Table:
+    """Values by key: one slot per key hash, and a sorted list for keys whose slot is taken."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values, self.known = keys, values, {}
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        at = self._slot(keys)
+        first = np.unique(at, return_index=True)[1]
+        self.keys = np.full(1 << self.bits, np.iinfo(np.int64).max)
+        self.values = np.zeros(1 << self.bits)
+        self.keys[at[first]], self.values[at[first]] = keys[first], values[first]
+        rest = np.ones(len(keys), dtype=bool)
+        rest[first] = False
+        order = np.argsort(keys[rest])
+        self.more, self.more_values = keys[rest][order], values[rest][order]
+        self.shared = np.zeros(1 << self.bits, dtype=bool)
+        self.shared[at[rest]] = True
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, whether there) of each key."""
+        at = self._slot(wanted)
+        hit = self.keys[at] == wanted
+        out = np.where(hit, self.values[at], 0.0)
+        left = np.flatnonzero(~hit & self.shared[at])
+        if len(left):
+            near = np.minimum(np.searchsorted(self.more, wanted[left]), len(self.more) - 1)
+            found = self.more[near] == wanted[left]
+            out[left[found]] = self.more_values[near[found]]
+            hit[left[found]] = True
+        return out, hit
+
+
+class _Words:
+    """Evidence of words for one task; words met before are remembered up to a number."""
 
-    def _find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return self.values[at], self.keys[at] == wanted
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.table = _Table(keys, values) if len(keys) else None
+        self.seen: set[bytes] = set()
+        self.telling: dict[bytes, float] = {}  # those of ``seen`` with evidence
 
     def evidence(self, words: list[bytes]) -> np.ndarray:
         """What each word adds: its log likelihood ratio beyond the margin."""
-        if not len(self.keys):
+        if self.table is None:
             return np.zeros(len(words))
         gram, owner = grams_of(words)
-        value, hit = self._find(gram)
-        length, body = gram >> 56, gram & ((1 << 56) - 1)
-        rest, found = self._find(-(((length - 1) << 56) | (body >> 8)) - 1)
-        ratio = np.where(hit, value, np.where(found, rest, 0.0))
+        ratio, hit = self.table.find(gram)
+        miss = np.flatnonzero(~hit)
+        length, body = gram[miss] >> 56, gram[miss] & ((1 << 56) - 1)
+        ratio[miss] = self.table.find(-(((length - 1) << 56) | (body >> 8)) - 1)[0]
         return np.maximum(np.bincount(owner, ratio, len(words)) - MARGIN, 0.0)
 
     def means(self, texts: list[str]) -> list[float]:
-        known, out = self.known, []
-        for text in texts:
-            words = Counter(text.lower().encode("utf-8", "surrogatepass").split())
-            new = [w for w in words if w not in known]
-            for i in range(0, len(new), 20_000):
-                part = new[i:i + 20_000]
-                known.update(zip(part, self.evidence(part).tolist()))
-            out.append(math.fsum(known[w] * n for w, n in words.items())
-                       / max(1, sum(words.values())))
-            if len(known) > CACHED_WORDS:
-                known.clear()
+        out = []
+        for i in range(0, len(texts), TEXTS_AT_ONCE):
+            counts = [Counter(t.lower().encode("utf-8", "surrogatepass").split())
+                      for t in texts[i:i + TEXTS_AT_ONCE]]
+            if len(self.seen) > CACHED_WORDS:
+                self.seen, self.telling = set(), {}
+            new = list(set().union(*counts).difference(self.seen))
+            for k in range(0, len(new), 20_000):
+                part = new[k:k + 20_000]
+                value = self.evidence(part)
+                self.seen.update(part)
+                self.telling.update((part[at], float(value[at])) for at in np.flatnonzero(value))
+            for c in counts:
+                told = self.telling.keys() & c.keys()
+                out.append(math.fsum(self.telling[w] * c[w] for w in told) / max(1, c.total()))
         return out
 
 
