@@ -9,7 +9,7 @@ from txnspark.plans import common as C
 from txnspark.plans.oracle import events, splits, u
 from txnspark.plans.registry import query
 from txnspark.session import new_path
-from txnspark.sources import delimited, documents, targets
+from txnspark.sources import committed, delimited, documents, targets
 from txnspark.sources.transactions import load_transactions, read_table
 
 STORED = list(S.DISPLAY_NAMES)
@@ -117,6 +117,29 @@ def _(spark, folder):
     return targets.manifest_counts(spark, manifest)
 
 
+@query("src_11_committed_counts", events(COUNTS_SQL))
+def _(spark, folder):
+    # Each split is a batch; the counts come with the commit messages of its tasks.
+    path, rows = new_path(spark, "committed"), C.split_features(spark, folder).select(
+        "row_id", "amount_num", "y", "split")
+    for split in S.SPLITS:
+        committed.append_batch(rows.where(F.col("split") == split), path, split, "split")
+    return committed.committed_counts(spark, path, "split")
+
+
+@query("src_13_committed_append", """
+SELECT CAST(event_id % 7 AS INTEGER) AS batch_id, count(*) AS rows, sum(event_id)::BIGINT AS ids
+FROM events GROUP BY 1""")
+def _(spark, folder):
+    path = new_path(spark, "committed")
+    e = read_table(spark, folder, "events").select("event_id", "event_type", "value", (
+        F.col("event_id") % 7).cast("int").alias("batch_id"))
+    for batch in (0, 1, 2, 3, 2, 3, 4, 5, 6):  # two of them are retried
+        committed.append_batch(e.where(F.col("batch_id") == batch), path, f"b{batch}")
+    return committed.read_committed(spark, path, e.schema).groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("ids"))
+
+
 @query("src_12_column_mapping", events(DISPLAY_SQL))
 def _(spark, folder):
     txn = load_transactions(spark, folder).select(*STORED)
