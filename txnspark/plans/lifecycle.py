@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from txnspark import schema as S
 from txnspark.operators import encoders as E
 from txnspark.operators import external as U
+from txnspark.operators import external_fit as UF
 from txnspark.operators import heads as H
 from txnspark.operators import metrics as M
 from txnspark.operators.ordered import thin_positions
@@ -89,11 +90,13 @@ def run_record(training: T.Training, scores: DataFrame, run: int, started: datet
 def training_run(rows: DataFrame, history_path: str, bundle_path: str | None = None,
                  scorer: U.FrameScorer | None = None, scorer_columns: list[str] | None = None,
                  rounds: dict[str, int] | int | None = None, depth: int | None = None,
-                 components: int = S.PCA_DIM, **training_options) -> T.Training:
+                 components: int = S.PCA_DIM, learner: UF.Learner | None = None,
+                 **training_options) -> T.Training:
     """Grant the next budget, train, save the bundle and append the run record.
 
     ``rows`` are features with their split. ``rounds`` and ``depth`` override the
-    budget's boosting rounds and the heads' depths.
+    budget's boosting rounds and the heads' depths. ``learner`` is fitted on raw train rows and
+    its scorer becomes the external head; without a model the run goes on without that head.
     """
     spark, started, clock = rows.sparkSession, datetime.now(timezone.utc), time.perf_counter()
     run = next_run(spark, history_path)
@@ -102,6 +105,10 @@ def training_run(rows: DataFrame, history_path: str, bundle_path: str | None = N
                              rounds or budget["n_estimators"].asDict(), depth,
                              components=components, **training_options)
     scores = training.scores
+    if learner is not None:
+        part = lambda split: training.rows.where(F.col("split") == split)
+        scorer = UF.fit_external(part("train"), part("val"), part("test"), learner,
+                                 scorer_columns).scorer
     if scorer is not None:
         test = training.rows.where(F.col("split") == "test")
         scores = with_external_head(scores, test, scorer, scorer_columns or S.RAW_VIEW)

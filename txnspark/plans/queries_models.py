@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from txnspark.functions.rules import (AMOUNT_CEILING, AMOUNT_SCALE, HEAD_CLIP, O
                                       ODD_HOURS, ONLINE_WEIGHT, STUB_BASE)
 from txnspark.operators import encoders as E
 from txnspark.operators import external as U
+from txnspark.operators import external_fit as UF
 from txnspark.operators import heads as H
 from txnspark.operators import metrics as M
 from txnspark.operators import token_vectors as TV
@@ -481,13 +483,36 @@ SELECT 'ok' AS status, count(*) AS n, count(*) * 0.5e0 AS total FROM feat
 UNION ALL SELECT 'unavailable', count(*), NULL FROM feat"""))
 def _(spark, folder):
     f = C.features(spark, folder)
-    fine = U.external_scores(f, half_broken_scorer, SCORER_COLUMNS, timeout_s=60)
+    fine = U.external_scores(f, half_broken_scorer, SCORER_COLUMNS)
     down = U.external_scores(f.withColumn("hour", F.lit(24)), half_broken_scorer,
-                             SCORER_COLUMNS, timeout_s=60)
+                             SCORER_COLUMNS)
     return fine.unionByName(down).groupBy("status").agg(
         F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"))
 
 
+def channel_rates(train, val):
+    """A learner: the fraud rate of each channel among its train rows."""
+    rows = pd.concat(train)
+    rates, usual = rows.groupby("use_chip")["y"].mean(), rows["y"].mean()
+    return lambda frame: frame["use_chip"].map(rates).fillna(usual).to_numpy()
+
+
+@query("udf_03_external_fit", events(SPLIT_SQL + """,
+ rate AS (SELECT use_chip, avg(y) AS p FROM split_rows WHERE split = 'train' GROUP BY use_chip)
+ SELECT row_id, round(p, 9) AS score, 'ok' AS status, true AS fitted
+ FROM split_rows JOIN rate USING (use_chip) WHERE split = 'test'"""))
+def _(spark, folder):
+    rows = C.split_features(spark, folder)
+    train, val, test = (rows.where(F.col("split") == s) for s in S.SPLITS)
+    n = train.count()
+    fit = UF.fit_external(train, val, test, channel_rates, ["use_chip"], rows=n)
+    scored = U.external_scores(test, fit.scorer, ["use_chip"], timeout_s=60)
+    whole = fit.meta.select((F.col("n_train") == n) & (F.col("scored") == F.col("n_test")) & (
+        F.col("test_auc") >= 0.5)).scalar()
+    return scored.select("row_id", F.round("score", 9).alias("score"), "status",
+                         whole.alias("fitted"))
+
+
 def sum_embedder(ids):
     """A user embedder: id sum, largest id, number of tokens."""
     return np.stack([ids.sum(axis=1), ids.max(axis=1), (ids > 0).sum(axis=1)], axis=1)
