@@ -4,7 +4,7 @@ import __spark_entry__
 import corpus_pipeline
 import pytest
 from helpers import EDGES, edges, empty
-from test_dedup import brute_fingerprint, find_all
+from test_dedup import find_all, five_words
 from test_packing import check as check_pieces
 from tokenizers import Tokenizer
 
@@ -40,10 +40,11 @@ def test_stages_one_by_one(spark):
         least[t] = min(least.get(t, i), i)
     assert sorted(r[0] for r in rows_of(after)) == sorted(least.values()) and len(least) < len(given)
     given, after = seen["simhash_near_dedup"]
-    prints = {i: brute_fingerprint(t) for i, t, *_ in given}
-    pairs = [(a, b) for a in prints for b in prints
-             if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
-    root = find_all(pairs, list(prints))
+    # The stage links documents whose five-word shingle sets are 0.8 alike or more.
+    sets = {i: five_words(t) for i, t, *_ in given}
+    pairs = [(a, b) for a in sets for b in sets if a < b
+             and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    root = find_all(pairs, list(sets))
     assert sorted(r[0] for r in rows_of(after)) == sorted(set(root.values()))
     given, after = seen["source_mix"]
     words = lambda t: len(t.split())
@@ -62,7 +63,7 @@ def test_stages_one_by_one(spark):
 def test_run_and_registration(spark):
     assert __spark_entry__.queries()["pipeline"](spark, SF).count() > 0
     names = set(__spark_entry__.queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 def test_edges(spark):
