@@ -211,8 +211,10 @@ def _(spark, folder):
     q = exact_quantiles(e, "value", [0.5, 0.95], ["event_type"])
     at = lambda i: F.round(F.max(F.when(F.col("i") == i, F.col("value"))), 9)
     wide = q.groupBy("event_type").agg(at(0).alias("p50"), at(1).alias("p95"))
-    return wide.join(e.groupBy("event_type").agg(
-        F.max("value").alias("worst"), F.count(F.lit(1)).alias("calls")), "event_type")
+    calls = e.groupBy(F.col("event_type").alias("_type")).agg(
+        F.max("value").alias("worst"), F.count(F.lit(1)).alias("calls"))
+    # A null type is a group of its own on both sides.
+    return wide.join(calls, F.col("event_type").eqNullSafe(F.col("_type"))).drop("_type")
 
 
 @query("agg_20_row_count", "SELECT 'lineitem' AS name, count(*) AS n FROM lineitem")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from txnspark import schema as S
+from txnspark.operators.heads import early_stop  # noqa: F401 (part of the run rules)
 from txnspark.operators.metrics import head_summary, lift
 
 # --- fixed values: budget ladder, ceilings and boosting rounds per head ---
@@ -15,7 +16,6 @@ TIER_SCALE = [0.35, 0.55, 0.75, 0.90, 1.00]
 ROWS_CEILING = 20000
 FULL_ROUNDS = {"raw": 400, "embed": 435, "combined": 512}
 MIN_ROUNDS = 60
-STOP_PATIENCE = 20
 # --- end of fixed values ---
 
 
@@ -146,19 +146,3 @@ def best_round(curve: DataFrame, by: list[str]) -> DataFrame:
     return curve.groupBy(*by).agg(
         F.max_by("round", F.struct("auc", -F.col("round"))).alias("best_round"),
         F.max("auc").alias("best_auc"))
-
-
-def early_stop(curve: DataFrame, by: list[str], patience: int = STOP_PATIENCE) -> DataFrame:
-    """The last round trained when training stops after ``patience`` rounds without
-    a strict improvement, and the best round up to there."""
-    so_far = W.partitionBy(*by).orderBy("round")
-    before = F.max("auc").over(so_far.rowsBetween(W.unboundedPreceding, -1))
-    improved = F.col("auc") > before
-    steps = curve.withColumn("_up", F.when(before.isNull() | improved, F.col("round")))
-    steps = steps.withColumn("_last", F.max("_up").over(
-        so_far.rowsBetween(W.unboundedPreceding, 0)))
-    stop = steps.groupBy(*by).agg(
-        F.coalesce(F.min(F.when(F.col("round") - F.col("_last") >= patience, F.col("round"))),
-                   F.max("round")).alias("stop_round"))
-    return steps.join(stop, by).where(F.col("round") == F.col("stop_round")).select(
-        *by, "stop_round", F.col("_last").alias("best_round"))

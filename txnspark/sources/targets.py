@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from txnspark import schema as S
 from txnspark.session import materialize, path_exists
 
 ROWS_PER_FILE = 250_000
+NOT_PARQUET = ("UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "is not a Parquet file")
 
 
 @dataclass(frozen=True)
@@ -81,11 +84,17 @@ def is_ready(spark: SparkSession, target: DataTarget) -> bool:
     return readiness(spark, target).where(~F.col("ready")).isEmpty()
 
 
-def ingest_once(df: DataFrame, target: DataTarget, force: bool = False) -> bool:
-    """Write the splits unless the target is already complete; True when written."""
+def ingest_once(df: DataFrame, target: DataTarget, force: bool = False,
+                then: Callable[[], None] | None = None) -> bool:
+    """Write the splits unless the target is already complete; True when written.
+
+    ``then`` runs after a write, such as ``forget`` of a cache made from the old rows.
+    """
     if not force and is_ready(df.sparkSession, target):
         return False
     target.write_splits(df)
+    if then is not None:
+        then()
     return True
 
 
@@ -101,13 +110,19 @@ def footer_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def safe_footer_count(spark: SparkSession, path: str) -> int | None:
-    """None when nothing is there, 0 when it is not readable Parquet."""
+    """None when nothing is there, 0 when it is not readable Parquet.
+
+    Only what Spark says of the files themselves counts as unreadable; a lost connection or a
+    denied folder is an error.
+    """
     if not path_exists(spark, path):
         return None
     try:
         return footer_counts(spark, path).first()["n"]
-    except Exception:  # noqa: BLE001 - any unreadable file counts as empty
-        return 0
+    except (PySparkException, Py4JJavaError) as error:
+        if any(sign in str(error) for sign in NOT_PARQUET):
+            return 0
+        raise
 
 
 def write_with_manifest(df: DataFrame, target: DataTarget, manifest: str) -> None:
