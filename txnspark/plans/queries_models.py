@@ -290,11 +290,8 @@ def _(spark, folder):
         "row_id", (F.abs(F.col("p") - F.col("p_combined")) < 1e-9).alias("same"))
 
 
-@query("jsn_01_trained_replies", events(SPLIT_SQL + """
- SELECT row_id, 'model' AS mode, CAST(8 AS INTEGER) AS tokens, CAST(512 AS INTEGER) AS dim,
-   true AS in_range, true AS placed, true AS same FROM split_rows WHERE split = 'test'"""))
-def _(spark, folder):
-    t, test = trained(spark, folder), _test(spark, folder)
+def _request_form(test):
+    """(whether a row is one of the odd requests, the rows as request forms)."""
     # Every fifth request names its merchant and leaves the zip empty.
     odd = F.col("row_id") % 5 == 0
     form = test.select(
@@ -303,6 +300,15 @@ def _(spark, folder):
         F.when(odd, "AMAZON").otherwise(F.col("merchant_name").cast("string"))
         .alias("merchant_name"),
         F.when(odd, "").otherwise(F.col("zip").cast("string")).alias("zip"))
+    return odd, form
+
+
+@query("jsn_01_trained_replies", events(SPLIT_SQL + """
+ SELECT row_id, 'model' AS mode, CAST(8 AS INTEGER) AS tokens, CAST(512 AS INTEGER) AS dim,
+   true AS in_range, true AS placed, true AS same FROM split_rows WHERE split = 'test'"""))
+def _(spark, folder):
+    t, test = trained(spark, folder), _test(spark, folder)
+    odd, form = _request_form(test)
     shape = ("mode string, tokens array<string>, embedding_dim int, scores struct<raw:double,"
              "embed:double,combined:double>, position struct<x:double,y:double>")
     replies = score_requests(form, t.bundle).select(
@@ -360,6 +366,41 @@ def _(spark, folder):
         "row_id", F.col("y").alias("fraud"), (gap < 1e-4).alias("placed"))
 
 
+@query("joi_06_batch_and_live_positions", events(SPLIT_SQL + """
+ SELECT row_id, true AS placed, true AS same FROM split_rows WHERE split = 'test'"""))
+def _(spark, folder):
+    # The background map's point of each row beside the point its request is answered with.
+    t, test = trained(spark, folder), _test(spark, folder)
+    odd, form = _request_form(test)
+    shape = "position struct<x:double,y:double>"
+    live = score_requests(form, t.bundle).select(
+        F.col("row_id").alias("_id"), F.from_json("reply", shape)["position"].alias("p"))
+    batch = V.map_points(t.inputs.where(F.col("split") == "test")).select("row_id", "x", "y_pos")
+    drift = V.euclidean(F.col("x"), F.col("y_pos"), F.col("p.x"), F.col("p.y"))
+    complete = ~odd & F.col("zip").isNotNull() & F.col("merchant_state").isNotNull()
+    whole = test.select(F.col("row_id").alias("_row"), complete.alias("complete"))
+    pairs = batch.join(live, F.col("row_id") == F.col("_id")).join(
+        whole.withColumnRenamed("_row", "_w"), F.col("row_id") == F.col("_w"))
+    return pairs.select("row_id", drift.isNotNull().alias("placed"),
+                        (~F.col("complete") | (drift < 1e-4)).alias("same"))
+
+
+@query("mlx_18_examples_on_the_map", events(SPLIT_SQL + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY row_id) - 1 AS i,
+   count(*) OVER (PARTITION BY y) AS n FROM split_rows WHERE split = 'test')
+SELECT row_id, y = 1 AS is_fraud, true AS placed, true AS on_background FROM r WHERE i = n // 2"""))
+def _(spark, folder):
+    t, test = trained(spark, folder), _test(spark, folder)
+    picked = middle_rows(test, ["row_id"], "y")
+    live = t.bundle.score(picked).select("row_id", "y", "x", "y_pos")
+    background = V.map_points(t.inputs.where(F.col("split") == "test")).select(
+        F.col("row_id").alias("_id"), F.col("x").alias("x0"), F.col("y_pos").alias("y0"))
+    gap = V.euclidean(F.col("x"), F.col("y_pos"), F.col("x0"), F.col("y0"))
+    return live.join(background, F.col("row_id") == F.col("_id")).select(
+        "row_id", (F.col("y") == 1).alias("is_fraud"), gap.isNotNull().alias("placed"),
+        (gap < 1e-4).alias("on_background"))
+
+
 @query("mlx_18_examples", events(SPLIT_SQL + """
 , r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY row_id) - 1 AS i,
    count(*) OVER (PARTITION BY y) AS n FROM split_rows WHERE split = 'test')
