@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
-from helpers import EDGES, documents, edges, empty, sample
+from helpers import with_clashes, EDGES, documents, edges, empty, sample
 from pyspark.sql import functions as F
 
 from txnspark.llm import exact_dedup, simhash
@@ -140,6 +140,18 @@ def test_near_edges(spark):
     assert simhash.drop_near_duplicates(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("drop", [simhash.drop_near_duplicates, simhash.drop_similar_documents])
+def test_of_repeated_rows_one_stays(spark, drop):
+    text = "one text of some twenty words " * 5
+    rows = [(1, text, "en", "a")] * 3 + [(2, text.replace(" ", "  "), "en", "a"), (3, "other words", "en", "b"),
+                                         (3, "other words", "en", "b"), (None, "no id", None, None),
+                                         (None, "no id", None, None), (4, None, "en", "a")]
+    kept = drop(with_clashes(documents(spark, rows, 4)))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [
+        (0, "no id"), (1, text), (3, "other words"), (4, "")]
+    assert kept.columns == with_clashes(documents(spark, rows)).columns
+
+
 def test_long_text_blocks(monkeypatch):
     text = EDGES[4][1]
     whole = simhash._fingerprint(text)

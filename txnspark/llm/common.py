@@ -54,6 +54,18 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
                      & F.col("doc_id").eqNullSafe(F.col(number)), "left_anti")
 
 
+def one_of_alike(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` with one of the rows alike in every column that ``repeated``, a written table
+    of (doc_id, row_key), names; all other rows stay. Each scan task sends one at most."""
+    mark, number, row = fresh(docs, "_key"), fresh(docs, "_number"), fresh(docs, "_row")
+    rows = docs.join(
+        repeated.select(F.col("doc_id").alias(number), F.col("row_key").alias(mark)),
+        row_key(docs).eqNullSafe(F.col(mark)) & F.col("doc_id").eqNullSafe(F.col(number)))
+    one = rows.groupBy(mark, number).agg(F.first(F.struct(
+        *[F.col(f"`{c}`") for c in docs.columns])).alias(row)).select(f"{row}.*")
+    return without(docs, repeated).union(one)
+
+
 def worker_state() -> dict:
     """A dictionary that lives as long as the Python worker process, over its tasks."""
     name = "_txnspark_worker_state"

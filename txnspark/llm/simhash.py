@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from txnspark.llm.common import let, row_key, text_of, without, words_of
+from txnspark.llm.common import let, one_of_alike, row_key, text_of, without, words_of
 from txnspark.llm.components import connected_components
 from txnspark.session import materialize
 
@@ -267,6 +267,12 @@ def drop_similar_documents(docs: DataFrame) -> DataFrame:
 
 
 def _one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The keepers' rows. Of rows alike in every column one stays."""
     same = (F.col("doc_id").eqNullSafe(F.col("keeper.doc_id"))
             & (F.col("row_key") == F.col("keeper.row_key")))
-    return without(docs, materialize(found.where(~same).select("doc_id", "row_key"), "dropped"))
+    judged = materialize(found.select("doc_id", "row_key", same.alias("stays")), "near-judged")
+    kept = without(docs, materialize(
+        judged.where(~F.col("stays")).select("doc_id", "row_key"), "dropped"))
+    repeated = materialize(judged.where("stays").groupBy("doc_id", "row_key").agg(
+        F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
+    return kept if repeated.isEmpty() else one_of_alike(kept, repeated)
