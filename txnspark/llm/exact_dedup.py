@@ -7,8 +7,8 @@ The entries are written as an index: a directory over the leading hash bits poin
 to buckets, a bucket too full is split by one more bit, and where all directory
 bits in use run out the directory doubles. Each owner task holds a range of
 buckets, that is a range of hashes, and chains entries whose hash is equal though
-their text is not. Every row then finds its entry through directory, bucket and
-chain.
+their text is not. Rows find their entry by hash and SHA-256; which row stays is known
+from the grouping before the index is written.
 """
 
 from __future__ import annotations
