@@ -210,6 +210,36 @@ def test_stage_finds_every_pair_of_jaccard_four_fifths(spark):
     assert 56 not in kept and 2001 not in kept and 3001 not in kept and 3002 in kept
 
 
+@pytest.mark.parametrize("original", [True, False])
+def test_large_near_group_and_common_passage(spark, original):
+    """Copies at about 0.8 of each other and a passage in many texts: every link, few candidates."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(220)]
+    docs = [" ".join(words)] if original else []
+    for k in range(250):
+        copy = list(words)
+        for at in rng.integers(0, 220, 3):
+            copy[at] = f"c{k}_{at}"
+        docs.append(" ".join(copy))
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs += [" ".join(f"o{k}_{i}" for i in range(20)) + " " + passage for k in range(250)]
+    sets = [five_words(t) for t in docs]
+    pairs = [(a, b) for a, b in combinations(range(len(docs)), 2)
+             if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    root = find_all(pairs, range(len(docs)))
+    found = simhash.similar_documents(
+        documents(spark, [(i, t, "en", "s") for i, t in enumerate(docs)]))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == root
+
+
+def test_a_common_passage_makes_no_candidates(spark):
+    nodes = spark.createDataFrame([(k, k) for k in range(500)], "fp long, root long")
+    sets = spark.createDataFrame(
+        [(k, [-k * 1000 - i - 1 for i in range(30)] + list(range(70))) for k in range(500)],
+        "fp long, set array<long>")
+    assert simhash._unsettled_pairs(nodes, sets).count() == 0
+
+
 @pytest.mark.parametrize("shape", ["random", "chain", "star", "none"])
 def test_components(spark, shape):
     rng = np.random.default_rng(1)

@@ -202,6 +202,38 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "b"))
 
 
+def _unsettled_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of ``nodes`` (fp, root) with different roots: all that can have a
+    Jaccard similarity of 0.8 or more.
+
+    Prefix filter: with the shingles of every node in one order, rarest first, two such nodes
+    share one among the first fifth of both. A passage that many texts share is frequent and
+    so comes last; it makes candidates only where it is four fifths of a text. Sizes and the
+    places of the shared shingle bound the overlap inside the join. Shingles of one node only
+    can't be shared and take part as a number.
+    """
+    num, den = SIMILAR
+    items = nodes.join(sets, "fp").select("fp", "root", F.size("set").alias("size"),
+                                          F.explode("set").alias("shingle"))
+    often = items.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ordered = (items.join(often, "shingle").groupBy("fp", "root", "size")
+               .agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("tail"))
+               .withColumn("alone", F.col("size") - F.size("tail")))
+    head = F.col("size") - F.ceil(F.col("size") * num / den) + 1 - F.col("alone")
+    posts = materialize(
+        ordered.select("fp", "root", "size", "alone", F.posexplode(F.slice(
+            "tail.shingle", F.lit(1), F.greatest(head, F.lit(0)).cast("int")))
+            .alias("at", "shingle"))
+        .select("fp", "root", "size", "shingle",
+                (F.col("size") - F.col("alone") - F.col("at")).alias("rest")), "prefixes")
+    x, y = posts.alias("x"), posts.alias("y")
+    both = F.least("x.rest", "y.rest")  # the shared shingle and all that follow it
+    return (x.join(y, (F.col("x.shingle") == F.col("y.shingle"))
+                   & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root"))
+                   & (both * (num + den) >= (F.col("x.size") + F.col("y.size")) * num))
+            .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct())
+
+
 def similar_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """As ``near_duplicates``, where linked means a five-word Jaccard similarity of 0.8 or more.
 
@@ -211,9 +243,15 @@ def similar_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     values (a pair at 0.8 exactly is missed in about 1 of 70,000 cases, one at 0.85 in 1 of 13
     million), and every pair is verified on the shingles.
 
-    In each bucket all nodes are first compared with its least one, which joins a large
-    group at linear cost. Then nodes of a bucket that are still in different components are
-    compared with each other, all of them, so no pair of a bucket is left out.
+    In each bucket all nodes are first compared with its most central one, the node whose
+    buckets hold the most nodes, which joins a large group at linear cost: the original of many
+    copies shares more keys with each of them than they do with each other. Nodes of a bucket
+    that are still in different components then go through ``_unsettled_pairs``, which emits
+    no bucket's pairs but those that can reach the similarity, and leaves none of these out.
+
+    Null text counts as empty; texts without a word are one node. Rows alike in every column
+    get equal results, an empty table an empty one. Texts are read whole, however long. Texts
+    are taken as equal when the 64-bit hashes of their words are.
     """
     rows = materialize(
         docs.select("doc_id", row_key(docs).alias("row_key"), _signature(text_of(text)).alias("_s"))
@@ -222,15 +260,18 @@ def similar_documents(docs: DataFrame, text: str = "text") -> DataFrame:
         F.min(_order()).alias("first"), F.first("sim").alias("sim"),
         F.first("keys").alias("keys")), "nodes")
     spread = nodes.select(F.explode("keys").alias("key"), "fp")
-    shared = (spread.groupBy("key").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n"))
-              .where("n > 1").drop("n"))
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialize(spread.join(shared, "key"), "buckets")
+    weight = buckets.groupBy("fp").agg(F.sum("n").alias("weight"))
+    centre = (buckets.join(weight, "fp").groupBy("key")
+              .agg(F.max(F.struct("weight", "fp"))["fp"].alias("centre")))
     sims = nodes.groupBy(F.col("sim").alias("fp")).agg(F.min("fp").alias("least"))
     near = fingerprint_links(sims)
     ends = lambda n: sims.select(F.col("fp").alias(n), F.col("least").alias(f"_{n}"))
     near = near.join(ends("a"), "a").join(ends("b"), "b").select(
         F.col("_a").alias("a"), F.col("_b").alias("b"))
-    star = buckets.where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    star = buckets.join(centre, "key").where("fp <> centre").select(
+        F.col("fp").alias("a"), F.col("centre").alias("b"))
     pairs = materialize(star.union(near).distinct(), "near-candidates")
     wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp",
                         "left_semi").select("fp", F.col("first.doc_id").alias("_id"),
@@ -243,15 +284,13 @@ def similar_documents(docs: DataFrame, text: str = "text") -> DataFrame:
         "shingle-sets")
     links = materialize(_similar(pairs, sets), "near-links")
     roots = materialize(connected_components(links).withColumnRenamed("node", "fp"), "near-roots")
-    members = materialize(
-        buckets.join(roots, "fp", "left")
-        .select("key", "fp", F.coalesce("root", "fp").alias("root")), "bucket-members")
-    apart = members.select("key", "root").distinct()
-    left, right = (members.select("key", F.col("root").alias(f"r{n}"), F.col("fp").alias(n))
-                   for n in "ab")
-    crossed = (apart.withColumnRenamed("root", "ra")
-               .join(apart.withColumnRenamed("root", "rb"), "key").where("ra < rb")
-               .join(left, ["key", "ra"]).join(right, ["key", "rb"]).select("a", "b").distinct())
+    members = buckets.join(roots, "fp", "left").select(
+        "key", "fp", F.coalesce("root", "fp").alias("root"))
+    apart = (members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+             .where("r0 <> r1").select("key"))
+    unsettled = materialize(
+        members.join(apart, "key", "left_semi").select("fp", "root").distinct(), "unsettled")
+    crossed = materialize(_unsettled_pairs(unsettled, sets), "cross-candidates")
     links = links.union(materialize(_similar(crossed, sets), "cross-links"))
     return _labelled(rows.select("doc_id", "row_key", "fp"), nodes.select("fp", "first"), links)
 
