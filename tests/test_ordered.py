@@ -128,3 +128,31 @@ def test_gap_of_equal_times_is_zero(spark):
       AS t(row_id, user, card, ts)""")
     got = {r["row_id"]: r["time_delta_s"] for r in O.time_gap(df).collect()}
     assert got == {1: None, 2: 0.0, 3: 90.0}
+
+
+@pytest.mark.parametrize("cells,edge_rows", [(65536, 1_000_000), (4, 1), (1, 10)])
+def test_rows_at_and_middle_rows(spark, cells, edge_rows):
+    data = [(None if i % 97 == 0 else (i * 7919) % 100003, None if i % 11 == 0 else i % 3)
+            for i in range(2000)]
+    df = spark.createDataFrame(data, "k long, y int").dropDuplicates()
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r["y"], []).append(r["k"])
+    for keys in groups.values():
+        keys.sort(key=lambda k: (k is not None, k or 0))
+    got = {(r["y"], r["k"]) for r in O.middle_rows(df, ["k"], "y").collect()}
+    assert got == {(y, keys[len(keys) // 2]) for y, keys in groups.items()}
+    placed = df.where("k IS NOT NULL").select(
+        F.col("y").alias("_s"), (F.col("k") / 100003.0).alias("_u"), F.col("k").alias("_k"))
+    found = O.rows_at(placed, lambda sizes: {s: n // 3 for s, n in sizes.items()},
+                      cells, edge_rows)
+    for r in found:
+        keys = [k for k in groups[r["_s"]] if k is not None]
+        assert r["_k"] == keys[len(keys) // 3 - 1]
+    assert len(found) == len(groups)
+
+
+def test_rows_at_of_nothing(spark):
+    empty = spark.createDataFrame([], "_s int, _u double, _k long")
+    assert O.rows_at(empty, lambda sizes: sizes) == []
+    assert O.middle_rows(spark.createDataFrame([], "k long, y int"), ["k"], "y").count() == 0

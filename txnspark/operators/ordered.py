@@ -14,9 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txnspark.session import materialize
 
+CELLS = 65536
+EDGE_ROWS = 1_000_000  # rows one task may rank
+_STEPS = 4
+
 
 def default_ranges(df: DataFrame) -> int:
     """One range per shuffle partition of the session."""
@@ -152,20 +157,77 @@ def class_stride(df: DataFrame, order_by: list[str], label: str, budget: int) ->
     return ids.where((F.col(label) == 1) | (F.col("_i") % stride == 0)).drop("_i")
 
 
+def rows_at(placed: DataFrame, wanted, cells: int = CELLS,
+            edge_rows: int = EDGE_ROWS) -> list:
+    """The rows (_s, _u, _k) at one position of each stratum, in the order of (_u, _k).
+
+    ``placed`` is a written table with a stratum ``_s`` (a few classes), a place ``_u`` in
+    [0, 1) and a key ``_k``. ``wanted`` maps {stratum: rows} to {stratum: position from 1};
+    a position of 0 asks for no row. Only histograms and these rows reach the driver.
+
+    Each step counts the rows per cell of the interval that holds the position and goes on in
+    the one cell that it falls in, until no more than ``edge_rows`` are left to rank. Where places
+    do not tell the rows apart, what is left is numbered over ranges instead.
+    """
+    def of_stratum(values: dict) -> Column:
+        out = F.lit(None).cast("bigint")
+        for stratum, value in values.items():
+            out = F.when(F.col("_s").eqNullSafe(F.lit(stratum)), F.lit(value)).otherwise(out)
+        return out
+
+    rest, inside, take, largest = F.col("_u"), F.lit(True), None, 0
+    upto = W.partitionBy("_s").orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
+    for _ in range(_STEPS):
+        cell = F.floor(rest * cells)
+        counts = materialize(placed.where(inside).groupBy("_s", cell.alias("_cell")).agg(
+            F.count(F.lit(1)).alias("_n")), "histogram")
+        if take is None:
+            sizes = counts.groupBy("_s").agg(F.sum("_n").alias("n")).collect()
+            take = {s: n for s, n in wanted({r["_s"]: r["n"] for r in sizes}).items() if n > 0}
+        if not take:
+            return []
+        edges = (counts.withColumns({"_to": F.sum("_n").over(upto), "_need": of_stratum(take)})
+                 .where("_to >= _need AND _to - _n < _need").collect())
+        take = {r["_s"]: r["_need"] - r["_to"] + r["_n"] for r in edges}
+        inside = inside & (cell == of_stratum({r["_s"]: r["_cell"] for r in edges}))
+        largest = max((r["_n"] for r in edges), default=0)
+        if largest <= edge_rows:
+            break
+        rest = rest * cells - cell  # the place within the cell, in the same order
+    edge = placed.where(inside)
+    if largest <= edge_rows:
+        ranked = edge.withColumn("_r", F.row_number().over(
+            W.partitionBy("_s").orderBy("_u", "_k")).cast("bigint"))
+    else:
+        ranked = dense_ids(edge, ["_u", "_k"], "_r", ["_s"]).withColumn("_r", F.col("_r") + 1)
+    return ranked.where(F.col("_r") == of_stratum(take)).select("_s", "_u", "_k").collect()
+
+
 def middle_rows(df: DataFrame, order_by: list[str], label: str) -> DataFrame:
-    """The row at position floor(n/2) of each class.
+    """The row at position floor(n/2) of each class, nulls first; of rows alike in
+    ``order_by`` any one.
 
-    Counts per range find the range of that row, and only that range is ranked.
+    Only the order columns are written. ``rows_at`` finds the rows' keys by histograms of the
+    first order column (a whole number; others are numbered over ranges), and the result is a
+    filter of ``df`` on these keys.
     """
-    d = ranged(df, [label, *order_by])
-    counts = d.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    place = range_with_position(counts, [label], F.floor(F.col("_all") / 2)).select(
-        F.col(label).alias("_label"), F.col("_range").alias("_at"), "_skip")
-    rank = F.row_number().over(W.partitionBy(label, "_range").orderBy(*order_by)) - 1
-    # One row per class.
-    near = d.join(F.broadcast(place), _same([(label, "_label"), ("_range", "_at")]))
-    return (near.withColumn("_i", rank).where(F.col("_i") == F.col("_skip"))
-            .drop("_i", "_label", "_at", "_skip", "_range"))
+    thin = materialize(df.select(F.col(label).alias("_s"), F.struct(*order_by).alias("_k")),
+                       "order-keys")
+    first, place = F.col("_k")[order_by[0]], F.lit(0.0)
+    if isinstance(df.schema[order_by[0]].dataType, T.IntegralType):
+        box = thin.agg(F.min(first).alias("low"), F.max(first).alias("high")).first()
+        if box["low"] is not None and box["low"] < box["high"]:
+            share = (first.cast("double") - float(box["low"])) / float(box["high"] - box["low"])
+            place = F.when(first.isNull(), 0.0).otherwise(F.lit(0.25) + share / 2)
+    found = rows_at(thin.withColumn("_u", place),
+                    lambda sizes: {s: n // 2 + 1 for s, n in sizes.items()})
+    chosen = F.lit(False)
+    for row in found:
+        same = F.col(label).eqNullSafe(F.lit(row["_s"]))
+        for c in order_by:
+            same = same & F.col(c).eqNullSafe(F.lit(row["_k"][c]).cast(df.schema[c].dataType))
+        chosen = chosen | same
+    return df.where(chosen).dropDuplicates([label])
 
 
 def row_order_split(df: DataFrame, order_by: list[str], train: float = 0.70,

@@ -1,21 +1,23 @@
 """Repeatable samples by hash of the row key.
 
-Exact-size samples never sort the table: a histogram of the draws finds the bin
-of the last wanted row, that one bin is ranked, and the sample is then a plain
-filter on the draw. Only key columns are read twice.
+Exact-size samples never sort the table: the draws are written once beside their
+keys, histograms narrow them down to the last wanted row, and the sample is then a
+plain filter of the table on the draw.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from txnspark import schema as S
 from txnspark.functions.hashing import uniform
-from txnspark.operators.ordered import range_with_position, ranged
-
-_BINS = 65536
+from txnspark.operators.ordered import (CELLS, EDGE_ROWS, range_with_position, ranged,
+                                        rows_at)
+from txnspark.session import materialize
 
 
 def bernoulli_sample(df: DataFrame, rate, salt: str, key: str = "row_id") -> DataFrame:
@@ -41,34 +43,28 @@ def sample_splits(df: DataFrame, plan: DataFrame, salt: str = "ingest") -> DataF
 
 
 def _take_smallest(df: DataFrame, quota, salt: str, stratum: Column, key: str,
-                   bins: int) -> DataFrame:
-    """Rows with the ``quota`` smallest draws of each stratum (quota: totals -> Column)."""
-    d = df.withColumns({"_s": stratum, "_u": uniform(key, salt)})
-    thin = d.select("_s", "_u", F.col(key).alias("_k"),
-                    F.floor(F.col("_u") * bins).alias("_bin"))
-    hist = thin.groupBy("_s", "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    totals = hist.agg(F.struct(
-        F.coalesce(F.sum(F.when(F.col("_s") == 1, F.col("_n"))), F.lit(0)).alias("one"),
-        F.coalesce(F.sum(F.when(F.col("_s") == 0, F.col("_n"))), F.lit(0)).alias("zero"),
-    )).scalar()
-    ordered = W.partitionBy("_s").orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
-    edge = (hist.withColumns({"_cum": F.sum("_n").over(ordered), "_q": quota(totals)})
-            .where((F.col("_cum") >= F.col("_q")) & (F.col("_cum") - F.col("_n") < F.col("_q")))
-            .select("_s", "_bin", (F.col("_q") - F.col("_cum") + F.col("_n")).alias("_take")))
-    # ``edge`` and ``last`` have one row per stratum, two at most.
-    rank = F.row_number().over(W.partitionBy("_s").orderBy("_u", "_k"))
-    last = (thin.join(F.broadcast(edge), ["_s", "_bin"]).withColumn("_r", rank)
-            .where(F.col("_r") == F.col("_take"))
-            .select("_s", F.col("_u").alias("_lu"), F.col("_k").alias("_lk")))
-    within = (F.col("_u") < F.col("_lu")) | (
-        (F.col("_u") == F.col("_lu")) & (F.col(key) <= F.col("_lk")))
-    return d.join(F.broadcast(last), "_s").where(within).drop("_s", "_u", "_lu", "_lk")
+                   bins: int, edge_rows: int = EDGE_ROWS) -> DataFrame:
+    """Rows with the smallest draws of each stratum; quota: {stratum: rows} -> {stratum: wanted}.
+
+    Equal draws are taken in the order of the (unique) key. A row without stratum or key is
+    never taken.
+    """
+    draw = uniform(key, salt)
+    draws = materialize(
+        df.select(stratum.alias("_s"), draw.alias("_u"), F.col(key).alias("_k"))
+        .where(F.col("_s").isNotNull() & F.col("_u").isNotNull()), "draws")
+    within = F.lit(False)
+    for last in rows_at(draws, quota, bins, edge_rows):
+        at, k = F.lit(last["_u"]), F.lit(last["_k"]).cast(df.schema[key].dataType)
+        within = within | ((stratum == F.lit(last["_s"])) & (
+            (draw < at) | ((draw == at) & (F.col(key) <= k))))
+    return df.where(within)
 
 
 def exact_sample(df: DataFrame, n: int, salt: str, key: str = "row_id",
-                 bins: int = _BINS) -> DataFrame:
+                 bins: int = CELLS) -> DataFrame:
     """Exactly ``n`` rows without replacement, or all rows when there are fewer."""
-    return _take_smallest(df, lambda t: F.least(F.lit(n).cast("bigint"), t["zero"]),
+    return _take_smallest(df, lambda sizes: {s: min(n, rows) for s, rows in sizes.items()},
                           salt, F.lit(0), key, bins)
 
 
@@ -91,12 +87,13 @@ def first_rows(df: DataFrame, n: int, key: str = "row_id", ranges: int | None =
 
 def balanced_sample(df: DataFrame, budget: int, salt: str, label: str = "y",
                     positive_share: float = 0.1, key: str = "row_id",
-                    bins: int = _BINS) -> DataFrame:
+                    bins: int = CELLS) -> DataFrame:
     """``budget`` rows, a tenth of them positive as far as the classes reach."""
-    def quota(t):
-        target = F.least(F.lit(budget).cast("bigint"), t["one"] + t["zero"])
-        ones = F.least(t["one"], F.floor(target * F.lit(positive_share)))
-        return F.when(F.col("_s") == 1, ones).otherwise(F.least(t["zero"], target - ones))
+    def quota(sizes):
+        ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
+        target = min(budget, ones + zeros)
+        taken = min(ones, math.floor(target * positive_share))
+        return {1: taken, 0: min(zeros, target - taken)}
     return _take_smallest(df, quota, salt, F.col(label), key, bins)
 
 
