@@ -93,15 +93,15 @@ def previous_value(df: DataFrame, group_by: list[str], order_by: list[str], valu
     here = F.struct(key.alias("g"), F.col("_v").alias("v"))
     d = ranged(df.withColumn("_v", value), order, ranges)
     last = d.groupBy("_range").agg(F.max_by(here, F.struct(*order)).alias("last"))
-    # One entry per range, looked at by the first row of a range only.
-    cuts = last.agg(F.sort_array(F.collect_list(F.struct(
-        F.col("_range").alias("at"), "last")))).scalar()
-    before = F.try_element_at(F.filter("_cuts", lambda c: c["at"] < F.col("_range")), F.lit(-1))
+    # One row per range: the last row of the range before it that has any.
+    cuts = last.select(F.col("_range").alias("_at"),
+                       F.lag("last").over(W.orderBy("_range")).alias("_before"))
     inside = W.partitionBy("_range").orderBy(*order)
-    return (d.withColumn("_lag", F.lag(here).over(inside)).withColumn("_cuts", cuts)
-            .withColumn("_b", F.coalesce(F.col("_lag"), before["last"]))
+    return (d.withColumn("_lag", F.lag(here).over(inside))
+            .join(F.broadcast(cuts), F.col("_range") == F.col("_at"), "left")
+            .withColumn("_b", F.coalesce("_lag", "_before"))
             .withColumn(name, F.when(F.col("_b.g").eqNullSafe(key), F.col("_b.v")))
-            .drop("_range", "_cuts", "_lag", "_b", "_v"))
+            .drop("_range", "_at", "_before", "_lag", "_b", "_v"))
 
 
 def range_with_position(counts: DataFrame, by: list[str], wanted: Column) -> DataFrame:
