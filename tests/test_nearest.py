@@ -69,3 +69,32 @@ def test_hot_copies_and_unusable_vectors(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert N.nearest_rows(df).collect() == []
+
+
+def test_vectors_without_clusters_are_sent_once_a_block(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    rows = [(i, draw.standard_normal(16).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sent, given = [], N.matches_of_blocks
+
+    def counted(queries, members, pairs, k):
+        sent.append(queries.join(pairs, "q").count() + members.join(pairs, "m").count())
+        return given(queries, members, pairs, k)
+    monkeypatch.setattr(N, "matches_of_blocks", counted)
+    got = collected(N.nearest_rows(df, k=10, block=1000))
+    assert sent[-1] <= 2 * 3000 * 9  # a few blocks, where most of 54 lists are read
+    assert recall(got, brute(rows, 10)) >= 0.95
+
+
+def test_truth_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "MIN_BLOCK", 40)
+    monkeypatch.setattr(N, "BLOCKS", 3)
+    df = spark.read.parquet(f"{SF}/embeddings.parquet").select(
+        F.col("vec_id").alias("entry"), F.col("embedding").alias("v"))
+    asked = df.where("entry % 3 = 0")
+    got = {}
+    for r in N.exact_nearest(df, asked, 6).where("query <> entry").orderBy(
+            "query", F.desc("cosine"), "entry").collect():
+        got.setdefault(r["query"], []).append(r["entry"])
+    want = brute([(r["entry"], r["v"]) for r in df.collect()], 5)
+    assert got == {i: [n for n, _ in want[i]] for i in got} and len(got) == asked.count()

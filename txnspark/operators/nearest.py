@@ -1,11 +1,13 @@
 """Nearest rows by cosine through inverted lists over centres, re-ranked exactly.
 
 Equal vectors are one entry. Every entry lies in the list of its nearest centre; a query looks
-into the lists of its ``probes`` nearest centres. With about a root of the rows as centres, the
-work grows with the power 1.5 of the rows. Lists are cut into blocks of at most ``BLOCK`` entries
-and ``BLOCK`` queries, so a crowded one is many tasks' work. How many lists must be read for the
-wanted recall is measured: for a bounded set of queries, scored against all entries, the place
-of each true neighbour's list in the query's order tells how far one has to look.
+into the lists of its ``probes`` nearest centres. Near lists are put together to blocks of a
+bounded number of entries, and blocks of queries meet the blocks that hold lists they look into:
+a vector is sent once for each such block, not once for each list, so that vectors without any
+clusters, where most lists must be read, cost a plain blocked comparison and no more. How many
+lists must be read for the wanted recall is measured: for a bounded set of queries, scored against
+all entries, the place of each true neighbour's list in the query's order tells how far one has
+to look.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 
 from txnspark.session import materialize
 
-BLOCK = 2048
+MIN_BLOCK, MAX_BLOCK = 2048, 32_768  # entries a block
+BLOCKS = 8  # wanted at least, where entries suffice
+QUERY_CHUNK, MEMBER_CHUNK = 1024, 4096  # scores held at once
 MAX_CENTRES = 65_536
 SAMPLE_PER_CENTRE = 32
 ROUNDS = 2
@@ -37,13 +41,19 @@ def _dense(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
+def _vector_type(vectors: DataFrame, vector: str) -> str:
+    """Single precision stays as it is given, half as long; scores are in double precision."""
+    given = vectors.schema[vector].dataType.simpleString()
+    return given if given == "array<float>" else "array<double>"
+
+
 def entries_of(vectors: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, DataFrame, int]:
     """(entries, rows, dimension): different usable vectors with their first k + 1 ids, and the
     entry of each row. Null, empty, zero and non-finite vectors have no direction and are left out."""
     bad = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
     v = F.col(vector)
     usable = v.isNotNull() & F.col(key).isNotNull() & F.exists(v, lambda x: x != 0) & ~F.exists(v, bad)
-    rows = vectors.where(usable).select(F.col(key).alias("id"), v.cast("array<double>").alias("v"))
+    rows = vectors.where(usable).select(F.col(key).alias("id"), v.cast(_vector_type(vectors, vector)).alias("v"))
     first = rows.select(F.size("v").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").first()
     if first is None:
         return rows, rows, 0
@@ -56,8 +66,9 @@ def entries_of(vectors: DataFrame, key: str, vector: str, k: int) -> tuple[DataF
     return materialize(entries, "entry-ids"), in_entry, first["n"]
 
 
-def _cells(centres: np.ndarray, probes: int):
-    """The ``probes`` nearest centres of each entry, nearest first."""
+def _cells(centres: np.ndarray, probes: int, groups: np.ndarray | None = None):
+    """The ``probes`` nearest centres of each entry, nearest first; with ``groups``, the group of
+    the nearest one and then the other groups of all of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, (1 << 22) // len(centres))
         for batch in batches:
@@ -66,20 +77,28 @@ def _cells(centres: np.ndarray, probes: int):
                 near = x[i:i + step] @ centres.T
                 top = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
                 order = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
-                found.append(np.take_along_axis(top, order, 1))
-            cells = np.concatenate(found) if found else np.zeros((0, probes), np.int64)
-            offsets = pa.array(np.arange(len(cells) + 1) * probes, pa.int32())
+                cells = np.take_along_axis(top, order, 1)
+                found.extend(cells if groups is None else map(_in_order, groups[cells]))
+            offsets = np.cumsum([0, *map(len, found)])
+            flat = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.ListArray.from_arrays(
-                    offsets, pa.array(cells.ravel().astype(np.int32)))],
+                    pa.array(offsets, pa.int32()), pa.array(flat.astype(np.int32)))],
                 names=["entry", "v", "cells"])
     return run
 
 
-def _with_cells(entries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
-    kind = entries.schema["entry"].dataType.simpleString()
+def _in_order(numbers: np.ndarray) -> np.ndarray:
+    """Different numbers in the order of their first place."""
+    return numbers[np.sort(np.unique(numbers, return_index=True)[1])]
+
+
+def _with_cells(entries: DataFrame, centres: np.ndarray, probes: int,
+                groups: np.ndarray | None = None) -> DataFrame:
+    kinds = [entries.schema[c].dataType.simpleString() for c in ("entry", "v")]
     return entries.select("entry", "v").mapInArrow(
-        _cells(centres, min(probes, len(centres))), f"entry {kind}, v array<double>, cells array<int>")
+        _cells(centres, min(probes, len(centres)), groups),
+        f"entry {kinds[0]}, v {kinds[1]}, cells array<int>")
 
 
 def fit_centres(entries: DataFrame, dim: int, rows: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -116,39 +135,73 @@ def fit_centres(entries: DataFrame, dim: int, rows: int, rounds: int = ROUNDS) -
     return centres
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best of each row, best first, then by id."""
-    k = min(k, scores.shape[1])
-    if k < scores.shape[1]:
-        cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        out = np.empty((len(scores), k), np.int64)
-        for r in range(len(scores)):  # those equal to the last one compete by id
-            at = np.flatnonzero(scores[r] >= cut[r])
-            out[r] = at[np.lexsort((ids[at], -scores[r, at]))][:k]
-        return out
-    return np.stack([np.lexsort((ids, -s)) for s in scores]) if len(scores) else np.zeros((0, k), np.int64)
+def _best(q: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, score) positions of the k best members of each query, then by position."""
+    out = []
+    for at in range(0, len(q), QUERY_CHUNK):
+        part = q[at:at + QUERY_CHUNK]
+        floor = np.full(len(part), -np.inf)
+        row, col, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for j in range(0, len(m), MEMBER_CHUNK):
+            s = part @ m[j:j + MEMBER_CHUNK].T
+            if not j and s.shape[1] > k:
+                floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                r, c = np.nonzero(s >= floor[:, None])
+            else:  # a later one as good as the last kept loses by its position
+                r, c = np.nonzero(s > floor[:, None])
+            row, col = np.concatenate([row, r]), np.concatenate([col, c + j])
+            score = np.concatenate([score, s[r, c]])
+            order = np.lexsort((col, -score, row))
+            row, col, score = row[order], col[order], score[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            floor[row[place == k - 1]] = score[place == k - 1]
+            row, col, score = row[place < k], col[place < k], score[place < k]
+        out.append((row + at, col, score))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _matches(queries: np.ndarray, q_ids, members: np.ndarray, m_ids, k: int) -> pd.DataFrame:
-    scores = unit(queries) @ unit(members).T
-    best = _best(scores, np.asarray(m_ids), k)
-    return pd.DataFrame({"query": np.repeat(np.asarray(q_ids), best.shape[1]),
-                         "entry": np.asarray(m_ids)[best.ravel()],
-                         "cosine": np.take_along_axis(scores, best, 1).ravel()})
+    order = np.argsort(m_ids, kind="stable")
+    m_ids, double = m_ids[order], lambda x: unit(x.astype(np.float64))
+    row, col, score = _best(double(queries), double(members[order]), k)
+    return pd.DataFrame({"query": q_ids[row], "entry": m_ids[col], "cosine": score})
 
 
-def exact_nearest(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, entry, cosine): k best entries of each of a bounded set of queries, by brute force."""
-    given = queries.select("entry", "v").collect()
-    q_ids, q = [r["entry"] for r in given], np.array([r["v"] for r in given])
-    kind = entries.schema["entry"].dataType.simpleString()
+def matches_of_blocks(queries: DataFrame, members: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(query, entry, cosine): of each pair (q, m) of blocks the k best members of each query.
+    Queries are (q, entry, v), members (m, entry, v)."""
+    kind = members.schema["entry"].dataType.simpleString()
+
+    def match(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query": [], "entry": [], "cosine": []})
+        return _matches(np.stack(left["v_q"].to_list()), left["entry_q"].to_numpy(),
+                        np.stack(right["v_m"].to_list()), right["entry_m"].to_numpy(), k)
+
+    def sent(rows: DataFrame, side: str) -> DataFrame:
+        named = [F.col(c).alias(f"{c}_{side}") for c in ("q", "m", "entry", "v")]
+        return rows.join(pairs, side).select(*named).groupBy(f"q_{side}", f"m_{side}")
+
+    return sent(queries, "q").cogroup(sent(members, "m")).applyInPandas(
+        match, f"query {kind}, entry {kind}, cosine double")
+
+
+def block_size(rows: int) -> int:
+    return min(MAX_BLOCK, max(MIN_BLOCK, math.ceil(rows / BLOCKS)))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                yield _matches(q, q_ids, np.stack(frame["v"].to_list()), frame["entry"].to_numpy(), k)
-    found = entries.select("entry", "v").mapInPandas(run, f"query {kind}, entry {kind}, cosine double")
-    return top_matches(found, k)
+
+def exact_nearest(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query, entry, cosine): k best entries of each query by brute force, in blocks."""
+    spark = entries.sparkSession
+    spread = lambda d, n, name: d.select(
+        F.pmod(F.xxhash64("entry", F.lit("block")), F.lit(n)).cast("int").alias(name), "entry", "v")
+    parts = []
+    for d, name in ((queries, "q"), (entries, "m")):
+        rows = d.count()
+        n = max(1, math.ceil(rows / block_size(rows)))
+        parts.append((spread(d, n, name), spark.range(n).select(F.col("id").cast("int").alias(name))))
+    (q, q_blocks), (m, m_blocks) = parts
+    return top_matches(matches_of_blocks(q, m, q_blocks.crossJoin(m_blocks), k), k)
 
 
 def top_matches(found: DataFrame, k: int) -> DataFrame:
@@ -175,11 +228,11 @@ def probes_for(entries: DataFrame, centres: np.ndarray, k: int, recall: float,
 
 
 def nearest_rows(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding",
-                 recall: float = 0.98, probes: int | None = None, block: int = BLOCK) -> DataFrame:
+                 recall: float = 0.98, probes: int | None = None, block: int | None = None) -> DataFrame:
     """(id, rank, neighbour, cosine): the k nearest other rows of every row, rank from 1.
 
     Ties go to the smaller id. ``recall`` is what the lists read are chosen for; ``probes``
-    sets their number instead.
+    sets their number instead, ``block`` that of entries in a block.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
@@ -189,30 +242,23 @@ def nearest_rows(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: s
     n = entries.count()
     centres = fit_centres(entries, dim, n)
     probes = min(len(centres), probes or probes_for(entries, centres, k, recall))
-    placed = materialize(_with_cells(entries, centres, probes), "entry-cells")
-    members = placed.select(F.col("cells")[0].alias("cell"), "entry", "v")
-    asked = placed.select(F.explode("cells").alias("cell"), "entry", "v")
-    blocks = lambda d, name: materialize(d.groupBy(F.col("cell").alias("_cell")).agg(
-        F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name)), f"list-{name}")
-    m_blocks, q_blocks = blocks(members, "mb"), blocks(asked, "qb")
-    counts = m_blocks.join(q_blocks, "_cell")
-    spot = lambda name, salt: F.pmod(F.xxhash64("entry", F.lit(salt)), F.col(name)).cast("int")
-    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    m = members.join(counts, F.col("cell") == F.col("_cell")).withColumn(
-        "m", spot("mb", "m")).select(F.col("cell").alias("cell"), "m", every("qb").alias("q"),
-                                     F.col("entry").alias("m_entry"), F.col("v").alias("m_v"))
-    q = asked.join(counts, F.col("cell") == F.col("_cell")).withColumn(
-        "q", spot("qb", "q")).select(F.col("cell").alias("cell"), every("mb").alias("m"), "q",
-                                     F.col("entry").alias("q_entry"), F.col("v").alias("q_v"))
-
-    def match(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "entry": [], "cosine": []})
-        return _matches(np.stack(left["q_v"].to_list()), left["q_entry"].to_numpy(),
-                        np.stack(right["m_v"].to_list()), right["m_entry"].to_numpy(), k + 1)
-
-    found = q.groupBy("cell", "m", "q").cogroup(m.groupBy("cell", "m", "q")).applyInPandas(
-        match, f"query {kind}, entry {kind}, cosine double")
+    size = block or block_size(n)
+    # Lists whose centres are nearest to the same one of a few make a group; blocks are its parts.
+    heads = centres[:max(1, min(len(centres), math.ceil(n / size)))]
+    groups = np.argmax(centres @ heads.T, axis=1)
+    placed = materialize(_with_cells(entries, centres, probes, groups).select(
+        "entry", "v", F.col("cells")[0].alias("group"), "cells"), "entry-groups")
+    parts = materialize(placed.groupBy("group").agg(
+        F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n")), "group-parts")
+    part = F.pmod(F.xxhash64("entry", F.lit("part")), F.col("n")).cast("int")
+    block_name = F.struct(F.col("group"), part.alias("part"))
+    inside = placed.join(parts, "group").withColumn("q", block_name)
+    found_groups = inside.select("q", F.explode("cells").alias("group")).distinct()
+    pairs = materialize(found_groups.join(parts, "group").select("q", "group", F.explode(
+        F.sequence(F.lit(0), F.col("n") - 1)).alias("part")).select(
+            "q", F.struct("group", "part").alias("m")), "block-pairs")
+    found = matches_of_blocks(inside.select("q", "entry", "v"),
+                              inside.select(F.col("q").alias("m"), "entry", "v"), pairs, k + 1)
     found = top_matches(found.where(F.col("query") != F.col("entry")), k)
     # The copies of an entry come before all others, then each neighbour's ids in turn.
     ids = entries.select(F.col("entry").alias("_e"), "ids")
