@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from txnspark.functions.hashing import normal_number
 from txnspark.operators import encoders as E
 from txnspark.operators import external as U
 from txnspark.operators import heads as H
@@ -232,3 +233,18 @@ def test_embedding_of_ragged_and_empty_batches(spark):
     got = {r["row_id"]: r["embedding"] for r in V.embed(df.coalesce(1), count).collect()}
     assert got == {1: [9.0, 3.0], 2: [5.0, 1.0], 3: [20.0, 5.0]}
     assert V.embed(df.where("row_id > 9"), count).count() == 0
+
+
+def test_linear_map_reads_a_signal_once_a_row(spark):
+    df = spark.range(3).select(F.col("id"), F.format_string('{"k": %d}', F.col("id")).alias("props"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    mapped = df.select("id", V.linear_map([F.when(k < 2, k + 1.0), k * 2.0], 8).alias("v"))
+    plan = mapped._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" in plan and "lambda" not in plan  # nothing is parsed for each component
+    rows = {r["id"]: r["v"] for r in mapped.collect()}
+    w = [[normal_number(f"{i}.{j}", "projection") for j in range(8)] for i in range(2)]
+    for i in (0, 1):
+        assert np.allclose(rows[i], [(i + 1) * a + 2 * i * b for a, b in zip(*w)], atol=1e-12)
+    assert rows[2] == [None] * 8
+    sums = df.select("id", V.component_sums(F.array(F.lit(1.0), F.lit(-2.0))).alias("s")).first()["s"]
+    assert tuple(sums) == (2, -1.0, 5.0, -3.0)

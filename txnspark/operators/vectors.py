@@ -62,23 +62,52 @@ def linear_map(signals: list[Column], dim: int, salt: str = "projection",
     """``signals`` times a hash-generated matrix, as an array of ``dim`` doubles.
 
     With ``noise``, each component gets a normal number of that spread: four draws of the
-    row's ``key`` step through the components. The matrix is a literal.
+    row's ``key`` step through the components. One matrix product per Arrow batch, so a
+    signal's expression is evaluated once a row. A null signal makes all components null.
     """
-    rows = [F.lit([normal_number(f"{i}.{j}", salt) for j in range(dim)])
-            for i in range(len(signals))]
-    times = lambda row, signal: F.transform(row, lambda w: w * signal)
-    out = times(rows[0], signals[0])
-    for signal, row in zip(signals[1:], rows[1:]):
-        out = F.zip_with(out, times(row, signal), lambda a, b: a + b)
-    if noise:
-        draws = F.struct(*[uniform(key, f"{salt}.noise.{c}").alias(c) for c in "abcd"])
-
-        def noisy(d: Column) -> Column:
-            return F.transform(out, lambda x, j: x + F.lit(noise) * F.sqrt(
-                F.lit(-2.0) * F.log(F.lit(1.0) - (d["a"] + j * d["b"]) % 1)) * F.cos(
-                F.lit(2.0 * math.pi) * ((d["c"] + j * d["d"]) % 1)))
-        return F.transform(F.array(draws), noisy)[0]
-    return out
+    matrix = np.array([[normal_number(f"{i}.{j}", salt) for j in range(dim)]
+                       for i in range(len(signals))])
+    steps = np.arange(dim)
+
+    @F.arrow_udf("array<double>")
+    def run(*columns: pa.Array) -> pa.Array:
+        given = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in columns], axis=1)
+        out, parts = np.empty((len(given), dim)), max(1, len(given))
+        for at in range(0, parts, BATCH_ROWS):
+            x = given[at:at + BATCH_ROWS]
+            mapped = sum(x[:, i, None] * row for i, row in enumerate(matrix))
+            if noise:
+                a, b, c, d = (x[:, len(matrix) + i, None] for i in range(4))
+                r, t = a + steps * b, c + steps * d  # never negative
+                mapped += noise * np.sqrt(-2.0 * np.log(1.0 - (r - np.floor(r)))) * np.cos(
+                    2.0 * math.pi * (t - np.floor(t)))
+            out[at:at + BATCH_ROWS] = mapped
+        missing = np.zeros(len(given), bool)
+        for column in columns:
+            missing |= column.is_null().to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(
+            pa.array(np.arange(len(given) + 1, dtype=np.int32) * dim),
+            pa.array(out.ravel(), mask=np.repeat(missing, dim)))
+
+    draws = [uniform(key, f"{salt}.noise.{c}") for c in "abcd"] if noise else []
+    return run(*[s.cast("double") for s in signals], *draws)
+
+
+def component_sums(vector) -> Column:
+    """A struct of a vector's length, sum, sum of squares and sum weighted by place (from 1)."""
+    @F.arrow_udf("dims int, total double, energy double, weighted double")
+    def run(vectors: pa.Array) -> pa.Array:
+        lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        x = vectors.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(x)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
+        sums = [np.bincount(row, v, len(lengths)) for v in (x, x * x, x * place)]
+        none = np.isnan(sums[0]) & (vectors.flatten().null_count > 0)
+        return pa.StructArray.from_arrays(
+            [vectors.value_lengths(), *[pa.array(s, mask=none) for s in sums]],
+            names=["dims", "total", "energy", "weighted"])
+
+    return run(vector)
 
 
 def mean_and_covariance(df: DataFrame, vector: str = "embedding") -> DataFrame:

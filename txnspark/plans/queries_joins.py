@@ -343,15 +343,9 @@ def _(spark, folder):
                F.col("amount_num") / 100.0]
     mapped = V.linear_map(signals, 512, noise=NOISE, key=F.col("row_id"))
     # Three sums over all 512 components stand for them, in one pass over the vector.
-    zero = F.struct(F.lit(0).alias("dims"), *[F.lit(0.0).alias(c) for c in (
-        "total", "energy", "weighted")])
-    sums = F.aggregate(mapped, zero, lambda a, x: F.struct(
-        (a["dims"] + 1).alias("dims"), (a["total"] + x).alias("total"),
-        (a["energy"] + x * x).alias("energy"),
-        (a["weighted"] + x * (a["dims"] + 1)).alias("weighted")))
-    return f.select("row_id", F.inline(F.array(sums))).select(
-        "row_id", "dims", F.round("total", 5).alias("total"), F.round("energy", 4).alias("energy"),
-        F.round("weighted", 3).alias("weighted"))
+    return f.select("row_id", V.component_sums(mapped).alias("s")).select(
+        "row_id", "s.dims", F.round("s.total", 5).alias("total"),
+        F.round("s.energy", 4).alias("energy"), F.round("s.weighted", 3).alias("weighted"))
 
 
 @query("agg_19_mean_and_covariance", f"""
