@@ -62,3 +62,27 @@ def test_bounded_sample_and_edges(spark):
     assert scores == {0.7}
     odd = documents(spark, [(0, "one two three", "en", "s")])
     assert classifier.quality_scores(odd, labels(spark)).count() == 1
+
+
+def test_every_label_counts(spark, monkeypatch):
+    # Far more rows than a bucket: turning the label of any one of them turns the model.
+    given, marks = sample(spark, 400), labels(spark)
+    monkeypatch.setattr(classifier, "BUCKET", 16)
+    first = classifier.train(given, marks)
+    used = [r["doc_id"] for r in marks.join(given, "doc_id").where(
+        F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).select("doc_id").collect()]
+    for doc in (min(used), max(used)):
+        turned = marks.withColumn("quality", F.when(
+            F.col("doc_id") == doc, 1 - F.col("quality")).otherwise(F.col("quality")))
+        assert not np.array_equal(classifier.train(given, turned).weights, first.weights)
+    seen = []
+    fit = classifier.fit
+    monkeypatch.setattr(classifier, "fit", lambda d: seen.append(d.count()) or fit(d))
+    twelve = given.crossJoin(spark.range(200)).select(
+        (F.col("doc_id") * 1000 + F.col("id")).alias("doc_id"), "text")
+    many = marks.crossJoin(spark.range(200)).select(
+        (F.col("doc_id") * 1000 + F.col("id")).alias("doc_id"), "quality")
+    monkeypatch.setattr(classifier, "BUCKET", 512)
+    classifier.train(twelve, many)
+    assert seen[0] == twelve.join(many, "doc_id").where(
+        F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).count() > 20_000
