@@ -248,3 +248,28 @@ def test_linear_map_reads_a_signal_once_a_row(spark):
     assert rows[2] == [None] * 8
     sums = df.select("id", V.component_sums(F.array(F.lit(1.0), F.lit(-2.0))).alias("s")).first()["s"]
     assert tuple(sums) == (2, -1.0, 5.0, -3.0)
+
+
+def test_components_without_embeddings(spark, monkeypatch):
+    # Fit and rotation from ids alone equal those of the embeddings, in any batch.
+    rows = [(i, [2, 4 + i % 7, 11 + i % 5, 16 + i * i % 3, 3][:3 + i % 3]) for i in range(900)]
+    df = spark.createDataFrame(rows, "row_id long, ids array<int>")
+    embedder = V.HashedProjection(20, 24)
+    vectors = V.embed(df, embedder)
+    a, b = V.fit_pca(vectors, 3), V.fit_pca_of_ids(df, embedder, 3)
+    assert np.allclose([x[1] for x in V.explained_variance(a)],
+                       [x[1] for x in V.explained_variance(b)], atol=1e-6)
+    want = {r["row_id"]: r["pca"] for r in V.apply_pca(vectors, a).collect()}
+    placed = lambda d: {r["row_id"]: r["pca"] for r in d.select(
+        "row_id", V.project_ids(embedder, b, F.col("ids")).alias("pca")).collect()}
+    got = placed(df)
+    assert all(np.allclose(got[i], want[i], atol=1e-5) for i in want)
+    assert placed(df.orderBy(F.desc("row_id")).repartition(7)) == got
+
+
+def test_training_writes_no_embeddings(spark, table_rows, monkeypatch):
+    written = []
+    given = T.materialize
+    monkeypatch.setattr(T, "materialize", lambda df, name: written.extend(df.columns) or given(df, name))
+    T.train_heads(table_rows.where("row_id % 4 = 0"), None, 1, 2, components=3, dim=16)
+    assert "ids" in written and "embedding" not in written
