@@ -59,3 +59,15 @@ def test_ingest_forgets(spark, path):
     assert not targets.ingest_once(rows, target, then=cache.forget)
     assert len(cache.generations()) == 1 and np.isfinite(list(got(cache.embed(
         table(spark, [(1, [2, 4, 3])]), vocabulary, e)[0]).values())).all()
+
+
+def test_a_vector_is_kept_once_however_many_rows_share_its_ids(spark, path):
+    vocabulary = spark.createDataFrame(VOCABULARY, "token string, id int")
+    cache, made = EmbeddingCache(spark, path, "cards"), V.HashedProjection(10, 4)
+    rows = [(k, [2, 4 + k % 3, 3]) for k in range(90)]
+    assert cache.embed(table(spark, rows[:30]), vocabulary, made)[1] == 30
+    every, n = cache.embed(table(spark, rows), vocabulary, made)
+    home = f"{path}/cards/n=all/{cache.generations()[0]}"
+    kept = spark.read.option("recursiveFileLookup", "true").parquet(f"{home}/vectors/data")
+    assert n == 60 and kept.count() == 3
+    assert got(every) == got(V.embed(table(spark, rows), made))

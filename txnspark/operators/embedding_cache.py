@@ -1,10 +1,12 @@
 """Embeddings kept between runs, never those of other data, tokens or another embedder.
 
 A generation of the cache is named by digests of the vocabulary and the embedder beside the
-target and row budget; inside it a vector belongs to a row id and a hash of the ids it was made
-from. A changed vocabulary or embedder therefore opens another generation, and a row whose
-content changed with a new ingest misses. Missing vectors are appended as one committed batch,
-so a run that fails half way leaves nothing, and ``forget`` drops the generations of a target.
+target and row budget. Inside it ``rows`` lists row ids with a hash of the ids they were embedded
+from, and ``vectors`` holds one vector per different id list, however many rows share it. A changed
+vocabulary or embedder therefore opens another generation, and a row whose content changed with a
+new ingest misses. What is missing is appended as committed batches, vectors before the rows that
+need them, so a run that fails half way leaves no row without its vector, and ``forget`` drops the
+generations of a target.
 """
 
 from __future__ import annotations
@@ -54,24 +56,35 @@ class EmbeddingCache:
 
     def embed(self, encoded: DataFrame, vocabulary: DataFrame, embedder: Embedder,
               key: str = "row_id", ids: str = "ids") -> tuple[DataFrame, int]:
-        """((key, embedding) of every row of ``encoded``, number of vectors computed)."""
+        """((key, embedding) of every row of ``encoded``, number of rows that were not kept)."""
         path = self._generation(vocabulary, embedder)
-        kind = encoded.schema[key].dataType.simpleString()
-        schema = f"{key} {kind}, ids_hash long, embedding array<float>"
+        kind, id_kind = (encoded.schema[c].dataType.simpleString() for c in (key, ids))
         rows = encoded.select(key, F.col(ids).alias("_ids"), F.xxhash64(ids).alias("ids_hash"))
-        there = lambda: committed.read_committed(self.spark, path, schema)
-        known = there().select(F.col(key).alias("_key"), F.col("ids_hash").alias("_hash"))
+        known = committed.read_committed(
+            self.spark, f"{path}/rows", f"{key} {kind}, ids_hash long").select(
+            F.col(key).alias("_key"), F.col("ids_hash").alias("_hash"))
         same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("ids_hash") == F.col("_hash"))
-        todo = rows.join(known, same, "left_anti").select(
-            key, "ids_hash", embedding_column(embedder, F.col("_ids")).alias("embedding"))
-        landed = committed.manifests(self.spark, path).count()
-        committed.append_batch(todo, path, f"b{landed}")
-        new = committed.manifests(self.spark, path).where(F.col("batch") == f"b{landed}").select(
+        vectors = lambda: committed.read_committed(
+            self.spark, f"{path}/vectors", f"ids {id_kind}, embedding array<float>").withColumnRenamed(
+            "ids", "_of")
+        # Runs at the same time may both have landed a list.
+        once = lambda: vectors().dropDuplicates(["_of"])
+        of = F.col("_ids").eqNullSafe(F.col("_of"))
+        # Only id lists are grouped and joined; a vector is made where it is written.
+        new = rows.select("_ids").distinct().join(vectors().select("_of"), of, "left_anti")
+        self._append(new.select(F.col("_ids").alias("ids"), embedding_column(
+            embedder, F.col("_ids")).alias("embedding")), f"{path}/vectors")
+        missing = rows.join(known, same, "left_anti").select(key, "ids_hash")
+        return (rows.join(once(), of).select(key, "embedding"),
+                self._append(missing, f"{path}/rows"))
+
+    def _append(self, df: DataFrame, path: str) -> int:
+        """Rows that landed with the next batch."""
+        batch = f"b{committed.manifests(self.spark, path).count()}"
+        committed.append_batch(df, path, batch)
+        return committed.manifests(self.spark, path).where(F.col("batch") == batch).select(
             F.coalesce(F.aggregate("files", F.lit(0).cast("long"), lambda a, f: a + f["rows"]),
                        F.lit(0)).alias("n")).first()["n"]
-        kept = there().withColumnsRenamed({key: "_key", "ids_hash": "_hash"}).dropDuplicates(
-            ["_key", "_hash"])
-        return rows.join(kept, same).select(key, "embedding"), new
 
     def generations(self) -> list[str]:
         """Names of the generations of this target and budget."""
