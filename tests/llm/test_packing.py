@@ -105,3 +105,16 @@ def test_a_long_stream_is_cut_in_bounded_stretches(spark, whole, monkeypatch):
     rows = [p for i, t, *_ in given for p in stream.add(i, stream.tok.ids(t or ""))] + list(stream.cut(last=True))
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     check([dict(zip(names, r)) for r in rows], given, whole)
+
+
+def test_words_of_letters_are_tokenised_together(whole, monkeypatch):
+    tok, alone = TextTokenizer(default_tokenizer()), []
+    monkeypatch.setattr(tok, "merge", lambda word: alone.append(word) or tok.single._core_bpe
+                        .encode_single_piece(word))
+    texts = ["Zuerst qwlorp vembit, then 12 flurbs. Ünd 日本語 ʰx zz",
+             "start qwlorp x1y don't", "", "only"]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tok.each(pa.array(texts))] == want
+    assert list(tok.counts(pa.array(texts))) == [len(x) for x in want]
+    # Only the first word of a text, which follows no space, is merged by itself.
+    assert sorted(alone) == [b"Zuerst", b"only", b"start"]

@@ -2,9 +2,9 @@
 
 A byte-level BPE tokenizer splits a text into pieces before it merges, and a word after
 a single space is a piece of its own. So the ids of a text are the ids of its words joined.
-A batch of texts is split and numbered by its different words in Arrow, the ids of each
-different word come from a cache of the worker, and numpy puts them together. Texts where
-that does not hold (several white-space characters in a row, control strings) go to the
+A batch of texts is split and numbered by its different words in Arrow. Those of letters only
+are tokenised together, the ids of the others come from a cache of the worker, and numpy puts
+them together. Texts where that does not hold (several white-space characters in a row, control strings) go to the
 tokenizer as a whole.
 """
 
@@ -88,6 +88,8 @@ class TextTokenizer:
         self.marks = [m for m in special if m]
         self.merge = self.single._core_bpe.encode_single_piece
         self.newline = self._pack("\n")
+        self.after_space = np.zeros(self.size, dtype=bool)
+        self.after_space[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
         self.words = _Words(self._word)
 
     def _pack(self, text: str) -> bytes:
@@ -97,6 +99,19 @@ class TextTokenizer:
         """Ids of a text that is one piece: merges only, nothing to split."""
         return _bytes(self.merge(text.encode()))
 
+    def _letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of letters, each after a space, and where those of each start: they
+        are one text, in which only an id that starts with a space starts a word."""
+        if not len(words):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        together = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        text = " " + pc.binary_join(together, " ")[0].as_py()
+        ids = np.array(self.single._core_bpe.encode_ordinary(text), dtype="<u4")
+        starts = np.flatnonzero(self.after_space[ids])
+        if len(starts) != len(words):
+            raise ValueError("words of letters were not told apart")
+        return ids, starts
+
     def _word(self, words: _Words, word: str) -> bytes | None:
         """Ids of a word with what stands before it; None if a text with it must go whole."""
         lead = word[:1]
@@ -118,8 +133,8 @@ class TextTokenizer:
         return _bytes(self.loaded.encode(text, add_special_tokens=False).ids)
 
     def _numbered(self, texts: pa.Array):
-        """Per different word its ids and their number; the word numbers of all texts; where
-        each text's words start; which texts must go whole."""
+        """Ids of the different words; per different word where its ids start and their number;
+        the word numbers of all texts; where each text's words start; which texts must go whole."""
         odd = pc.match_substring_regex(texts, f"[{START}{NEWLINE}{MARK}]|^ |^$")
         for mark in self.marks:
             odd = pc.or_(odd, pc.match_substring(texts, mark))
@@ -130,16 +145,28 @@ class TextTokenizer:
             marked, r"(\pL)([.,])( |$)", f"\\1 {MARK}\\2\\3")
         parts = pc.split_pattern(marked, " ")
         coded = parts.flatten().dictionary_encode()
-        ids = list(map(self.words.__getitem__, coded.dictionary.to_pylist()))
         numbers = coded.indices.to_numpy()
         starts = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
         whole = odd.to_numpy(zero_copy_only=False)
+        different = coded.dictionary
+        letters = pc.utf8_is_alpha(different)
+        of_letters, at = self._letters(different.filter(letters))
+        letters = letters.to_numpy(zero_copy_only=False)
+        # By numpy, because Arrow makes its strings one by one.
+        others = different.filter(pa.array(~letters)).to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.words.__getitem__, others))
         if None in ids:
-            bad = np.array([x is None for x in ids])
-            whole = whole | (np.add.reduceat(bad[numbers].astype(np.int64), starts) > 0)
+            bad = np.zeros(len(different), dtype=np.int64)
+            bad[~letters] = [x is None for x in ids]
+            whole = whole | (np.add.reduceat(bad[numbers], starts) > 0)
             ids = [x or b"" for x in ids]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        return ids, sizes, numbers, starts, whole
+        first, sizes = np.empty((2, len(different)), dtype=np.int64)
+        first[letters], sizes[letters] = at, np.diff(at, append=len(of_letters))
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        first[~letters] = len(of_letters) + np.cumsum(lengths) - lengths
+        sizes[~letters] = lengths
+        table = np.concatenate([of_letters, np.frombuffer(b"".join(ids), dtype="<u4")])
+        return table, first, sizes, numbers, starts, whole
 
     def _stretches(self, texts: pa.Array) -> Iterator[pa.Array]:
         """The texts in order, a few megabytes at a time."""
@@ -156,9 +183,7 @@ class TextTokenizer:
     def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         for part in self._stretches(texts):
-            ids, sizes, numbers, starts, whole = self._numbered(part)
-            table = np.frombuffer(b"".join(ids), dtype="<u4")
-            first = np.cumsum(sizes) - sizes
+            table, first, sizes, numbers, starts, whole = self._numbered(part)
             lengths = sizes[numbers]
             ends = np.cumsum(lengths)
             places = np.repeat(first[numbers] - (ends - lengths), lengths)
@@ -174,7 +199,7 @@ class TextTokenizer:
     def counts(self, texts: pa.Array) -> Iterator[int]:
         """The number of ids of each text."""
         for part in self._stretches(texts):
-            _, sizes, numbers, starts, whole = self._numbered(part)
+            _, _, sizes, numbers, starts, whole = self._numbered(part)
             for i, n in enumerate(np.add.reduceat(sizes[numbers], starts).tolist()):
                 yield len(self._whole(part[i].as_py())) // 4 if whole[i] else n
 
