@@ -273,3 +273,19 @@ def test_training_writes_no_embeddings(spark, table_rows, monkeypatch):
     monkeypatch.setattr(T, "materialize", lambda df, name: written.extend(df.columns) or given(df, name))
     T.train_heads(table_rows.where("row_id % 4 = 0"), None, 1, 2, components=3, dim=16)
     assert "ids" in written and "embedding" not in written
+
+
+def test_fits_share_one_layout_of_their_rows(spark, monkeypatch):
+    dealt = []
+    layout = H.laid_out
+    monkeypatch.setattr(H, "laid_out", lambda *a: dealt.append(a) or layout(*a))
+    rows = C.split_features(spark, "/root/testdata/sf0.001")
+    t = T.train_heads(rows, None, 2, 3, components=4, dim=16)
+    assert len(dealt) == 1
+    # The rows that are dealt hold ids, not components, and the trees are those of a fit alone.
+    assert "pca" not in dealt[0][0].columns
+    alone = H.fit("combined", t.inputs.where("split = 'train'"), rounds=2, depth=3,
+                  parts=H.fit_parts(rows.count()))
+    kept = t.bundle.heads["combined"]
+    assert H.first_trees(alone, kept.getNumTrees).toDebugString.split("\n")[1:] == (
+        kept.toDebugString.split("\n")[1:])
