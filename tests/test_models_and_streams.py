@@ -289,3 +289,34 @@ def test_fits_share_one_layout_of_their_rows(spark, monkeypatch):
     kept = t.bundle.heads["combined"]
     assert H.first_trees(alone, kept.getNumTrees).toDebugString.split("\n")[1:] == (
         kept.toDebugString.split("\n")[1:])
+
+
+def test_sizes_of_vectors(spark):
+    rows = [(0, [3.0, -4.0]), (1, []), (2, None), (3, [1.0, None]), (4, [float("nan"), 2.0]),
+            (5, [-1e7, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(1)
+    got = {r["id"]: r["s"] for r in df.select("id", V.sizes(F.col("v")).alias("s")).collect()}
+    assert tuple(got[0]) == (2, 25.0, 4.0) and tuple(got[1]) == (0, 0.0, 0.0)
+    assert tuple(got[2]) == (None, None, None) and tuple(got[3]) == (2, None, None)
+    assert np.isnan(got[4]["largest"]) and tuple(got[5]) == (2, 1e14, 1e7)
+
+
+@pytest.mark.parametrize("name", ["mlx_03_embedding", "mlx_03_embeddings_are_complete"])
+def test_embeddings_are_not_measured_by_lambdas(spark, monkeypatch, name):
+    from types import SimpleNamespace
+
+    from txnspark.operators import tokens as K
+    from txnspark.plans import catalog
+    from txnspark.plans import queries_models as Q
+    folder = "/root/testdata/sf0.001"
+    vocabulary = K.fit_vocabulary(K.with_slots(C.features(spark, folder)))
+    bundle = T.Bundle({}, vocabulary, V.HashedProjection(vocabulary.count(), 512), None)
+    monkeypatch.setattr(Q, "trained", lambda *_: SimpleNamespace(bundle=bundle))
+    found = catalog.QUERIES[name](spark, folder)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    e = T.embedded(C.features(spark, folder), vocabulary, bundle.embedder)
+    want = {r["row_id"]: r["l"] for r in e.select("row_id", F.round(F.sqrt(
+        V.dot("embedding", "embedding")), 4).alias("l")).collect()}
+    rows = found.collect()
+    assert len(rows) == len(want) and all(r["dim"] == 512 for r in rows)
+    assert all(r["length"] == want[r["row_id"]] if "length" in r else r["finite"] for r in rows)
