@@ -71,3 +71,27 @@ def test_a_vector_is_kept_once_however_many_rows_share_its_ids(spark, path):
     kept = spark.read.option("recursiveFileLookup", "true").parquet(f"{home}/vectors/data")
     assert n == 60 and kept.count() == 3
     assert got(every) == got(V.embed(table(spark, rows), made))
+
+
+def test_the_cache_query_makes_its_ids_once(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from txnspark.operators import tokens as K
+    from txnspark.operators import vectors as V
+    from txnspark.plans import catalog
+    from txnspark.plans import common as C
+    from txnspark.plans import queries_models as Q
+    folder, written = "/root/testdata/sf0.001", []
+    vocabulary = K.fit_vocabulary(K.with_slots(C.features(spark, folder)))
+    monkeypatch.setattr(Q, "trained", lambda *_: SimpleNamespace(bundle=SimpleNamespace(
+        vocabulary=vocabulary, embedder=V.HashedProjection(vocabulary.count(), 16))))
+    given = Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda df, name: written.append(df.columns) or given(
+        df, name))
+    found = catalog.QUERIES["src_14_embedding_cache"](spark, folder).collect()
+    assert ["row_id", "split", "ids"] in written
+    ids = C.split_features(spark, folder).select("row_id", "split").collect()
+    assert {(r["split"], r["cached"], r["reused"]) for r in found} == {
+        (s, sum(r["split"] == s for r in ids),
+         sum(r["split"] == s and r["row_id"] % 3 == 0 for r in ids))
+        for s in {r["split"] for r in ids}}

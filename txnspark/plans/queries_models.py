@@ -470,7 +470,9 @@ def _(spark, folder):
  FROM split_rows GROUP BY split"""))
 def _(spark, folder):
     t = trained(spark, folder)
-    rows = K.encode(K.with_slots(C.split_features(spark, folder)), t.bundle.vocabulary)
+    # The ids are read by every step below, so they are made once.
+    rows = materialize(K.encode(K.with_slots(C.split_features(spark, folder)), t.bundle.vocabulary)
+                       .select("row_id", "split", "ids"), "encoded")
     path = new_path(spark, "embedding-cache/n=all")
     small = V.HashedProjection(t.bundle.embedder.vocabulary, 16)
     first = V.embed_cached(rows.where("row_id % 3 = 0"), small, path)
