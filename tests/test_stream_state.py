@@ -94,3 +94,19 @@ def test_empty_batches_leave_the_index_as_it_is(spark):
     index.add(one, "row_id", 0)
     index.add(one.limit(0), "row_id", 1)
     assert index.unseen(one, "row_id", 2).collect() == []
+
+
+def test_a_card_takes_and_gives_plain_rows():
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+    kept = []
+    gaps = keyed.CardGaps(10_000_000, None)
+    gaps.recent = SimpleNamespace(get=lambda: kept[-1] if kept else None, update=kept.append)
+    run = lambda *rows: [tuple(r) for r in gaps.handleInputRows(
+        ("u", 3), iter([Row(micros=m, row_id=i) for m, i in rows]), None)]
+    got = run((5_000_000, 2), (2_000_000, 1), (None, 9))
+    assert got == [(9, "u", 3, keyed._NO_TIME, None, keyed.FIRST),
+                   (1, "u", 3, 2_000_000, None, keyed.PLACED),
+                   (2, "u", 3, 5_000_000, 3.0, keyed.PLACED)]
+    assert run((6_500_000, 4)) == [(4, "u", 3, 6_500_000, 1.5, keyed.PLACED)]

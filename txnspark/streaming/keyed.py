@@ -16,8 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -79,21 +78,18 @@ class CardGaps(StatefulProcessor):
     def init(self, handle) -> None:
         self.recent = handle.getValueState("recent", _STATE, self.idle_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues
-                        ) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True)
-        ts = frame["micros"].fillna(_NO_TIME).to_numpy(dtype=np.int64)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Plain rows: most cards have a few in a batch, and a frame for each costs more than they do.
+        given = [(_NO_TIME if r.micros is None else r.micros, r.row_id) for r in rows]
+        ts, ids = np.array(given, dtype=np.int64).reshape(-1, 2).T
         state = self.recent.get()
-        out, after = place(ts, frame["row_id"].to_numpy(dtype=np.int64),
-                           tuple(state) if state else None, self.delay_us)
+        out, after = place(ts, ids, tuple(state) if state else None, self.delay_us)
         self.recent.update(after)
-        known = (out["prev"] != _NO_TIME) & (out["ts"] != _NO_TIME)
-        gap = np.where(known, (out["ts"] - np.where(known, out["prev"], 0)) / 1e6, np.nan)
-        yield pd.DataFrame({
-            "row_id": out["ids"], "user": key[0], "card": key[1],
-            "micros": pd.array(out["ts"], dtype="Int64").copy(),
-            "time_delta_s": pd.Series(gap).astype(object).where(known, None),
-            "status": out["status"].astype(np.int32)})
+        for row_id, at, prev, status in zip(*[out[c].tolist() for c in (
+                "ids", "ts", "prev", "status")]):
+            known = prev != _NO_TIME and at != _NO_TIME
+            yield Row(row_id=row_id, user=key[0], card=key[1], micros=at,
+                      time_delta_s=(at - prev) / 1e6 if known else None, status=status)
 
     def close(self) -> None:
         pass
@@ -112,7 +108,7 @@ def keyed_gap_stream(stream: DataFrame, path: str, checkpoint: str, delay_s: int
     kind = lambda c: stream.schema[c].dataType.simpleString()
     rows = stream.select("user", "card", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
                          F.col("row_id").cast("long").alias("row_id"))
-    gaps = rows.groupBy("user", "card").transformWithStateInPandas(
+    gaps = rows.groupBy("user", "card").transformWithState(
         statefulProcessor=CardGaps(delay_s * 1_000_000, idle_s and idle_s * 1000),
         outputStructType=_OUT.format(user=kind("user"), card=kind("card")),
         outputMode="Update", timeMode="ProcessingTime" if idle_s else "None")
