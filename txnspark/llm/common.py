@@ -42,16 +42,47 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+BITMAP = 1 << 15  # bits of one bitmap, fixed by Spark's bitmap functions
+BITS_PER_KEY, MAX_BITMAPS = 16, 1 << 10  # 4 MB at most
+
+
+def may_be_among(keys: DataFrame, name: str):
+    """A test of 64-bit hashes: true for all in the column ``name`` of ``keys``, a written table,
+    and for few others.
+
+    Thins rows before a join that would shuffle them whole. The bits of one hash per key are at
+    most 4 MB however many keys there are; more keys let more others through.
+    """
+    bits = BITMAP
+    while bits < min(BITS_PER_KEY * keys.count(), MAX_BITMAPS * BITMAP):
+        bits *= 2
+    at = lambda key: F.pmod(key, F.lit(bits)) + 1
+    maps = keys.groupBy(F.bitmap_bucket_number(at(F.col(name))).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at(F.col(name)))).alias("bits"))
+    found = maps.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bits")))).scalar()
+
+    def test(key: Column) -> Column:
+        bit = F.bitmap_bit_position(at(key)).cast("int")
+        byte = F.substring(found[F.bitmap_bucket_number(at(key))], F.shiftright(bit, 3) + 1,
+                           F.lit(1))
+        return F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), bit % 8) == 1,
+                          F.lit(False))
+    return test
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows listed in ``dropped`` (doc_id, row_key).
 
     ``dropped`` is a written table, so Spark knows its size and sends it to all
-    executors only when it is below the broadcast threshold.
+    executors only when it is below the broadcast threshold. Beyond, only rows that
+    may be listed are shuffled; ``docs`` is read twice for that.
     """
     mark, number = fresh(docs, "_gone"), fresh(docs, "_gone_id")
+    listed = may_be_among(dropped, "row_key")(row_key(docs))
     gone = dropped.select(F.col("doc_id").alias(number), F.col("row_key").alias(mark))
-    return docs.join(gone, row_key(docs).eqNullSafe(F.col(mark))
-                     & F.col("doc_id").eqNullSafe(F.col(number)), "left_anti")
+    return docs.where(~listed).union(docs.where(listed).join(
+        gone, row_key(docs).eqNullSafe(F.col(mark))
+        & F.col("doc_id").eqNullSafe(F.col(number)), "left_anti"))
 
 
 def one_of_alike(docs: DataFrame, repeated: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from txnspark.llm.common import let, one_of_alike, row_key, text_of, without, words_of
+from txnspark.llm.common import (let, may_be_among, one_of_alike, row_key, text_of, without,
+                                 words_of)
 from txnspark.llm.components import connected_components
 from txnspark.session import materialize
 
@@ -273,10 +274,13 @@ def similar_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     star = buckets.join(centre, "key").where("fp <> centre").select(
         F.col("fp").alias("a"), F.col("centre").alias("b"))
     pairs = materialize(star.union(near).distinct(), "near-candidates")
-    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp",
-                        "left_semi").select("fp", F.col("first.doc_id").alias("_id"),
-                                            F.col("first.row_key").alias("_key"))
-    texts = docs.select("doc_id", row_key(docs).alias("row_key"), text_of(text).alias("_text"))
+    wanted = materialize(
+        nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp",
+                   "left_semi").select("fp", F.col("first.doc_id").alias("_id"),
+                                       F.col("first.row_key").alias("_key")), "wanted")
+    # Few texts are wanted, and the others are left out before the shuffle.
+    texts = docs.where(may_be_among(wanted, "_key")(row_key(docs))).select(
+        "doc_id", row_key(docs).alias("row_key"), text_of(text).alias("_text"))
     sets = materialize(
         texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))
                    & (F.col("row_key") == F.col("_key")))
