@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from txnspark.functions.features import with_basic_features
 from txnspark.functions.rules import rule_scores
+from txnspark.operators.heads import fit_parts
 from txnspark.operators.metrics import ranking_metrics
 from txnspark.operators.splits import split_plan, with_split
 from txnspark.plans import runs
 from txnspark.session import materialize
-from txnspark.sources.transactions import load_transactions, read_table
+from txnspark.sources.transactions import from_events, load_transactions, read_table
 
 
 _built: dict[tuple[str, str, str], object] = {}
@@ -32,6 +33,14 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
     return with_basic_features(load_transactions(spark, folder))
 
 
+def dealt_features(spark: SparkSession, folder: str) -> DataFrame:
+    """``features`` for jobs that work much on each row: events are dealt by key while they are
+    raw, because a table of few row groups is read by as few tasks."""
+    events = read_table(spark, folder, "events")
+    return with_basic_features(from_events(
+        events.repartition(fit_parts(events.count()), "event_id")))
+
+
 def scores(spark: SparkSession, folder: str) -> DataFrame:
     """(row_id, y, d, head, p) of the four rule heads on every transaction."""
     return rule_scores(features(spark, folder), "d")

@@ -112,7 +112,9 @@ def _(spark, folder):
 
 
 def _encoded(spark, folder):
-    slots = K.with_slots(C.features(spark, folder))
+    # Written once: the vocabulary, the pairs of tokens and the vectors all read the tokens.
+    slots = materialize(K.with_slots(C.dealt_features(spark, folder)).select("row_id", *K.SLOTS),
+                        "slots")
     return K.encode(slots, K.fit_vocabulary(slots))
 
 
