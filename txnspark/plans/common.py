@@ -46,10 +46,11 @@ def scores(spark: SparkSession, folder: str) -> DataFrame:
     return rule_scores(features(spark, folder), "d")
 
 
-def split_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Every transaction with features and its temporal split, nothing sampled."""
+def split_features(spark: SparkSession, folder: str, dealt: bool = False) -> DataFrame:
+    """Every transaction with features and its temporal split, nothing sampled; ``dealt``
+    as in ``dealt_features``."""
     feats = features(spark, folder)
-    return with_split(feats, split_plan(feats))
+    return with_split(dealt_features(spark, folder) if dealt else feats, split_plan(feats))
 
 
 def test_scores(spark: SparkSession, folder: str) -> DataFrame:

@@ -36,7 +36,7 @@ ROUNDS, DEPTH, PATIENCE = 10, 4, 5  # model size of the registered runs; the row
 
 def trained(spark, folder) -> T.Training:
     return C.once(spark, folder, "trained", lambda: T.train_heads(
-        C.split_features(spark, folder), None, ROUNDS, DEPTH, patience=PATIENCE))
+        C.split_features(spark, folder, dealt=True), None, ROUNDS, DEPTH, patience=PATIENCE))
 
 
 def _test(spark, folder):
