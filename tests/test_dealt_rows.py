@@ -31,3 +31,11 @@ def test_training_rows_are_dealt_before_they_are_worked_on(spark, monkeypatch):
     above, below = around_the_deal(rows)
     assert "get_json_object" in above and "get_json_object" not in below
     assert same_rows(rows, C.split_features(spark, FOLDER))
+
+
+def test_scored_rows_are_dealt_before_they_are_worked_on(spark):
+    test = Q._test(spark, FOLDER)
+    above, below = around_the_deal(test)
+    assert "get_json_object" in above and "get_json_object" not in below
+    assert "Filter" in below  # only rows of the split are dealt
+    assert same_rows(test, C.split_features(spark, FOLDER).where("split = 'test'"))
