@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from txnspark.llm import exact_dedup, simhash
 from txnspark.llm.components import connected_components
+from txnspark.session import materialize
 
 MASK = (1 << 64) - 1
 
@@ -185,6 +186,13 @@ def five_words(text):
     return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)}
 
 
+def test_probes_are_never_broadcast(spark):
+    # Spark sizes a table after an explode as if it had no more rows than before.
+    table = materialize(spark.range(2000).select(F.xxhash64("id").alias("fp")), "test-prints")
+    plan = simhash.fingerprint_links(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "BroadcastExchange" not in plan
+
+
 def test_stage_finds_every_pair_of_jaccard_four_fifths(spark):
     import corpus_pipeline
     stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]

@@ -111,9 +111,10 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     found_once = F.when(
         F.col("segment") == 0, (low > 0) | (a < b)
     ).otherwise((low > 1) & ((high > 0) | (a < b)))
-    return (probe.join(table, (F.col("p_segment") == F.col("segment"))
-                       & (F.col("p_key") == F.col("key"))
-                       & (_distance(a, b) <= DISTANCE) & (a != b) & found_once)
+    # Spark sizes the probes as one row each, so it might take them for small and broadcast them.
+    return (probe.hint("merge").join(table, (F.col("p_segment") == F.col("segment"))
+                                     & (F.col("p_key") == F.col("key"))
+                                     & (_distance(a, b) <= DISTANCE) & (a != b) & found_once)
             .select("a", "b"))
 
 
