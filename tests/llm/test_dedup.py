@@ -193,6 +193,15 @@ def test_probes_are_never_broadcast(spark):
     assert "Generate explode" in plan and "BroadcastExchange" not in plan
 
 
+def test_bucket_keys_are_written_before_they_are_joined(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: written.setdefault(
+        name, materialize(df, name)))
+    simhash.similar_documents(sample(spark, 60)).count()
+    nodes, keys = written["nodes"], written["spread-keys"]
+    assert keys.count() == nodes.select(F.explode("keys")).count() > nodes.count()
+
+
 def test_stage_finds_every_pair_of_jaccard_four_fifths(spark):
     import corpus_pipeline
     stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]

@@ -261,7 +261,8 @@ def similar_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     nodes = materialize(rows.groupBy("fp").agg(
         F.min(_order()).alias("first"), F.first("sim").alias("sim"),
         F.first("keys").alias("keys")), "nodes")
-    spread = nodes.select(F.explode("keys").alias("key"), "fp")
+    # Written, because Spark sizes an exploded table as if every node had one key.
+    spread = materialize(nodes.select(F.explode("keys").alias("key"), "fp"), "spread-keys")
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialize(spread.join(shared, "key"), "buckets")
     weight = buckets.groupBy("fp").agg(F.sum("n").alias("weight"))
