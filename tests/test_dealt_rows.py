@@ -39,3 +39,15 @@ def test_scored_rows_are_dealt_before_they_are_worked_on(spark):
     assert "get_json_object" in above and "get_json_object" not in below
     assert "Filter" in below  # only rows of the split are dealt
     assert same_rows(test, C.split_features(spark, FOLDER).where("split = 'test'"))
+
+
+def test_registered_heads_are_trained_at_full_size(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(Q.C, "once", lambda spark, folder, name, build: build())
+    monkeypatch.setattr(Q.T, "train_heads", lambda rows, budget, rounds, depth=None, patience=0:
+                        asked.update(budget=budget, rounds=rounds, depth=depth,
+                                     patience=patience))
+    Q.trained(spark, FOLDER)
+    # No depth given: each head has its own.
+    assert asked == {"budget": None, "rounds": {"raw": 400, "embed": 435, "combined": 512},
+                     "depth": None, "patience": 20}

@@ -135,6 +135,35 @@ def test_last_stage_equals_the_model(spark, table_rows):
     assert len(top) == 5 and {r["kind"] for r in top} == {"raw"}
 
 
+def test_rounds_are_staged_in_parts(spark, table_rows, monkeypatch):
+    rows = E.with_raw_features(table_rows, E.fit_dictionary(table_rows)).where(
+        "row_id < 2000").cache()
+    model, ready = H.fit("raw", rows, rounds=5, depth=3), H.with_features(rows, "raw")
+    whole = {tuple(r) for r in H.eval_curve(model, ready).collect()}
+    monkeypatch.setattr(H, "STAGE_TREES", 2)
+    parts = {tuple(r) for r in H.eval_curve(model, ready).collect()}
+    assert sorted(n for n, _ in whole) == [1, 2, 3, 4, 5]
+    assert {n: round(a, 9) for n, a in whole} == {n: round(a, 9) for n, a in parts}
+
+
+@pytest.mark.parametrize("patience", [1, 2, 20])
+def test_a_fit_that_grows_equals_one_of_all_rounds(spark, table_rows, monkeypatch, patience):
+    rows = E.with_raw_features(table_rows, E.fit_dictionary(table_rows)).where(
+        "row_id < 2000").cache()
+    val = table_rows.sparkSession.createDataFrame([], rows.schema).unionByName(
+        rows.where("row_id % 2 = 0"))
+    long = lambda: H.fit_with_early_stop("raw", rows, val, 7, 3, patience)
+    model, curve, best = long()
+    monkeypatch.setattr(H, "FIRST_ROUNDS", 2)
+    again, short, found = long()
+    values = lambda c: {r["round"]: round(r["auc"], 9) for r in c.collect()}
+    assert found == best == len(again.treeWeights) and values(short) == values(curve)
+    assert [t.toDebugString.split("\n", 1)[1] for t in again.trees] == [
+        t.toDebugString.split("\n", 1)[1] for t in model.trees]
+    last = max(values(curve))  # training goes on until patience or rounds run out
+    assert last == min(7, best + patience)
+
+
 def test_first_trees_equal_a_shorter_fit_on_any_layout(spark, table_rows):
     rows = E.with_raw_features(table_rows, E.fit_dictionary(table_rows)).where(
         "row_id < 3000").cache()
